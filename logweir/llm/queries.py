@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import chat, mixing, secrets
 
 QUERIES = {
+    "op2_temperature_mixing": mixing.op2_temperature_mixing,
+    "op3_perspective_rotation": chat.op3_perspective_rotation,
     "op5_secret_scans": secrets.op5_secret_scans,
 }
 
 ORACLE_SQL = {
+    "op3_perspective_rotation": chat.OP3_SQL,
     "op5_secret_scans": secrets.OP5_SQL,
 }
