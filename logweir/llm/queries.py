@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, secrets
+from . import chat, mixing, ngram_join, secrets
 
 QUERIES = {
     "op2_temperature_mixing": mixing.op2_temperature_mixing,
     "op3_perspective_rotation": chat.op3_perspective_rotation,
     "op5_secret_scans": secrets.op5_secret_scans,
+    "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
 }
 
 ORACLE_SQL = {
