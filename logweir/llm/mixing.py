@@ -36,7 +36,7 @@ def _hash(*parts) -> Column:
     return F.xxhash64(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
-def exponent(sources: DataFrame, budget: float | None = None, entropy: float | None = None, repetition: float | None = None, wide: int = 32, rounds: int = 9) -> float:
+def exponent(sources: DataFrame, budget: float | None = None, entropy: float | None = None, repetition: float | None = None, wide: int = 32, rounds: int = 7) -> float:
     """The exponent a in [0, 1] for sources (tokens long): the largest a whose weights have at least the target entropy
     (nats), or the smallest a at which no source is repeated more than `repetition` times within the budget. Each round
     is one aggregation that tries `wide` exponents between the bounds. 1 if no exponent fits.
@@ -49,21 +49,19 @@ def exponent(sources: DataFrame, budget: float | None = None, entropy: float | N
         return 1.0
     budget = total if budget is None else float(budget)
     low, high = 0.0, 1.0
+    share = F.col("t") / F.lit(total)
+    least = live.agg(F.min(share)).first()[0]
     for _ in range(rounds):
         tried = [low + (high - low) * i / wide for i in range(wide + 1)]
-        share = F.col("t") / F.lit(total)
-        sums = live.agg(
-            *(F.sum(F.pow(share, F.lit(a))).alias(f"z{i}") for i, a in enumerate(tried)),
-            *(F.sum(F.pow(share, F.lit(a)) * F.ln(share)).alias(f"l{i}") for i, a in enumerate(tried)),
-            F.min(share).alias("least"), F.max(share).alias("most"),
-        ).first()
+        each = live.select(share.alias("p"), F.posexplode(F.array(*map(F.lit, tried))).alias("i", "a"))
+        sums = {r["i"]: r for r in each.groupBy("i").agg(F.sum(F.pow("p", "a")).alias("z"), F.sum(F.pow("p", "a") * F.ln("p")).alias("l")).collect()}
         ok = []
         for i, a in enumerate(tried):
-            z = sums[f"z{i}"]
+            z = sums[i]["z"]
             if entropy is not None:  # falls as a grows
-                ok.append(math.log(z) - a * sums[f"l{i}"] / z >= entropy - 1e-12)
+                ok.append(math.log(z) - a * sums[i]["l"] / z >= entropy - 1e-12)
             else:  # w/p = p^(a-1)/z is largest at the smallest share, and falls as a grows
-                ok.append(budget / total * sums["least"] ** (a - 1) / z <= repetition + 1e-12)
+                ok.append(budget / total * least ** (a - 1) / z <= repetition + 1e-12)
         if entropy is not None:
             last = max((i for i, x in enumerate(ok) if x), default=None)
             if last is None:
