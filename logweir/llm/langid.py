@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import remainder, table
 
@@ -158,7 +159,7 @@ def _model(docs: DataFrame, seed: int) -> Model | None:
 def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value

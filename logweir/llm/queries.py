@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, ngram_join, secrets
+from . import chat, langid, mixing, ngram_join, secrets, toxicity
 
 QUERIES = {
     "op2_temperature_mixing": mixing.op2_temperature_mixing,
     "op3_perspective_rotation": chat.op3_perspective_rotation,
     "op5_secret_scans": secrets.op5_secret_scans,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_language_id": langid.op7_language_id,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
 }
 

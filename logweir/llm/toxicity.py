@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .common import remainder, table
 
@@ -231,7 +232,7 @@ def _counted(docs: DataFrame, stems: tuple[str, ...], keep: list[str]) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(kinds, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "kinds"])
 
     rows = docs.select(*keep, F.col("text").alias("_text"))
-    schema = rows.drop("_text").schema.add("kinds", "array<double>")
+    schema = StructType([*rows.drop("_text").schema.fields, StructField("kinds", ArrayType(DoubleType()))])
     return rows.mapInArrow(of, schema)
 
 
