@@ -23,12 +23,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """A value for each byte, the same for either case of A-Z, and whether it is white space."""
+def _tables(bare: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A value for each byte, the same for either case of A-Z, and whether it parts words: ASCII white space, or (bare)
+    all ASCII but letters and digits."""
     lower = np.arange(256)
     lower[65:91] += 32
     space = np.zeros(256, bool)
     space[[9, 10, 11, 12, 13, 32]] = True
+    if bare:
+        space[[i for i in range(128) if not chr(i).isalnum()]] = True
     return mix(lower.astype(U) * U(0x632BE59BD9B4E019) + U(1)), space
 
 
@@ -58,10 +61,11 @@ def _bundles(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def words(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, hashes of the words of a range of texts, offsets of its texts in them). A-Z counts as a-z."""
+def words(texts: pa.Array, most: int = 1 << 20, bare: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, hashes of the words of a range of texts, offsets of its texts in them). A-Z counts as a-z; bare words have no ASCII
+    punctuation."""
     data, offsets = _flat(texts)
-    value, space = _tables()
+    value, space = _tables(bare)
     for first, last in _bundles(offsets, most):
         own = data[offsets[first] : offsets[last]]
         at = offsets[first : last + 1] - offsets[first]
@@ -101,3 +105,13 @@ def shingles(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                     yield first + i, mix(np.array([whole + U(b - a)], U))
             else:
                 yield first + i, np.empty(0, U)
+
+
+def windows(w: np.ndarray, k: int) -> np.ndarray:
+    """Karp-Rabin hashes of all runs of k words."""
+    n = len(w) - k + 1
+    if n <= 0:
+        return np.empty(0, U)
+    up, down = _powers(1 << max(20, len(w).bit_length()))
+    total = np.concatenate([np.zeros(1, U), np.cumsum(w * up[: len(w)], dtype=U)])
+    return mix((total[k:] - total[:-k]) * down[:n])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, ngram_join, secrets, toxicity
+from . import chat, decontam, langid, mixing, ngram_join, secrets, toxicity
 
 QUERIES = {
     "op2_temperature_mixing": mixing.op2_temperature_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_language_id": langid.op7_language_id,
+    "op8_decontamination": decontam.op8_decontamination,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
 }
 
