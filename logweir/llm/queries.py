@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, mixing, ngram_join, secrets, toxicity
+from . import chat, decontam, gru_lm, langid, mixing, ngram_join, secrets, toxicity
 
 QUERIES = {
     "op2_temperature_mixing": mixing.op2_temperature_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_language_id": langid.op7_language_id,
     "op8_decontamination": decontam.op8_decontamination,
+    "op9_gru_scoring": gru_lm.op9_gru_scoring,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
 }
 
