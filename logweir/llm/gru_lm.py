@@ -184,44 +184,33 @@ def numbers(net: Net, hashes: np.ndarray) -> np.ndarray:
     return np.where(net.tokens[at] == hashes, net.ids[at], RARE)
 
 
-def log_probs(net: Net, lines: list[np.ndarray]) -> list[np.ndarray]:
-    """Natural log probability of each number of each line. Lines are walked side by side, the longest first, in windows
+def log_probs(net: Net, lines: list[np.ndarray]) -> np.ndarray:
+    """Natural log probability of each number of the lines, one after the other. Lines are walked side by side, the longest first, in windows
     between which the states are carried."""
     p, d, size = net.params, WIDTH, len(net.tokens)
     table_ = p["E"] @ p["X"] + p["b"]
-    order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
-    out = [np.empty(len(x)) for x in lines]
-    lengths = np.array([len(lines[i]) for i in order])
-    h = np.zeros((len(order), d), np.float32)
-    last = np.full(len(order), size + 1)
+    ends = np.cumsum([len(x) for x in lines])
+    flat, begins = np.concatenate(lines), np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    order = np.argsort(begins - ends, kind="stable")
+    begins, lengths = begins[order], (ends - np.concatenate([[0], ends[:-1]]))[order]
+    out = np.empty(len(flat))
+    h, last = np.zeros((len(lines), d), np.float32), np.full(len(lines), size + 1)
     at = 0
-    while len(order) and at < lengths[0]:
+    while at < lengths[0]:
         live = int(np.searchsorted(-lengths, -at, "left"))  # lines longer than `at`
-        span = int(min(max(1, WINDOW // live), lengths[0] - at, 512))
-        states, seen, alive = [], [], []
-        for s in range(at, at + span):
+        states, places = [], []
+        for s in range(at, at + int(min(max(1, WINDOW // live), lengths[0] - at, 512))):
             live = int(np.searchsorted(-lengths, -s, "left"))
-            if not live:
-                break
             h = _step(p, table_[last[:live]], h[:live])
-            y = np.fromiter((lines[i][s] for i in order[:live]), np.int64, live) if live < 8 else grid(lines, order, s, live)
+            places.append(begins[:live] + s)
+            last = flat[places[-1]]
             states.append(h)
-            seen.append(y)
-            alive.append(live)
-            last = y
-        logs = _outputs(net, np.concatenate(states), np.concatenate(seen))
-        cuts = np.concatenate([[0], np.cumsum(alive)])
-        for j in range(alive[0]):
-            k = int(np.searchsorted(-np.array(alive), -j, "left"))  # steps at which line j is alive
-            out[order[j]][at : at + k] = logs[cuts[:k] + j]
-        at += span
+        where = np.concatenate(places)
+        out[where] = _outputs(net, np.concatenate(states), flat[where])
+        at = s + 1
     return out
 
 
-def grid(lines: list[np.ndarray], order: list[int], s: int, live: int) -> np.ndarray:
-    return np.array([lines[i][s] for i in order[:live]], np.int64)
-
-
 def coded(docs: DataFrame) -> DataFrame:
     """Blocks (block, ids, held, ends, codes, vocabulary, counts): ids and folds of their documents, tokens as places in the sorted
     vocabulary, and how often each word of it occurs in training documents. docs has doc_id, text and held_out."""
@@ -334,7 +323,7 @@ def score(docs: DataFrame, held_out: Column, seed: int = 11) -> DataFrame:
 
     if texts and check:  # the network's share, on documents the fit has not seen; rare tokens do not change the choice much
         y = [numbers(net, t) for t in check]
-        logs = np.concatenate(log_probs(net, y))
+        logs = log_probs(net, y)
         c = np.concatenate([[known.get(int(x), 1) for x in t] for t in check]).astype(float)
         net = net._replace(share=max((s / 20 for s in range(1, 20)), key=lambda s: mixture(logs, np.concatenate(y), c, s).sum()))
     elif net.share:
@@ -351,7 +340,7 @@ def score(docs: DataFrame, held_out: Column, seed: int = 11) -> DataFrame:
                 number, ends = numbers(net, v_), np.array(ends.as_py())
                 begins = np.concatenate([[0], ends[:-1]])
                 y, count = number[at], c[at]
-                logs = np.concatenate(log_probs(net, [y[a:b] for a, b in zip(begins, ends)])) if net.share > 0 else np.zeros(len(at))
+                logs = log_probs(net, [y[a:b] for a, b in zip(begins, ends)]) if net.share > 0 else np.zeros(len(at))
                 each = mixture(logs, y, count, net.share)
                 base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
                 cols = (ids.as_py(), held.as_py(), (ends - begins).tolist(), np.add.reduceat((count > 0).astype(np.int64), begins), [n] * len(ends), np.add.reduceat(base, begins), np.add.reduceat(each, begins))

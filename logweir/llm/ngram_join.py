@@ -34,11 +34,14 @@ from .hashing import U, mix, shingles
 SLOTS = 1 << 18
 CHUNK = 1 << 12
 #: Buckets of the first join, by smallest hash.
-SIGNATURES = 3
-#: Bits of the parity sketch of a set: two sets differ in at least as many n-grams as their sketches do in bits.
+SIGNATURES = 2
+#: Least bits of the parity sketch of a set: two sets differ in at least as many n-grams as their sketches do in bits.
+#: Sets of more than twice as many n-grams have sketches of twice, four times ... the bits.
 SKETCH = 1024
 #: N-grams of a bucket that one worker takes at a time; beyond that it is cut into blocks.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
+#: Rows of units that are broadcast at most (about 60 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 
 
 def need(nx, ny, percent: int):
@@ -101,7 +104,8 @@ def features(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataF
                     if n:
                         hot = rank[_slot(s)]
                         p = s[:first] if not hot[:first].any() else s[np.lexsort((s, hot))[:first]]
-                        bits = np.bincount((mix(s ^ U(77)) >> U(54)).astype(np.int64), minlength=SKETCH) & 1
+                        wide = max(SKETCH, 1 << ((n - 1) // 2).bit_length())
+                        bits = np.bincount((mix(s ^ U(77)) & U(wide - 1)).astype(np.int64), minlength=wide) & 1
                         low = [int(mix(s ^ U(i + 1)).min().view(np.int64)) for i in range(SIGNATURES)]
                     else:
                         p, bits, low = s, np.zeros(SKETCH, np.int64), []
@@ -143,8 +147,9 @@ def trie_links(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[
     size = np.array([len(s) for s in sets], np.int64)
     grams, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(count), size)
-    shared = often[at] > 1
-    rank = np.empty(len(grams), np.int64)
+    at = at.astype(np.int32)
+    owner, shared = owner.astype(np.int32), often[at] > 1
+    rank = np.empty(len(grams), np.int32)
     rank[np.argsort(-often, kind="stable")] = np.arange(len(grams))  # frequent n-grams first: paths are shared longest
     token, owner = rank[at[shared]], owner[shared]
     by_token = np.argsort(token, kind="stable")
@@ -212,16 +217,35 @@ def _blocks(members: DataFrame, weight: str, most: int) -> DataFrame:
     return cut.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("own", "other", "k")
 
 
-def _linked(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between classes that units (key, lo, hi, cls, grp) bring together; sets has cls and grams."""
+def _linked(docs: DataFrame, units: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges (a, b) between classes that units (key, lo, hi, cls, doc_id, grp) bring together. Each class's set is made
+    once, from the text of its own document, where that text is read, and sent to its units."""
+
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["key", "lo", "hi", "cls", "grp", "grams"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        for batch in batches:
+            jobs, held, size = batch.column(1), [], 0
+            for i, s in shingles(batch.column(0), k):
+                own, grams = int(np.sum(mix(s), dtype=U).view(np.int64)), s.tobytes()
+                for job in jobs[i].as_py():
+                    if job["cls"] == own:
+                        held.append((*(job[x] for x in names[:5]), grams))
+                        size += len(grams)
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), types)], names=names)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), types)], names=names)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for rows in _runs(batches, 3):
-            cls, grp = rows.column("cls").to_numpy(), rows.column("grp").to_numpy()
+            cls, first = np.unique(rows.column("cls").to_numpy(), return_index=True)
+            grp = rows.column("grp").to_numpy()[first]
             if len(cls) < 2 or (grp == grp[0]).all():
                 continue
-            for x, y in trie_links([np.frombuffer(g.as_py(), U) for g in rows.column("grams")], grp, percent):
+            grams = rows.column("grams")
+            for x, y in trie_links([np.frombuffer(grams[int(i)].as_py(), U) for i in first], grp, percent):
                 a.append(int(cls[x]))
                 b.append(int(cls[y]))
             if len(a) > 50_000:
@@ -229,8 +253,11 @@ def _linked(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = units.join(sets, "cls").select("key", "lo", "hi", "cls", "grp", "grams")
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(join, "a long, b long")
+    jobs = units.groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "hi", "cls", "grp")).alias("jobs"))
+    small = units.count() <= BROADCAST_ROWS
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(jobs) if small else jobs, "doc_id").select("text", "jobs")
+    sent = rows.mapInArrow(ship, "key long, lo int, hi int, cls long, grp long, grams binary")
+    return sent.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(join, "a long, b long")
 
 
 def _near(rows: DataFrame, percent: int) -> DataFrame:
@@ -271,49 +298,46 @@ def _near(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _sketched(units: DataFrame, percent: int) -> DataFrame:
-    """The rows (key, lo, hi, cls, n, grp, sketch) that have a partner of another group whose sketch is near enough."""
+    """Edges (a, b) that span what rows (key, lo, hi, cls, n, grp, sketch) of different groups may be similar, going by
+    their sizes and sketches."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        a, b = [], []
         for rows in _runs(batches, 3):
-            n, grp = rows.column("n").to_numpy(), rows.column("grp").to_numpy()
+            cls, first = np.unique(rows.column("cls").to_numpy(), return_index=True)
+            n, grp = rows.column("n").to_numpy()[first], rows.column("grp").to_numpy()[first]
             if len(n) < 2 or (grp == grp[0]).all():
                 continue
-            bits = np.frombuffer(b"".join(x.as_py() for x in rows.column("sketch")), U).reshape(len(n), -1)
-            keep = np.zeros(len(n), bool)
+            order = np.argsort(n, kind="stable")
+            cls, n, grp, tree = cls[order], n[order], grp[order], np.arange(len(n))
+            sketch = rows.column("sketch")
+            raw = [np.frombuffer(sketch[int(i)].as_py(), U) for i in first[order]]
+            wide = np.array([len(x) for x in raw])
+            even = {w: np.stack([x for x in raw if len(x) == w]) for w in np.unique(wide)}
+            half = {w: np.bitwise_xor(m[:, : w // 2], m[:, w // 2 :]) for w, m in even.items() if w // 2 in even}
+            starts = {w: int(np.flatnonzero(wide == w)[0]) for w in even}  # sizes are sorted, so widths are
             for i in range(len(n) - 1):
-                j = np.flatnonzero((grp[i + 1 :] != grp[i]) & (percent * np.maximum(n[i + 1 :], n[i]) <= 100 * np.minimum(n[i + 1 :], n[i]))) + i + 1
-                if len(j):
-                    apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
-                    j = j[apart <= n[i] + n[j] - 2 * need(n[i], n[j], percent)]
-                    keep[j] = True
-                    keep[i] |= len(j) > 0
-            if keep.any():
-                held.append(rows.filter(pa.array(keep)).select(["key", "lo", "hi", "cls", "grp"]))
-            if len(held) > 2000:
-                yield from pa.concat_tables(held).combine_chunks().to_batches()
-                held = []
-        if held:
-            yield from pa.concat_tables(held).combine_chunks().to_batches()
-
-    return units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(of, "key long, lo int, hi int, cls long, grp long")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """cls and grams, the sorted n-grams as bytes, of the wanted classes, from the text of one document of each."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, cut = _texts(batch), 256
-            for a in range(0, batch.num_rows, cut):
-                grams = [s.tobytes() for _, s in shingles(texts.slice(a, cut), k)]
-                h = [int(np.sum(mix(np.frombuffer(g, U)), dtype=U).view(np.int64)) for g in grams]
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(grams, pa.binary())], names=["cls", "grams"])
+                last = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
+                own = raw[i]
+                for w in (len(own), 2 * len(own)):
+                    if w not in even:
+                        continue
+                    j = np.arange(max(i + 1, starts[w]), min(last, starts[w] + len(even[w])))
+                    j = j[grp[j] != grp[i]]
+                    if not len(j):
+                        continue
+                    apart = np.bitwise_count((even[w] if w == len(own) else half[w])[j - starts[w]] ^ own).sum(axis=1)
+                    for x in j[apart <= n[i] + n[j] - 2 * need(n[i], n[j], percent)].tolist():
+                        if tree[x] != tree[i]:  # both ends belong to the cluster, whatever groups they are of
+                            a.append(int(cls[i]))
+                            b.append(int(cls[x]))
+                            tree[tree == tree[x]] = tree[i]
+            if len(a) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    ids = classes.select("cls", "doc_id").join(wanted.select("cls").distinct(), "cls", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    made = texts.select("text").mapInArrow(of, "cls long, grams binary")
-    return made.join(ids.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    return units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(of, "a long, b long")
 
 
 def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -328,9 +352,9 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
 
     # the first join: one bucket for each smallest hash
-    smallest = classes.select(F.posexplode("low").alias("i", "x"), "cls", "n").select(F.xxhash64("i", "x").alias("key"), "cls", "n")
+    smallest = classes.select(F.posexplode("low").alias("i", "x"), "cls", "doc_id", "n").select(F.xxhash64("i", "x").alias("key"), "cls", "doc_id", "n")
     units = written(_blocks(smallest, "n", BLOCK).withColumn("grp", F.col("cls")), "ngram-units")
-    first = written(_linked(units, _sets(docs, units, classes, k), percent), "ngram-edges")
+    first = written(_linked(docs, units, k, percent), "ngram-edges")
     group = written(components(first), "ngram-groups")
 
     # the second join: one bucket for each n-gram of a prefix
@@ -338,8 +362,11 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     near = written(_near(heads, percent), "ngram-near")
     known = classes.select("cls", "sketch").join(group.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "sketch", F.coalesce("component", "cls").alias("grp"))
     full = _blocks(near, "n", BLOCK).join(known, "cls")
-    pairs = written(_sketched(full.select("key", "lo", "hi", "cls", "n", "grp", "sketch"), percent), "ngram-units")
-    second = _linked(pairs, _sets(docs, pairs, classes, k), percent)
+    # what may be similar to something of another group, in clusters
+    cluster = components(_sketched(full.select("key", "lo", "hi", "cls", "n", "grp", "sketch"), percent)).select(F.col("node").alias("cls"), F.col("component").alias("key"))
+    of = classes.select("cls", "doc_id", "n").join(group.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).drop("component")
+    pairs = written(_blocks(cluster.join(of, "cls"), "n", BLOCK), "ngram-units")
+    second = _linked(docs, pairs, k, percent)
 
     linked = written(components(first.unionByName(second)), "ngram-groups")
     for scratch in (units, first, group, near, pairs):
