@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -43,6 +44,18 @@ def forget(df: DataFrame | None) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Actions inside send Python at most about `size` of rows at a time, so that large rows don't fill its memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -125,3 +138,39 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return nodes.unionAll(roots)
+
+
+def runs(batches, keys: int):
+    """Tables of the consecutive rows with equal first `keys` columns."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(c[a] for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def blocks(members: DataFrame, weight: str, most: int) -> DataFrame:
+    """members (key, cls, ...) of keys with two rows or more, with own, lo and hi: each key's rows in blocks of about `most`
+    units of weight, and each pair of blocks as (key, lo, hi)."""
+    totals = members.groupBy("key").agg(F.sum(weight).alias("total"), F.count("*").alias("rows")).where("rows > 1")
+    totals = totals.select("key", F.greatest(F.lit(1), F.ceil(F.col("total") / most)).cast("int").alias("k"))
+    cut = members.join(totals, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return cut.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "k")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, gru_lm, langid, mixing, ngram_join, secrets, toxicity
+from . import chat, decontam, embed_dedup, gru_lm, langid, mixing, ngram_join, secrets, toxicity
 
 QUERIES = {
+    "op1_cap_filters": embed_dedup.op1_cap_filters,
     "op2_temperature_mixing": mixing.op2_temperature_mixing,
     "op3_perspective_rotation": chat.op3_perspective_rotation,
     "op5_secret_scans": secrets.op5_secret_scans,
