@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, embed_dedup, gru_lm, langid, mixing, ngram_join, secrets, toxicity
+from . import chat, decontam, embed_dedup, gru_lm, html_text, langid, mixing, ngram_join, secrets, toxicity
 
 QUERIES = {
     "op1_cap_filters": embed_dedup.op1_cap_filters,
     "op2_temperature_mixing": mixing.op2_temperature_mixing,
     "op3_perspective_rotation": chat.op3_perspective_rotation,
+    "op4_layout_text": html_text.op4_layout_text,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_language_id": langid.op7_language_id,
