@@ -378,5 +378,18 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all their columns, without those that have a smaller doc_id in their component. Equal rows of one
+    id are one document; rows without an id, which nothing can refer to, stay."""
+    found = written(similar(docs, k, percent).where("doc_id is not null"), "ngram-found")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents"), k=3, percent=90)
