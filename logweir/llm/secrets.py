@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 
 class Rule(NamedTuple):
@@ -33,6 +33,8 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{14,}", 0, 18),
     Rule("hex", 1, r"[0-9a-f]{16,}", 0, 16),
 )
+#: Blobs with findings that are broadcast at most (about 80 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 NO_FINDING = "array<struct<start:long,rank:int,kind:string,end:long>>"
 
 
@@ -97,22 +99,24 @@ def by_path(versions: DataFrame, findings: DataFrame, path: str = "doc_id", text
     return held.join(per_blob, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(NO_FINDING)))
 
 
-def redacted(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The text with each secret replaced by [kind], the kinds one after the other in their order."""
-    for rule in rules:
-        mask = F.lit(f"[{rule.kind}]")
-        pieces = F.transform(_pieces(text, rule), lambda p, rule=rule, mask=mask: F.concat(p["gap"], F.when(_kept(p, rule), mask).otherwise(F.coalesce(p["hit"], F.lit("")))))
-        text = F.array_join(pieces, "")
-    return text
+def redacted(text: Column, rule: Rule) -> Column:
+    """The text with each secret of a rule replaced by [kind]."""
+    mask = F.lit(f"[{rule.kind}]")
+    return F.array_join(F.transform(_pieces(text, rule), lambda p: F.concat(p["gap"], F.when(_kept(p, rule), mask).otherwise(F.coalesce(p["hit"], F.lit(""))))), "")
 
 
 def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All documents; those whose blob has findings get a redacted text and its length as n_chars."""
+    """All documents; those whose blob has findings get a text with secrets replaced, the kinds one after the other in their
+    order, and its length as n_chars."""
     findings, _ = scan(docs, rules=rules)
-    flagged = findings.select("blob").distinct().withColumn("flagged", F.lit(True))
+    flagged = written(findings.select("blob").distinct().withColumn("flagged", F.lit(True)), "secret-blobs")
+    if flagged.count() <= BROADCAST_ROWS:
+        flagged = F.broadcast(flagged)
     held = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
     joined = held.join(flagged, "blob", "left")
-    out = joined.withColumn("text", F.when(F.col("flagged"), redacted(F.col("text"), rules)).otherwise(F.col("text")))
+    out = joined
+    for rule in rules:  # a column each, since a nested expression would be computed again for every use
+        out = out.withColumn("text", F.when(F.col("flagged"), redacted(F.col("text"), rule)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("flagged"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
