@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, forget, table, written
+from .common import blocks, components, forget, runs, small_batches, table, written
 from .hashing import U, mix, shingles
 
 #: Slots that n-grams are counted in; the counts are all that the driver gets, 2 MB for any input.
@@ -39,7 +39,7 @@ SIGNATURES = 2
 #: Sets of more than twice as many n-grams have sketches of twice, four times ... the bits.
 SKETCH = 1024
 #: N-grams of a bucket that one worker takes at a time; beyond that it is cut into blocks.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Rows of units that are broadcast at most (about 60 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -118,29 +118,6 @@ def features(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, n long, h1 long, h2 long, low array<long>, prefix array<long>, sketch binary")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of the consecutive rows with equal first `keys` columns."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        change = np.zeros(batch.num_rows - 1, bool)
-        for c in cols:
-            change |= c[1:] != c[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            key = tuple(c[a] for c in cols)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def trie_links(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest, as pairs of indices, of the links between sets of different groups; linked groups become one."""
     count = len(sets)
@@ -155,8 +132,8 @@ def trie_links(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[
     by_token = np.argsort(token, kind="stable")
     holders, starts = owner[by_token], np.searchsorted(token[by_token], np.arange(int((often > 1).sum()) + 1))
     by_set = np.lexsort((token, owner))
-    cuts = np.searchsorted(owner[by_set], np.arange(count + 1))
-    paths = [token[by_set][cuts[i] : cuts[i + 1]] for i in range(count)]
+    cuts, flat = np.searchsorted(owner[by_set], np.arange(count + 1)), token[by_set]
+    paths = [flat[cuts[i] : cuts[i + 1]] for i in range(count)]
     walk = sorted(range(count), key=lambda i: paths[i].astype(">u4").tobytes())
     common = [0] * (count + 1)
     for i in range(1, count):
@@ -207,16 +184,6 @@ def trie_links(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[
     return found
 
 
-def _blocks(members: DataFrame, weight: str, most: int) -> DataFrame:
-    """members (key, cls, ...) of keys with two rows or more, with lo and hi: each key's rows in blocks of about `most`
-    units of weight, and each pair of blocks as (key, lo, hi)."""
-    totals = members.groupBy("key").agg(F.sum(weight).alias("total"), F.count("*").alias("rows")).where("rows > 1")
-    totals = totals.select("key", F.greatest(F.lit(1), F.ceil(F.col("total") / most)).cast("int").alias("k"))
-    cut = members.join(totals, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return cut.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("own", "other", "k")
-
-
 def _linked(docs: DataFrame, units: DataFrame, k: int, percent: int) -> DataFrame:
     """Edges (a, b) between classes that units (key, lo, hi, cls, doc_id, grp) bring together. Each class's set is made
     once, from the text of its own document, where that text is read, and sent to its units."""
@@ -239,7 +206,7 @@ def _linked(docs: DataFrame, units: DataFrame, k: int, percent: int) -> DataFram
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for rows in _runs(batches, 3):
+        for rows in runs(batches, 3):
             cls, first = np.unique(rows.column("cls").to_numpy(), return_index=True)
             grp = rows.column("grp").to_numpy()[first]
             if len(cls) < 2 or (grp == grp[0]).all():
@@ -303,7 +270,7 @@ def _sketched(units: DataFrame, percent: int) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for rows in _runs(batches, 3):
+        for rows in runs(batches, 3):
             cls, first = np.unique(rows.column("cls").to_numpy(), return_index=True)
             n, grp = rows.column("n").to_numpy()[first], rows.column("grp").to_numpy()[first]
             if len(n) < 2 or (grp == grp[0]).all():
@@ -353,23 +320,25 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     # the first join: one bucket for each smallest hash
     smallest = classes.select(F.posexplode("low").alias("i", "x"), "cls", "doc_id", "n").select(F.xxhash64("i", "x").alias("key"), "cls", "doc_id", "n")
-    units = written(_blocks(smallest, "n", BLOCK).withColumn("grp", F.col("cls")), "ngram-units")
-    first = written(_linked(docs, units, k, percent), "ngram-edges")
+    units = written(blocks(smallest, "n", BLOCK).withColumn("grp", F.col("cls")), "ngram-units")
+    with small_batches(docs.sparkSession):
+        first = written(_linked(docs, units, k, percent), "ngram-edges")
     group = written(components(first), "ngram-groups")
 
     # the second join: one bucket for each n-gram of a prefix
     heads = classes.select("cls", "n", F.posexplode("prefix").alias("at", "key")).select("key", "cls", "n", F.col("at").cast("long").alias("at"))
     near = written(_near(heads, percent), "ngram-near")
     known = classes.select("cls", "sketch").join(group.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "sketch", F.coalesce("component", "cls").alias("grp"))
-    full = _blocks(near, "n", BLOCK).join(known, "cls")
+    full = blocks(near, "n", BLOCK).join(known, "cls")
     # what may be similar to something of another group, in clusters
     cluster = components(_sketched(full.select("key", "lo", "hi", "cls", "n", "grp", "sketch"), percent)).select(F.col("node").alias("cls"), F.col("component").alias("key"))
     of = classes.select("cls", "doc_id", "n").join(group.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).drop("component")
-    pairs = written(_blocks(cluster.join(of, "cls"), "n", BLOCK), "ngram-units")
-    second = _linked(docs, pairs, k, percent)
+    pairs = written(blocks(cluster.join(of, "cls"), "n", BLOCK), "ngram-units")
+    with small_batches(docs.sparkSession):
+        second = written(_linked(docs, pairs, k, percent), "ngram-edges")
 
     linked = written(components(first.unionByName(second)), "ngram-groups")
-    for scratch in (units, first, group, near, pairs):
+    for scratch in (units, first, group, near, pairs, second):
         forget(scratch)
     of_class = classes.select("cls", "h2", "n", "doc_id").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))
     least = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
