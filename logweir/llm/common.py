@@ -44,6 +44,15 @@ def forget(df: DataFrame | None) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def packed(df: DataFrame, *columns) -> DataFrame:
+    """`row`, all columns of df as one, beside the given columns: whatever df's columns are named, they meet no other."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *columns)
+
+
+def unpacked(df: DataFrame, *more) -> DataFrame:
+    return df.select("row.*", *more)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, size: str = "8m"):
     """Actions inside send Python at most about `size` of rows at a time, so that large rows don't fill its memory."""

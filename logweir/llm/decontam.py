@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import table
+from .common import packed, table, unpacked
 from .hashing import U, windows, words
 
 #: Words of a tile at least, and the share of an item's words that tiles must cover.
@@ -153,7 +153,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, covera
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all their columns, into which no item has leaked."""
-    return with_leaks(docs, benchmark).where(F.size("leaks") == 0).select(*docs.columns)
+    return unpacked(with_leaks(packed(docs, "text"), benchmark).where(F.size("leaks") == 0))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

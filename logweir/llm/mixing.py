@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, packed, table, unpacked, written
 
 BUCKETS = 1 << 16
 #: A source is not repeated more often than this in the query and the pipeline.
@@ -105,10 +105,12 @@ def plan(docs: DataFrame, budget: int | None = None, entropy: float | None = Non
 
 
 def mix(docs: DataFrame, budget: int | None = None, entropy: float | None = None, repetition: float | None = REPETITION_LIMIT, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each draw: doc_id, source, the columns in keep, n_tokens, draw_pass (from 0), draw_key (the order within
-    the pass), weight and quota. Draws of a source have at most its quota of tokens; less than one document is left over.
+    """A row for each draw: doc_id, source, n_tokens, draw_pass (from 0), draw_key (the order within the pass), weight and quota.
+    Draws of a source have at most its quota of tokens; less than one document is left over. With keep, the columns in it take the
+    place of doc_id and source, and a column of the draw that has one of their names is called draw_<name>.
     """
-    counted = docs.select("doc_id", "source", *(c for c in keep if c not in ("doc_id", "source")), n_tokens(F.col("text")).alias("n_tokens"))
+    kept = docs.select(*(F.col(f"`{c}`") for c in keep or ("doc_id", "source")))
+    counted = packed(docs, "doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")).withColumn("row", F.struct(*(F.col(f"row.`{c}`").alias(c) for c in kept.columns)))
     counted = counted.withColumn("bucket", F.pmod(_hash(seed, F.col("doc_id")), F.lit(BUCKETS)).cast("int"))
     planned = plan(counted.select("source", "bucket", F.col("n_tokens").alias("tokens")), budget, entropy, repetition, seed)
     planned = planned.withColumnsRenamed({"source": "of", "bucket": "b"})
@@ -120,7 +122,13 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float | None = None
     drawn = drawn.withColumn("times", F.col("passes") + F.col("fits")).where("times > 0")
     drawn = drawn.withColumn("draw_pass", F.explode(F.sequence(F.lit(0), (F.col("times") - 1).cast("int"))))
     key = F.format_string("%016x", _hash(seed, F.col("draw_pass").cast("long"), F.col("bucket"))), F.format_string("%016x", _hash(seed + 1, F.col("draw_pass").cast("long"), F.col("doc_id")))
-    return drawn.withColumn("draw_key", F.concat_ws("-", *key)).drop("bucket", "passes", "cut", "before", "room", "fits", "times")
+    taken, own = {c.lower() for c in kept.columns}, []
+    for name, column in (("n_tokens", F.col("n_tokens")), ("draw_pass", F.col("draw_pass")), ("draw_key", F.concat_ws("-", *key)), ("weight", F.col("weight")), ("quota", F.col("quota"))):
+        while name in taken:
+            name = f"draw_{name}"
+        taken.add(name)
+        own.append(column.alias(name))
+    return unpacked(drawn, *own)
 
 
 def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, components, forget, runs, small_batches, table, written
+from .common import blocks, components, forget, packed, runs, small_batches, table, unpacked, written
 from .hashing import U, mix, shingles
 
 #: Slots that n-grams are counted in; the counts are all that the driver gets, 2 MB for any input.
@@ -354,10 +354,10 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
+    kept = packed(docs, F.col("doc_id").cast("long").alias("id"), "text").join(gone, F.col("id") == F.col("gone"), "left_anti")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.where("id is not null").dropDuplicates(["id", "text"]).unionByName(kept.where("id is null"))
+    return unpacked(kept)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

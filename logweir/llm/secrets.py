@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import packed, table, written
 
 
 class Rule(NamedTuple):
@@ -112,14 +112,13 @@ def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFr
     flagged = written(findings.select("blob").distinct().withColumn("flagged", F.lit(True)), "secret-blobs")
     if flagged.count() <= BROADCAST_ROWS:
         flagged = F.broadcast(flagged)
-    held = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    joined = held.join(flagged, "blob", "left")
-    out = joined
+    rows = packed(docs, F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), F.col("text").alias("body")).join(flagged, "blob", "left")
     for rule in rules:  # a column each, since a nested expression would be computed again for every use
-        out = out.withColumn("text", F.when(F.col("flagged"), redacted(F.col("text"), rule)).otherwise(F.col("text")))
+        rows = rows.withColumn("body", F.when(F.col("flagged"), redacted(F.col("body"), rule)).otherwise(F.col("body")))
+    new = {"text": F.col("body")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("flagged"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("flagged"), F.char_length("body").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import remainder, table
+from .common import packed, remainder, table, unpacked
 
 #: Labelled documents that lexicon and weights are fitted on at most, chosen by a hash of their id.
 SAMPLE = 8000
@@ -274,7 +274,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
 def reject(docs: DataFrame, labels: DataFrame, learn: Column | None = None, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all their columns, that score below the threshold."""
     model = fit(docs.where(learn) if learn is not None else docs, labels)
-    return scored(docs, model, [F.col(c) for c in docs.columns]).where(F.col("score") < threshold).select(*docs.columns)
+    return unpacked(scored(packed(docs, "text"), model, ["row"]).where(F.col("score") < threshold))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
