@@ -75,6 +75,14 @@ def remainder(doc_id: Column, n: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
+def sampled(doc_id: Column, wanted: int, total: int, seed: int) -> Column:
+    """Whether a hash of the id picks a row for a sample of about `wanted` of `total` rows; all of them if there are no more.
+    Tasks pick on their own, so nothing but the sample leaves them."""
+    if total <= wanted:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 40)) < int((1 << 40) * wanted / total)
+
+
 def _forest(edges: DataFrame, chunk: int = 2_000_000) -> DataFrame:
     """Each task's edges cut down to a spanning forest of (node, smallest node of its tree): at most one edge a node."""
     import numpy as np

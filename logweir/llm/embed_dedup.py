@@ -84,14 +84,26 @@ def _filtered(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "label", F.col("embedding").cast("array<double>").alias("v"), "m").mapInArrow(of, f"cls long, label {dict(classes.dtypes)['label']}, dim int, m long, vector binary, filters array<int>")
 
 
-def _smallest_shared(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest filter that rows a and b of f (sorted, padded with distinct negative numbers at the end) share."""
-    out = np.empty(len(a), np.int64)
-    for i in range(0, len(a), 2048):
-        x, y = f[a[i : i + 2048]], f[b[i : i + 2048]]
-        same = (x[:, :, None] == y[:, None, :]).any(axis=2)
-        out[i : i + 2048] = x[np.arange(len(x)), same.argmax(axis=1)]
-    return out
+def _first_here(lists: list[np.ndarray], here: int, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Whether rows a and b (indices of lists) share no filter smaller than `here`: there they would have been counted."""
+    rows = np.unique(np.concatenate([a, b]))
+    smaller = [lists[r][lists[r] < here] for r in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(s) for s in smaller])
+    names, column, often = np.unique(np.concatenate(smaller), return_inverse=True, return_counts=True)
+    keep = often[column] > 1
+    names, column = np.unique(column[keep], return_inverse=True)
+    owner, at_a, at_b = owner[keep], np.searchsorted(rows, a), np.searchsorted(rows, b)
+    free = np.ones(len(a), bool)
+    for first in range(0, len(names), size):  # a table of rows and filters, some filters at a time
+        some = (column >= first) & (column < first + size)
+        held = np.zeros((len(rows), min(size, len(names) - first)), np.float32)
+        held[owner[some], column[some] - first] = 1
+        if len(a) > 4 * len(rows):
+            free &= (held @ held.T)[at_a, at_b] == 0
+        else:
+            for i in range(0, len(a), 4096):
+                free[i : i + 4096] &= ~((held[at_a[i : i + 4096]] * held[at_b[i : i + 4096]]).any(axis=1))
+    return free
 
 
 def _compared(units: DataFrame, threshold: float) -> DataFrame:
@@ -105,8 +117,6 @@ def _compared(units: DataFrame, threshold: float) -> DataFrame:
             cls, m, own = (rows.column(c).to_numpy() for c in ("cls", "m", "own"))
             x = np.stack([np.frombuffer(v.as_py(), np.float64) for v in rows.column("vector")])
             lists = [np.asarray(v.values) for v in rows.column("filters")]
-            wide = max(map(len, lists))
-            f = np.stack([np.concatenate([v, -1 - i * wide - np.arange(wide - len(v))]) for i, v in enumerate(lists)]).astype(np.int64)
             links, tree, ea, eb = np.zeros(len(cls), np.int64), np.arange(len(cls)), [], []
             for a in range(0, len(cls), 512):
                 cos = x[a : a + 512] @ x[a:].T
@@ -116,7 +126,7 @@ def _compared(units: DataFrame, threshold: float) -> DataFrame:
                 i, j = i[keep], j[keep]
                 if not len(i):
                     continue
-                keep = _smallest_shared(f, i, j) == here
+                keep = _first_here(lists, here, i, j, 512)
                 i, j = i[keep], j[keep]
                 np.add.at(links, i, m[j])
                 np.add.at(links, j, m[i])

@@ -5,7 +5,7 @@ hashed into BUCKETS rows of an embedding matrix. A text is the mean of the embed
 softmax are trained together by stochastic gradient descent in numpy. The temperature of the softmax and the score below
 which a prediction is rejected are calibrated on a part of the sample that training does not see.
 
-The model is fitted on at most SAMPLE documents with a language; every text is scored whole. The model has a fixed size
+The model is fitted on about SAMPLE documents with a language; every text is scored whole. The model has a fixed size
 (BUCKETS x DIM floats) and goes to the workers once each.
 
 Defined results: a null text, an empty one or one without letters gives `und` with score 0, and is rejected; nulls in lang are
@@ -24,19 +24,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import remainder, table
+from .common import remainder, sampled, table
 
 BUCKETS = 1 << 15
 DIM = 16
-#: Documents the model is fitted on at most, chosen by a hash of their id.
+#: Documents the model is fitted on, in expectation, chosen by a hash of their id.
 SAMPLE = 3000
 #: Of the sample, the part kept for calibration.
 CALIBRATION = 0.2
 EPOCHS = 8
-RATE = 0.5
+RATE = 0.1
 BATCH = 32
-#: Share of right predictions that calibration keeps when it sets the score of rejection.
-KEEP = 0.995
+#: Share of right predictions that calibration keeps when it sets the score of rejection, and the highest such score.
+KEEP, MOST = 0.995, 0.9
 ORDERS = (1, 2, 3, 4)
 UND = "und"
 _MARK = 1
@@ -125,6 +125,8 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model | None:
     def means(rows: np.ndarray) -> np.ndarray:
         return np.stack([(c[:, None] * matrix[b]).sum(axis=0) / c.sum() for b, c in (bags[i] for i in rows)])
 
+    # steps are scaled by the size of past gradients, each n-gram's by its own
+    past_m, past_w, past_b = np.full(BUCKETS, 1e-8, np.float32), np.full(weights.shape, 1e-8, np.float32), np.full(len(langs), 1e-8, np.float32)
     for epoch in range(EPOCHS):
         order, rate = fit[rng.permutation(len(fit))], RATE * (1 - epoch / EPOCHS)
         for a in range(0, len(order), BATCH):
@@ -133,26 +135,32 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model | None:
             p = _softmax(v @ weights + bias)
             p[np.arange(len(rows)), y[rows]] -= 1
             back = p @ weights.T
-            weights -= rate * v.T @ p * 0.5
-            bias -= rate * p.mean(axis=0) * 0.1
-            for g, i in zip(back, rows):
+            g, gb = v.T @ p / len(rows), p.mean(axis=0)
+            past_w += g * g
+            past_b += gb * gb
+            weights -= rate * g / np.sqrt(past_w)
+            bias -= rate * gb / np.sqrt(past_b)
+            for gv, i in zip(back, rows):
                 b, c = bags[i]
-                matrix[b] -= rate * 20 * (c / c.sum())[:, None].astype(np.float32) * g
+                part = (c / c.sum()).astype(np.float32)
+                past_m[b] += part * part * (gv @ gv)
+                matrix[b] -= rate * (part / np.sqrt(past_m[b]))[:, None] * gv
     scores = means(held) @ weights + bias if len(held) else np.zeros((0, len(langs)), np.float32)
     best, temperature = np.inf, 1.0
-    for t in np.geomspace(0.05, 20, 60):
+    for t in np.geomspace(0.25, 4, 60):
         loss = -np.log(np.maximum(_softmax(scores / t)[np.arange(len(held)), y[held]], 1e-12)).mean() if len(held) else 0.0
         if loss < best:
             best, temperature = loss, float(t)
     p = _softmax(scores / temperature) if len(held) else np.zeros((0, len(langs)))
     right = p.max(axis=1)[p.argmax(axis=1) == y[held]] if len(held) else np.zeros(0)
-    reject = float(np.quantile(right, 1 - KEEP)) if len(right) else 0.0
+    reject = min(MOST, float(np.quantile(right, 1 - KEEP))) if len(right) else 0.0
     return Model(langs, matrix, weights, bias, temperature, reject)
 
 
 def _model(docs: DataFrame, seed: int) -> Model | None:
-    known = docs.where("lang is not null and text is not null").withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(seed)))
-    rows = known.orderBy("h", "doc_id", "text", "lang").limit(SAMPLE).select("text", "lang").collect()
+    known = docs.where("lang is not null and text is not null")
+    rows = known.where(sampled(F.col("doc_id"), SAMPLE, known.select("lang").count(), seed)).select("text", "lang").collect()
+    rows.sort()  # the fit does not depend on the order of partitions
     return train([r[0] for r in rows], [r[1] for r in rows], seed)
 
 

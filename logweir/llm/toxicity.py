@@ -7,7 +7,7 @@ A weight for each kind is fitted on labelled documents, and a document's score i
 its matched clauses. Words outside a match count for nothing.
 
 Insult stems are learned from labelled documents: prefixes and whole words that are frequent in toxic documents and all
-but absent from others, chosen so that they cover each toxic document a few times. At most SAMPLE labelled documents are learned from;
+but absent from others, chosen so that they cover each toxic document a few times. About SAMPLE labelled documents are learned from;
 every text is scored whole.
 
 Defined results: null and empty texts get the score of a text without matches; documents with several labels count as toxic if
@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import packed, remainder, table, unpacked
+from .common import packed, remainder, sampled, table, unpacked
 
-#: Labelled documents that lexicon and weights are fitted on at most, chosen by a hash of their id.
+#: Labelled documents that lexicon and weights are fitted on, in expectation, chosen by a hash of their id.
 SAMPLE = 8000
 #: Candidate stems that the fit looks at, at most, those in most toxic documents first.
 CANDIDATES = 20_000
 #: A toxic document asks for so many stems; a stem must serve so large a share of toxic documents.
-COVER, SERVE = 4, 0.004
+COVER, SERVE = 4, 0.02
 PREFIXES = (4, 5, 6, 7, 8)
 
 # The words of the classes in English, German, French and Spanish.
@@ -80,11 +80,11 @@ def compose(a: Machine, b: Machine, symbols: range | list) -> Machine:
 
 
 def _negation() -> Machine:
-    """Marks insults and threats up to REACH words after a negation."""
+    """Marks the first insult or threat up to REACH words after a negation."""
     arcs = {}
     for left in range(REACH + 1):
         for x in range(6):
-            after = REACH if x == NEGATION else max(0, left - 1)
+            after = REACH if x == NEGATION else 0 if x in (INSULT, THREAT) else max(0, left - 1)
             arcs[left, x] = (x, bool(left) and x in (INSULT, THREAT), False), after
     return Machine(0, arcs)
 
@@ -169,9 +169,9 @@ def _stems(text: str | None) -> set[str]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
-    """Rows (text, toxic) of at most SAMPLE labelled documents; their ids are all that is broadcast."""
-    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(SAMPLE)
+    """Rows (text, toxic) of about SAMPLE labelled documents (of all, if there are no more); their ids are all that is broadcast."""
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = known.where(sampled(F.col("doc_id"), SAMPLE, known.count(), seed))
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
 
 
