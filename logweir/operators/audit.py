@@ -53,6 +53,13 @@ def event_audit(log: DataFrame) -> DataFrame:
     )
 
 
+def command_rows(outcomes: DataFrame) -> DataFrame:
+    """Audit rows of commands (command_id, command_type, stream columns, user_id, occurred_at, vetoed, error, n_events) and of audited
+    queries, which have no command id and no aggregate: SUCCESS with the events' number, VETOED or FAILURE with none."""
+    outcome = F.when(F.col("error").isNotNull(), "FAILURE").when(F.coalesce("vetoed", F.lit(False)), "VETOED").otherwise("SUCCESS")
+    return outcomes.withColumn("outcome", outcome).withColumn("event_count", F.when(F.col("outcome") == "SUCCESS", F.coalesce("n_events", F.lit(0))).otherwise(0)).withColumnRenamed("error", "error_message").drop("vetoed", "n_events")
+
+
 def causation_closure(events: DataFrame, root: str, most_hops: int | None = None) -> DataFrame:
     """All events that the root caused, directly or not, and the root itself. A hop is a join of the frontier with events whose
     cause it is; what was seen before is left out, so cycles end. Each hop is cut off by a checkpoint."""

@@ -50,6 +50,21 @@ def snapshot_points(log: DataFrame, every: int) -> DataFrame:
     return log.where(F.col("version") % every == 0)
 
 
+def save_snapshots(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Snapshots after an upsert: one counts only if the purge generation that it was made under is still the stored one."""
+    at = stored.select(*(F.col(k).alias(f"_{k}") for k in STREAM), F.col("purge_generation").alias("_g"))
+    joined = new.join(at, [new[k] == at[f"_{k}"] for k in STREAM], "left")
+    fit = joined.where(F.col("_g").isNull() | (F.col("_g") == F.col("purge_generation"))).select(*new.columns)
+    return stored.join(fit.select(*STREAM), list(STREAM), "left_anti").unionByName(fit.select(*stored.columns))
+
+
+def purge_snapshots(stored: DataFrame, streams: DataFrame) -> DataFrame:
+    """Snapshots of the given streams lose their state, and their generation goes up, so that none made before is saved."""
+    hit = streams.select(*STREAM, F.lit(True).alias("_hit")).distinct()
+    rows = stored.join(hit, list(STREAM), "left")
+    return rows.withColumn("state", F.when(F.col("_hit"), None).otherwise(F.col("state"))).withColumn("purge_generation", F.col("purge_generation") + F.coalesce(F.col("_hit").cast("long"), F.lit(0))).select(*stored.columns)
+
+
 def load(log: DataFrame, snapshots: DataFrame, expected: int = 0, reachable: tuple[int, ...] = ()) -> DataFrame:
     """The log's tail of every stream: events after its snapshot, with snapshot_version. expected -1 ignores snapshots, 0
     takes any, n takes those of version n or of a reachable (migratable) one."""

@@ -110,6 +110,16 @@ def page_with_total(view: DataFrame, request: PageRequest, where: Column | None
     return total.join(page_rows(view, request, where), F.lit(True), "left")
 
 
+def write_view(view: DataFrame, path: str, index: tuple[str, ...] = ("id",), files: int = 0) -> None:
+    """Writes a view laid out for filters and sorts on the index fields: ranges of them in each file, sorted, so that reads skip
+    files and row groups by their bounds."""
+    for field in index:
+        refuse_encrypted(view, field)
+    keys = [F.col(f) for f in index]
+    parts = view.repartitionByRange(files, *keys) if files else view.repartitionByRange(*keys)
+    parts.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
 # writes: a view is a log of writes, read latest first
 
 

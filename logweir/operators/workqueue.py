@@ -76,6 +76,26 @@ def transition(outbox: DataFrame, asked: DataFrame, kind: str, claimer: str | No
     return rows.select(*outbox.columns)
 
 
+def insert(outbox: DataFrame, entries: DataFrame) -> DataFrame:
+    """The outbox with new entries; an entry_id that it has, or that comes twice, counts once."""
+    fresh = entries.dropDuplicates(["entry_id"]).join(outbox.select("entry_id"), "entry_id", "left_anti")
+    return outbox.unionByName(fresh.select(*outbox.columns))
+
+
+def reclaimed(outbox: DataFrame, as_of: str, claimed_at: str, lease_s: float) -> DataFrame:
+    """Entries in progress whose claim is older than the lease are pending again."""
+    old = (F.col("status") == "IN_PROGRESS") & (F.col(claimed_at) <= _now(as_of) - F.expr(f"make_dt_interval(0, 0, 0, {lease_s:.3f})"))
+    return outbox.withColumn("claimed_by", F.when(old, None).otherwise(F.col("claimed_by"))).withColumn("status", F.when(old, "PENDING").otherwise(F.col("status")))
+
+
+def newest_letters(letters: DataFrame, most: int) -> DataFrame:
+    return letters.orderBy(F.desc("published_at"), F.desc("n")).limit(most)
+
+
+def letters_of_key(letters: DataFrame, key: str) -> DataFrame:
+    return letters.where(F.col("idempotency_key") == key).orderBy("published_at", "n")
+
+
 def blockage(outbox: DataFrame) -> DataFrame:
     """n_streams blocked by failed entries, the oldest failure, and n_free failed entries without a stream."""
     key = F.when(F.col("aggregate_id").isNotNull(), F.struct(*STREAM))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import logging
 import threading
 import time
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -85,6 +87,8 @@ class StoredLog:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.lock = spark, path.rstrip("/"), threading.Lock()
+        #: Called with the events of each commit, after it; a failure is logged and has no effect on the commit.
+        self.after_commit: list[Callable[[DataFrame], None]] = []
 
     def _read(self, name: str, schema) -> DataFrame:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -114,7 +118,12 @@ class StoredLog:
                 if "\\u0000" in rows[-1][5] or "\0" in rows[-1][5]:
                     raise ValueError("a payload can't hold U+0000")
             self.spark.createDataFrame(rows, EVENT_LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/events")
-            return [r[0] for r in rows]
+        for listener in self.after_commit:
+            try:
+                listener(self.spark.createDataFrame(rows, EVENT_LOG))
+            except Exception:
+                logging.getLogger(__name__).exception("an inline projection failed")
+        return [r[0] for r in rows]
 
     def append_once(self, stream: str, events: list[dict], expected: int, key: str, command: str) -> tuple[list[int], int, bool]:
         """(offsets, final version, already applied): the first call with a key appends, a later one gets its result."""

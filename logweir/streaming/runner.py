@@ -137,6 +137,45 @@ class Runner:
         return out
 
 
+def run_all(runner: Runner, projections: list[Projection]) -> dict[str, int | BaseException]:
+    """Each projection in a thread of its own; a failure stops its projection and no other."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(p: Projection) -> int | BaseException:
+        try:
+            return runner.catch_up(p)
+        except Exception as error:
+            return error
+
+    with ThreadPoolExecutor(max(1, len(projections))) as pool:
+        return dict(zip((p.name for p in projections), pool.map(one, projections)))
+
+
+def run_scheduled(runner: Runner, projection: Projection, cron, now: Callable[[], object], ticks: int) -> list[int]:
+    """One catch-up at each of the next `ticks` times of a cron expression."""
+    done = []
+    for _ in range(ticks):
+        at = cron.next_fire(now())
+        if at is None:
+            break
+        runner.wait(max(0.0, (at - now()).total_seconds()))
+        done.append(runner.catch_up(projection))
+    return done
+
+
+def follow_stream(spark: SparkSession, path: str, schema, kind: str, ident: str, update: Callable[[DataFrame, int], None], checkpoint: str, after: int = 0, **trigger):
+    """The events of one stream; the checkpoint moves on with the whole log, the filter goes to the files. With after at the head
+    of the log it is a live feed without a replay."""
+    stream = spark.readStream.schema(schema).parquet(path)
+    mine = stream.where((F.col("aggregate_type") == kind) & (F.col("aggregate_id") == ident) & (F.col("global_offset") > after))
+    return mine.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def measured(df: DataFrame, name: str) -> DataFrame:
+    """Counts the rows and the offsets that pass, as a named observation of the query."""
+    return df.observe(name, F.count("*").alias("rows"), F.max("global_offset").alias("last_offset"))
+
+
 def follow(spark: SparkSession, path: str, schema, update: Callable[[DataFrame, int], None], checkpoint: str, files_per_batch: int = 100, **trigger):
     """A projection as a streaming query over the folder of a log: availableNow for one pass, processingTime to stay."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)

@@ -258,3 +258,85 @@ def test_cache():
     assert cached.dispatch(Q((1,)), "u") == 5
     with pytest.raises(ValueError):
         bus.dispatch("nothing")
+
+
+def test_cron():
+    from datetime import timezone
+
+    from logweir.functions.cron import Cron
+
+    at = lambda *x: datetime(*x, tzinfo=timezone.utc)
+    assert Cron("0 */15 * * * *").next_fire(at(2024, 1, 1, 0, 0)) == at(2024, 1, 1, 0, 15)
+    assert Cron("30 0 9 * * MON-FRI").next_fire(at(2024, 1, 5, 9, 0, 30)) == at(2024, 1, 8, 9, 0, 30)
+    assert Cron("0 0 0 L * *").next_fire(at(2024, 2, 1)) == at(2024, 2, 29)
+    assert Cron("0 0 0 * * TUE#2").next_fire(at(2024, 1, 1)) == at(2024, 1, 9)
+    assert Cron("@daily", "Europe/Berlin").next_fire(at(2024, 1, 1)) == at(2024, 1, 1, 23)
+    assert Cron("0 30 2 * * *", "Europe/Berlin").next_fire(at(2024, 3, 30, 12)).astimezone(timezone.utc) == at(2024, 4, 1, 0, 30)
+    assert Cron("0 0 0 30 2 *").next_fire(at(2024, 1, 1)) is None
+    for bad in ("* * * * *", "61 * * * * *", "0 0 0 5-1 * *"):
+        with pytest.raises(ValueError):
+            Cron(bad)
+
+
+def test_runners_of_several_projections(spark, tmp_path):
+    from logweir.functions.cron import Cron
+
+    events = spark.range(1, 5).select(F.col("id").alias("global_offset"))
+    r = runner.Runner(spark, lambda: events, str(tmp_path), wait=lambda s: None)
+
+    def fails(rows):
+        raise ValueError("no")
+
+    got = runner.run_all(r, [runner.Projection("a", lambda rows: None), runner.Projection("b", fails)])
+    assert got["a"] == 1 and isinstance(got["b"], ValueError) and r.position("a")["offset"] == 4 and r.position("b")["offset"] == 0
+    from datetime import timezone
+
+    assert runner.run_scheduled(r, runner.Projection("c", lambda rows: None), Cron("@hourly"), lambda: datetime(2024, 1, 1, tzinfo=timezone.utc), 2) == [1, 0]
+
+
+def test_one_stream_as_a_query(spark, tmp_path):
+    store = log.StoredLog(spark, str(tmp_path / "log"))
+    inline = []
+    store.after_commit += [lambda rows: inline.append(rows.count()), lambda rows: 1 / 0]
+    for i in (1, 2):
+        store.append(f"cart:{i}", [{"event_type": "A", "payload": {}, "metadata": meta(i)}], 0)
+    assert inline == [1, 1]
+    got = []
+    runner.follow_stream(spark, f"{store.path}/events", schema.EVENT_LOG, "cart", "2", lambda rows, _: got.extend(rows.collect()), str(tmp_path / "ck")).awaitTermination()
+    assert [r["aggregate_id"] for r in got] == ["2"]
+    every = []
+    runner.follow(spark, f"{store.path}/events", schema.EVENT_LOG, runner.once(lambda rows: every.extend(rows.collect()), lambda: 1), str(tmp_path / "ck2")).awaitTermination()
+    assert [r["global_offset"] for r in every] == [2]
+    assert schema.invalid_ids(store.events()).count() == 0
+
+
+def test_snapshots_of_a_purged_generation_are_not_saved(spark):
+    kind = "aggregate_type string, aggregate_id string, version long, state string, purge_generation long"
+    stored = spark.createDataFrame([("a", "1", 5, "x", 0), ("a", "2", 5, "y", 0)], kind)
+    purged = fold.purge_snapshots(stored, stored.where("aggregate_id = '1'"))
+    new = spark.createDataFrame([("a", "1", 9, "n", 0), ("a", "2", 9, "n", 0), ("a", "3", 2, "n", 0)], kind)
+    got = {r["aggregate_id"]: (r["version"], r["state"], r["purge_generation"]) for r in fold.save_snapshots(purged, new).collect()}
+    assert got == {"1": (5, None, 1), "2": (9, "n", 0), "3": (2, "n", 0)}
+
+
+def test_outbox_inserts_and_leases(spark):
+    box = outbox(spark, [(1, "a", "PENDING")])
+    more = outbox(spark, [(1, "a", "PENDING"), (2, "a", "IN_PROGRESS"), (2, "a", "IN_PROGRESS")])
+    full = workqueue.insert(box, more)
+    assert sorted(r["seq"] for r in full.collect()) == [1, 2]
+    late = full.withColumn("claimed_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    assert {r["status"] for r in workqueue.reclaimed(late, "2024-01-01 00:01:00", "claimed_at", 60).collect()} == {"PENDING"}
+    letters = spark.createDataFrame([(1, "k", datetime(2024, 1, 1)), (2, "k", datetime(2024, 1, 2)), (3, "m", datetime(2024, 1, 2))], "n long, idempotency_key string, published_at timestamp")
+    assert [r["n"] for r in workqueue.newest_letters(letters, 2).collect()] == [3, 2] and [r["n"] for r in workqueue.letters_of_key(letters, "k").collect()] == [1, 2]
+
+
+def test_audit_rows(spark):
+    rows = spark.createDataFrame([("c1", None, False, 3), ("c2", "boom", False, 3), ("c3", None, True, None)], "command_id string, error string, vetoed boolean, n_events int")
+    assert [(r["outcome"], r["event_count"]) for r in audit.command_rows(rows).orderBy("command_id").collect()] == [("SUCCESS", 3), ("FAILURE", 0), ("VETOED", 0)]
+
+
+def test_views_are_laid_out_by_their_index(spark, tmp_path):
+    readmodel.write_view(spark.range(1000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 7).alias("rank")), str(tmp_path / "v"), ("rank",), 4)
+    back = spark.read.parquet(str(tmp_path / "v"))
+    spread = back.groupBy(F.input_file_name().alias("f")).agg(F.count_distinct("rank").alias("n")).collect()
+    assert back.count() == 1000 and max(r["n"] for r in spread) <= 3
