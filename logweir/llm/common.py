@@ -133,8 +133,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
     now = written(_forest(edges), "edges")
-    print_sum = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    mark, last = print_sum(now), None
+    state = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    mark, last = state(now), None
     while mark["n"]:
         # large-star: what is larger than u goes to the smallest neighbour of u
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -145,7 +145,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
         nxt = written(small.where("a <> b").distinct(), "edges")
-        seen = print_sum(nxt)
+        seen = state(nxt)
         forget(last)
         last, now = now, nxt
         if seen == mark:

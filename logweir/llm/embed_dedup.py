@@ -170,3 +170,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op1_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = f"""
+with recursive v as (select vec_id, label, cast(embedding as double[]) as x from embeddings where label is not null and embedding is not null),
+u as (select vec_id, label, x, len(x) as d, sqrt(list_sum(list_transform(x, lambda c: c * c))) as norm from v where list_bool_and(list_transform(x, lambda c: c is not null and isfinite(c)))),
+p as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.d = b.d and a.vec_id <> b.vec_id where a.norm > 0 and b.norm > 0 and list_dot_product(a.x, b.x) / (a.norm * b.norm) >= {THRESHOLD}),
+r as (select vec_id, vec_id as root from embeddings union select p.b, r.root from r join p on p.a = r.vec_id),
+n as (select a as vec_id, count(*) as n from p group by a)
+select e.vec_id, coalesce(any_value(n), 0) as n_links, min(root) as component_id, e.vec_id = min(root) as kept from embeddings e join r using (vec_id) left join n using (vec_id) group by e.vec_id
+"""

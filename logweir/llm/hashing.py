@@ -61,26 +61,40 @@ def _bundles(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def _word_hashes(own: np.ndarray, cut: np.ndarray, value: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of some bytes; a word ends where cut is true."""
+    inside = ~space[own]
+    before = np.concatenate([[False], inside[:-1]]) & ~cut[:-1]
+    after = np.concatenate([inside[1:], [False]]) & ~cut[1:]
+    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    up, down = _powers(1 << max(20, int(len(own)).bit_length()))
+    total = np.concatenate([np.zeros(1, U), np.cumsum(value[own] * up[: len(own)], dtype=U)])
+    return start, mix((total[end] - total[start]) * down[start])
+
+
 def words(texts: pa.Array, most: int = 1 << 20, bare: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, hashes of the words of a range of texts, offsets of its texts in them). A-Z counts as a-z; bare words have no ASCII
-    punctuation."""
+    punctuation. A text of more than `most` bytes is hashed in pieces that end between words."""
     data, offsets = _flat(texts)
     value, space = _tables(bare)
     for first, last in _bundles(offsets, most):
         own = data[offsets[first] : offsets[last]]
         at = offsets[first : last + 1] - offsets[first]
-        if not len(own):
-            yield first, np.empty(0, U), np.zeros(last - first + 1, np.int64)
+        if len(own) <= most:
+            cut = np.zeros(len(own) + 1, bool)
+            cut[at] = True
+            start, hashes = _word_hashes(own, cut, value, space) if len(own) else (np.empty(0, np.int64), np.empty(0, U))
+            yield first, hashes, np.searchsorted(start, at)
             continue
-        inside = ~space[own]
-        cut = np.zeros(len(own) + 1, bool)
-        cut[at] = True
-        before = np.concatenate([[False], inside[:-1]]) & ~cut[:-1]
-        after = np.concatenate([inside[1:], [False]]) & ~cut[1:]
-        start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        up, down = _powers(1 << max(20, int(len(own)).bit_length()))
-        total = np.concatenate([np.zeros(1, U), np.cumsum(value[own] * up[: len(own)], dtype=U)])
-        yield first, mix((total[end] - total[start]) * down[start]), np.searchsorted(start, at)
+        parts, a = [], 0
+        while a < len(own):
+            b = min(len(own), a + most)
+            while b < len(own) and not space[own[b]]:  # a longer word stays whole
+                b += 1
+            parts.append(_word_hashes(own[a:b], np.zeros(b - a + 1, bool), value, space)[1])
+            a = b
+        hashes = np.concatenate(parts)
+        yield first, hashes, np.array([0, len(hashes)])
 
 
 def shingles(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:

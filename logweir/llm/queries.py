@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_cap_filters": embed_dedup.OP1_SQL,
     "op3_perspective_rotation": chat.OP3_SQL,
     "op5_secret_scans": secrets.OP5_SQL,
+    "op10_ngram_jaccard": ngram_join.OP10_SQL,
 }

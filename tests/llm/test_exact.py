@@ -118,6 +118,17 @@ def test_shingles_are_those_of_words():
         assert len(s) == len(grams(texts[i], 3))
 
 
+def test_long_texts_are_hashed_in_pieces():
+    import pyarrow as pa
+
+    from logweir.llm.hashing import words as hashed
+
+    text = " ".join(f"w{i % 91}" * (1 + i % 7) for i in range(4000)) + " " + "x" * 900 + "  end"
+    ((_, want, _),) = hashed(pa.array([text]))
+    ((_, got, at),) = hashed(pa.array([text]), most=300)
+    assert (got == want).all() and at.tolist() == [0, len(want)] == [0, len(text.split())]
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(400)] + [(1000, 1001), (1001, 1001), (1002, 1000), (None, 3)]
     random.Random(1).shuffle(edges)
