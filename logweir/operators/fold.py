@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,23 +16,36 @@ def fold_columns(log: DataFrame, folds: dict[str, Column], keys: tuple[str, ...]
 
 
 def fold_reduce(log: DataFrame, fields: tuple[str, ...], initial: Column, step: Callable[[Column, Column], Column], order: str = "version", keys: tuple[str, ...] = STREAM) -> DataFrame:
-    """A state for each stream by a column function step(state, event) in the order of versions. A stream's events meet in one row,
-    as they must for a fold that can't be combined."""
+    """A state for each stream by a column function step(state, event) in the order of versions. A stream's events meet in one row, so
+    this is for streams, or tails after a snapshot, that fit in memory; fold_python takes streams of any length."""
     rows = log.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("_events"))
     return rows.select(*keys, F.aggregate("_events", initial, step).alias("state"))
 
 
 def fold_python(log: DataFrame, evolve: Callable[[dict, dict], dict], initial: Callable[[], dict], schema: str, order: str = "version", keys: tuple[str, ...] = STREAM) -> DataFrame:
-    """The same with a Python function over dictionaries; schema names the keys and the fields of the state."""
+    """The same with a Python function over dictionaries; schema names the keys and the fields of the state. Streams are sorted by a
+    sort that spills and read batch by batch with one state in hand, so a stream of any length takes no more memory than a batch."""
     import pandas as pd
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, state = rows.sort_values(order), initial()
-        for event in rows.to_dict("records"):
-            state = evolve(state, event)
-        return pd.DataFrame([{**{k: rows[k].iloc[0] for k in keys}, **state}])
-
-    return log.groupBy(*keys).applyInPandas(run, schema)
+    columns = list(log.columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for batch in batches:
+            done = []
+            for event in batch.to_dict("records"):
+                key = tuple(event[k] for k in keys)
+                if key != at:
+                    if at is not None:
+                        done.append({**dict(zip(keys, at)), **state})
+                    at, state = key, initial()
+                state = evolve(state, event)
+            if done:
+                yield pd.DataFrame(done)
+        if at is not None:
+            yield pd.DataFrame([{**dict(zip(keys, at)), **state}])
+
+    return log.repartition(*keys).sortWithinPartitions(*keys, order).select(*columns).mapInPandas(run, schema)
 
 
 def as_of(log: DataFrame, ts: str | None = None, version: int | None = None, offset: int | None = None) -> DataFrame:

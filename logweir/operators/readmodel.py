@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_text
@@ -127,12 +127,10 @@ def upserts(writes: DataFrame, offset: str = "global_offset") -> DataFrame:
     """Rows (id, ..., deleted) in the order of offset as the view that they leave: the last write of an id that was not deleted
     after it, with version 0 for an insert and one more for each update since the last delete."""
     columns = [c for c in writes.columns if c not in ("id", "deleted", "version")]
-    run = Window.partitionBy("id").orderBy(offset).rowsBetween(Window.unboundedPreceding, -1)
-    lives = writes.withColumn("_life", F.coalesce(F.sum(F.col("deleted").cast("int")).over(run), F.lit(0)))
-    last = lives.groupBy("id").agg(F.max_by(F.struct("deleted", "_life", *columns), offset).alias("_r"))
-    counts = lives.where(~F.col("deleted")).groupBy("id", "_life").agg((F.count("*") - 1).alias("version"))
-    flat = last.where(~F.col("_r.deleted")).select("id", "_r._life", *(F.col(f"_r.{c}").alias(c) for c in columns))
-    return flat.join(counts, ["id", "_life"]).drop("_life")
+    gone = writes.where("deleted").groupBy("id").agg(F.max(offset).alias("_gone"))
+    live = writes.where("not deleted").join(gone, "id", "left").where(F.col("_gone").isNull() | (F.col(offset) > F.col("_gone")))
+    last = live.groupBy("id").agg(F.max_by(F.struct(*columns), offset).alias("_r"), (F.count("*") - 1).alias("version"))
+    return last.select("id", *(F.col(f"_r.{c}").alias(c) for c in columns), "version")
 
 
 def compare_and_set(view: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
