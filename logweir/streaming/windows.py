@@ -7,12 +7,11 @@ watermark and the fence are single values.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.windows import DROP, GRACE_S, REOPEN, _seconds, checked, pairs
+from ..operators.windows import DROP, GRACE_S, REOPEN, checked, pairs
+from .state import VersionedState
 
 #: How partial states of a fold are merged: count and sum by adding, the others by themselves.
 MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
@@ -25,28 +24,11 @@ class WindowOperator:
         checked(size_s, slide_s, grace_s)
         if policy not in (DROP, REOPEN):
             raise ValueError(policy)
-        self.spark, self.path, self.folds, self.size, self.slide, self.grace, self.policy, self.ts, self.offset = spark, path.rstrip("/"), folds, size_s, slide_s, grace_s, policy, ts, offset
-
-    # the pointer
-
-    def _fs(self, name: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return where, where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        self.store = VersionedState(spark, path, {"watermark": None, "fence": -1})
+        self.folds, self.size, self.slide, self.grace, self.policy, self.ts, self.offset = folds, size_s, slide_s, grace_s, policy, ts, offset
 
     def pointer(self) -> dict:
-        where, fs = self._fs("pointer.json")
-        if not fs.exists(where):
-            return {"version": -1, "watermark": None, "fence": -1}
-        return json.loads(self.spark.read.text(f"{self.path}/pointer.json", wholetext=True).first()[0])
-
-    def _point(self, value: dict) -> None:
-        new, fs = self._fs("pointer.new")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps(value).encode()))
-        out.close()
-        where, _ = self._fs("pointer.json")
-        fs.delete(where, False)
-        fs.rename(new, where)
+        return self.store.pointer()
 
     # a batch
 
@@ -61,7 +43,7 @@ class WindowOperator:
         late = F.lit(before is not None) & (F.lit(before if before is not None else 0.0) >= end + self.grace)
         one = {n: F.lit(1).cast("long") if k == "count" else F.col(c) for n, (k, c) in self.folds.items()}
         rows = rows.select("window_start", "window_end", F.col(self.offset).alias("_o"), late.alias("_late"), *(c.alias(n) for n, c in one.items()))
-        old = self.spark.read.parquet(f"{self.path}/v{at['version']}/state") if at["version"] >= 0 else None
+        old = self.store.table(at["version"], "state")
         opened = rows.where("not _late").groupBy("window_start", "window_end").agg(*(MERGE[k](n).alias(n) for n, (k, _) in self.folds.items()))
         opened = opened.withColumn("closed", F.lit(False))
         if old is not None:
@@ -88,18 +70,13 @@ class WindowOperator:
         state = state.where(~F.col("closed") | ~(F.lit(now if now is not None else 0.0) > end + 2 * self.grace))
         if self.policy == DROP:
             state = state.where(~F.col("closed"))
-        version = at["version"] + 1
         out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        out.write.mode("overwrite").parquet(f"{self.path}/v{version}/emissions")
-        state.write.mode("overwrite").parquet(f"{self.path}/v{version}/state")
-        self._point({"version": version, "watermark": now, "fence": max(at["fence"], fence if fence is not None else -1)})
-        if version >= 2:  # the version before the last is no longer read
-            where, fs = self._fs(f"v{version - 2}/state")
-            fs.delete(where, True)
-        return self.spark.read.parquet(f"{self.path}/v{version}/emissions")
+        values = {"watermark": now, "fence": max(at["fence"], fence if fence is not None else -1)}
+        version = self.store.commit(at, values, {"emissions": out, "state": state})
+        return self.store.table(version, "emissions")
 
     def emissions(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v*/emissions")
+        return self.store.spark.read.parquet(f"{self.store.path}/v*/emissions")
 
     def start(self, stream: DataFrame, checkpoint: str, sink=None, **trigger):
         """Runs the operator on a streaming DataFrame; sink(emissions, batch_id) gets what each batch emits."""

@@ -340,3 +340,18 @@ def test_views_are_laid_out_by_their_index(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "v"))
     spread = back.groupBy(F.input_file_name().alias("f")).agg(F.count_distinct("rank").alias("n")).collect()
     assert back.count() == 1000 and max(r["n"] for r in spread) <= 3
+
+
+def test_keyed_folds_do_not_depend_on_batches(spark, tmp_path):
+    from logweir.streaming.state import KeyedFold
+
+    kinds = ["signup", "click", "error", "purchase", "view"]
+    rows = [(i + 1, "user", str(i * 7 % 5), i // 5 + 1, kinds[(i * i + i // 3) % 5]) for i in range(60)]
+    events = spark.createDataFrame(rows, "global_offset long, aggregate_type string, aggregate_id string, version long, event_type string")
+    want = {r["aggregate_id"]: (r["status"], r["n_steps"], r["last_offset"]) for r in saga.saga_states(events, "signup", "purchase", "error").collect()}
+    start = lambda: F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).cast("long").alias("n_steps"), F.lit(-1).cast("long").alias("last_offset"))
+    op = KeyedFold(spark, str(tmp_path / "s"), ("aggregate_type", "aggregate_id"), ("event_type",), start, lambda a, e: saga.step(a, e, "signup", "purchase", "error"))
+    for a, b in ((1, 10), (5, 30), (31, 60), (1, 60)):
+        op.process(events.where(F.col("global_offset").between(a, b)))
+    got = {r["aggregate_id"]: tuple(r["state"]) for r in op.states().collect() if r["state"]["status"] is not None}
+    assert got == want and op.store.pointer()["fence"] == 60
