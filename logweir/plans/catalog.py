@@ -550,7 +550,7 @@ def id_functions(spark, d):
     )
 
 
-@query("event_ids")
+@query("event_ids", "select event_id + 1 as global_offset, 'evt_' || lower(to_base(epoch_us(ts) // 1000 - 1704067200000, 36, 9)) as code from events")
 def event_ids(spark, d):
     """Codes of event times in base 36, which sort by time."""
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
