@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +36,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and held on the executors' disks. What is lost with an executor is computed again from the input, so this is for
+    short lineages; loops cut theirs with written(). Freed by forget(), spark.catalog.clearCache() or the end of the session."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
 def forget(df: DataFrame | None) -> None:
-    """Deletes the table behind a DataFrame that written() gave and that nothing reads any more."""
+    """Frees what written() or kept() hold for a DataFrame that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)
+    if df is not None and not path:
+        df.unpersist()
     if path:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -132,7 +143,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges don't appear.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    now = written(_forest(edges), "edges")
+    now = written(_forest(edges).distinct(), "edges")  # few rows by now, which the shuffle brings into few files
     state = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     mark, last = state(now), None
     while mark["n"]:

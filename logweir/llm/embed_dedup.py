@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, components, forget, runs, table, written
+from .common import blocks, components, forget, kept, runs, small_batches, table
 
 #: Random codes of either half of the dimensions.
 CODES = 128
@@ -153,10 +153,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ids = rows.select("vec_id", "cls")
     classes = rows.where("cls is not null").groupBy("cls", "label", "embedding").agg(F.count("*").alias("m"), F.min("vec_id").alias("least"))
     members = classes.select("cls", "m", "least")
-    found = written(_filtered(classes), "cap-filters")
+    with small_batches(vectors.sparkSession):
+        found = kept(_filtered(classes))
     each = found.withColumn("filter", F.explode("filters")).withColumn("key", F.xxhash64("label", "dim", "filter")).withColumn("one", F.lit(1))
-    parts = written(_compared(blocks(each, "one", BLOCK), threshold), "cap-links")
-    members = written(members, "cap-classes")
+    with small_batches(vectors.sparkSession):
+        parts = kept(_compared(blocks(each, "one", BLOCK), threshold))
+    members = kept(members)
     linked = components(parts.where("b is not null").select("a", "b"))
     counts = parts.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     known = members.join(counts, "cls", "left").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, remainder, table, written
+from .common import remainder, small_batches, table, written
 from .hashing import U, words
 
 #: Tokens of a block, of the fit's sample, and distinct tokens of a range that is counted in one task.
@@ -290,9 +290,11 @@ def score(docs: DataFrame, held_out: Column, seed: int = 11) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs (doc_id, text);
     learned from the rows where held_out is false."""
     docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    blocks = written(coded(docs), "lm-blocks")
+    with small_batches(docs.sparkSession):
+        blocks = written(coded(docs), "lm-blocks")
     size = blocks.agg(F.sum(F.length("vocabulary") / 8).alias("v"), F.sum(F.length("counts") / 8)).first()[0] or 0
-    counts = written(totals(blocks, max(1, -(-int(size) // RANGE))), "lm-counts")
+    with small_batches(docs.sparkSession):
+        counts = written(totals(blocks, max(1, -(-int(size) // RANGE))), "lm-counts")
     whole = counts.where("block = -1")
     n, v = whole.agg(F.sum("tokens"), F.sum("distinct")).first()
     n, v = n or 0, v or 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, components, forget, packed, runs, small_batches, table, unpacked, written
+from .common import blocks, components, forget, kept, packed, runs, small_batches, table, unpacked, written
 from .hashing import U, mix, shingles
 
 #: Slots that n-grams are counted in; the counts are all that the driver gets, 2 MB for any input.
@@ -311,31 +311,31 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs (doc_id, text): linked are rows whose sets of k-word
     n-grams have 100 * |intersection| >= percent * |union|."""
     docs = docs.select("doc_id", "text")
-    rows = written(features(docs, slot_counts(docs, k), k, percent), "ngram-features")
-    classes = written(
+    with small_batches(docs.sparkSession):
+        rows = kept(features(docs, slot_counts(docs, k), k, percent))
+    classes = kept(
         rows.where("n > 0").groupBy(F.col("h1").alias("cls"), "h2", "n")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")),
-        "ngram-classes",
+        .agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     )
 
     # the first join: one bucket for each smallest hash
     smallest = classes.select(F.posexplode("low").alias("i", "x"), "cls", "doc_id", "n").select(F.xxhash64("i", "x").alias("key"), "cls", "doc_id", "n")
-    units = written(blocks(smallest, "n", BLOCK).withColumn("grp", F.col("cls")), "ngram-units")
+    units = kept(blocks(smallest, "n", BLOCK).withColumn("grp", F.col("cls")))
     with small_batches(docs.sparkSession):
-        first = written(_linked(docs, units, k, percent), "ngram-edges")
+        first = kept(_linked(docs, units, k, percent))
     group = written(components(first), "ngram-groups")
 
     # the second join: one bucket for each n-gram of a prefix
     heads = classes.select("cls", "n", F.posexplode("prefix").alias("at", "key")).select("key", "cls", "n", F.col("at").cast("long").alias("at"))
-    near = written(_near(heads, percent), "ngram-near")
+    near = kept(_near(heads, percent))
     known = classes.select("cls", "sketch").join(group.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "sketch", F.coalesce("component", "cls").alias("grp"))
     full = blocks(near, "n", BLOCK).join(known, "cls")
     # what may be similar to something of another group, in clusters
     cluster = components(_sketched(full.select("key", "lo", "hi", "cls", "n", "grp", "sketch"), percent)).select(F.col("node").alias("cls"), F.col("component").alias("key"))
     of = classes.select("cls", "doc_id", "n").join(group.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).drop("component")
-    pairs = written(blocks(cluster.join(of, "cls"), "n", BLOCK), "ngram-units")
+    pairs = kept(blocks(cluster.join(of, "cls"), "n", BLOCK))
     with small_batches(docs.sparkSession):
-        second = written(_linked(docs, pairs, k, percent), "ngram-edges")
+        second = kept(_linked(docs, pairs, k, percent))
 
     linked = written(components(first.unionByName(second)), "ngram-groups")
     for scratch in (units, first, group, near, pairs, second):
@@ -350,14 +350,14 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all their columns, without those that have a smaller doc_id in their component. Equal rows of one
     id are one document; rows without an id, which nothing can refer to, stay."""
-    found = written(similar(docs, k, percent).where("doc_id is not null"), "ngram-found")
+    found = kept(similar(docs, k, percent).where("doc_id is not null"))
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = packed(docs, F.col("doc_id").cast("long").alias("id"), "text").join(gone, F.col("id") == F.col("gone"), "left_anti")
+    left = packed(docs, F.col("doc_id").cast("long").alias("id"), "text").join(gone, F.col("id") == F.col("gone"), "left_anti")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where("id is not null").dropDuplicates(["id", "text"]).unionByName(kept.where("id is null"))
-    return unpacked(kept)
+        left = left.where("id is not null").dropDuplicates(["id", "text"]).unionByName(left.where("id is null"))
+    return unpacked(left)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
