@@ -3,17 +3,20 @@
 Tokens are words (A-Z as a-z) and an end after each text. Two models learn from the training documents:
 
 * counts of every token over all training documents, which give the smoothed unigram base score; and
-* a gated recurrent network over the KNOWN most frequent tokens, trained by truncated backpropagation in numpy, with a
+* a gated recurrent network over the most frequent tokens, trained by truncated backpropagation in numpy, with a
   softmax over classes of tokens and one within the class. Other tokens share the class `rare`, within which they have
   their smoothed share of the counts, so that the network gives a distribution over all tokens, unseen ones included.
+  KNOWN tokens are told apart up to SAMPLE training tokens, and more with the square root of the training tokens beyond.
 
 The score of a text is the log10 probability of all its tokens under a mixture of both. A document of any length is walked in windows
 with its state carried from window to window.
 
 Documents are coded once, in blocks of about BLOCK tokens with a vocabulary each. Counting sends vocabularies, not tokens:
-a block's share of a range of hashes goes to the task of that range, and the totals come back to the block. The network's
-weights are fitted on at most about SAMPLE tokens of whole training documents; counts cover all of them. Tokens are
-told apart by 64-bit hashes.
+a block's share of a range of hashes goes to the task of that range, and the totals come back to the block. The network
+starts from a fit on about SAMPLE tokens, stretches from all over the training documents. Then it learns from every training
+document: in each of ROUNDS rounds each worker improves the weights on its blocks' documents of that round, and the weights of
+the workers are averaged by their tokens. The network's share in the mixture is chosen on documents kept for the last round, before
+they are learned from. Tokens are told apart by 64-bit hashes.
 
 Defined results: a null text is an empty one, whose only token is the end; repeated rows are scored and learned from each;
 with no training document all counts are 0 and the base score is that of an empty model; an empty table gives an
@@ -34,14 +37,18 @@ from pyspark.sql import functions as F
 from .common import remainder, small_batches, table, written
 from .hashing import U, words
 
-#: Tokens of a block, of the fit's sample, and distinct tokens of a range that is counted in one task.
+#: Tokens of a block, of the sample that the fit starts from, and distinct tokens of a range that is counted in one task.
 BLOCK, SAMPLE, RANGE = 1_000_000, 300_000, 1_000_000
-#: Tokens that the network tells apart, in CLASSES classes of equal size, and its width.
+#: Tokens that the network tells apart and their classes, at least, and its width.
 KNOWN, CLASSES, WIDTH = 2048, 32, 24
 #: Truncated backpropagation: steps, parallel texts, passes, rate of learning.
 STEPS, STREAMS, PASSES, RATE = 24, 48, 4, 0.01
+#: The same over all training documents: rounds, parallel texts, rates of learning of the first and the last round.
+ROUNDS, WIDE, RATES = 4, 512, (0.004, 0.001)
+#: Tokens of a stretch of the sample, tokens on which the share is chosen (a tenth of all at most), floats of a part of the weights.
+STRETCH, CHECK, PART = 512, 100_000, 1 << 18
 #: Tokens whose outputs are computed at a time.
-WINDOW = 1 << 15
+WINDOW = 1 << 13
 END = U(0xE4D)
 RARE = 0
 
@@ -50,7 +57,7 @@ class Net(NamedTuple):
     tokens: np.ndarray  # sorted hashes of the known tokens
     ids: np.ndarray  # their numbers from 1 on; 0 is rare
     klass: np.ndarray  # class of each number; rare is class 0, alone
-    place: np.ndarray  # place within its class
+    cuts: np.ndarray  # first number of each class, and the end
     params: dict[str, np.ndarray]
     share: float  # of the network in the mixture
 
@@ -68,60 +75,83 @@ def _step(p: dict, x: np.ndarray, h: np.ndarray) -> np.ndarray:
     return new + gates[:, :d] * (h - new)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """In place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the softmax at one place of each row; z is used up."""
+    z -= z.max(axis=1, keepdims=True)
+    chosen = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    return chosen - np.log(z.sum(axis=1))
+
+
+def known_size(n: int) -> int:
+    """Tokens told apart after n training tokens."""
+    return int(KNOWN * max(1.0, n / SAMPLE) ** 0.5)
 
 
 def _classes(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class and place of numbers 0 to size: rare alone, the others by frequency in classes of equal size."""
-    each = max(1, -(-size // CLASSES))
+    """Class of numbers 0 to size and the first number of each class: rare alone, the others by frequency in classes whose sizes grow
+    with the root of the rank, so that frequent tokens are in small ones."""
     n = np.arange(size)
-    return np.concatenate([[0], 1 + n // each]), np.concatenate([[0], n % each])
+    _, k = np.unique((max(CLASSES, int(size**0.5) // 2) * np.sqrt((n + 0.5) / max(1, size))).astype(int), return_inverse=True)
+    klass = np.concatenate([[0], 1 + k]).astype(np.int64)
+    return klass, np.searchsorted(klass, np.arange(klass[-1] + 2))
 
 
 def _outputs(net: Net, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probabilities of the numbers y after the states h."""
     p = net.params
     k = net.klass[y]
-    out = _log_softmax(h @ p["C"] + p["c"])[np.arange(len(y)), k]
+    out = _log_softmax_at(h @ p["C"] + p["c"], k)
     order = np.argsort(k, kind="stable")
     cuts = np.searchsorted(k[order], np.arange(p["C"].shape[1] + 1))
     for c in range(1, p["C"].shape[1]):
         rows = order[cuts[c] : cuts[c + 1]]
         if len(rows):
-            size = int((net.klass == c).sum())
-            out[rows] += _log_softmax(h[rows] @ p["W"][c, :, :size] + p["w"][c, :size])[np.arange(len(rows)), net.place[y[rows]]]
+            a, b = net.cuts[c], net.cuts[c + 1]
+            out[rows] += _log_softmax_at(h[rows] @ p["W"][a:b].T + p["w"][a:b], y[rows] - a)
     return out
 
 
-def train(texts: list[np.ndarray], tokens: np.ndarray, seed: int = 11) -> Net:
-    """A network for tokens (hashes, the most frequent first) from texts of hashes, each ending in END."""
+def untrained(tokens: np.ndarray, seed: int = 11) -> Net:
+    """A network for tokens (hashes, the most frequent first)."""
     rng = np.random.default_rng(seed)
     size, d = len(tokens), WIDTH
     order = np.argsort(tokens)
-    klass, place = _classes(size)
-    n_classes, each = int(klass.max()) + 1, int(place.max()) + 1
+    klass, cuts = _classes(size)
+    n_classes = len(cuts) - 1
     rand = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    p = {"E": rand(size + 2, d), "X": rand(d, 3 * d), "U": rand(d, 3 * d), "b": np.zeros(3 * d, np.float32), "C": rand(d, n_classes), "c": np.zeros(n_classes, np.float32), "W": rand(n_classes, d, each), "w": np.zeros((n_classes, each), np.float32)}
+    p = {"E": rand(size + 2, d), "X": rand(d, 3 * d), "U": rand(d, 3 * d), "b": np.zeros(3 * d, np.float32), "C": rand(d, n_classes), "c": np.zeros(n_classes, np.float32), "W": rand(size + 1, d), "w": np.zeros(size + 1, np.float32)}
     p["U"][:, : 2 * d] *= 0.5
-    mask = np.full((n_classes, each), -np.inf, np.float32)  # places that no token has
-    mask[klass, place] = 0
-    net = Net(tokens[order], order + 1, klass, place, p, 1.0)
-    lines = [numbers(net, t) for t in texts if len(t)]
-    if not lines:
-        return net._replace(share=0.0)
-    first = {k: np.zeros_like(v) for k, v in p.items()}
-    second = {k: np.zeros_like(v) for k, v in p.items()}
-    t = 0
-    start = size + 1  # the input before the first token
-    for epoch in range(PASSES):
+    return Net(tokens[order], order + 1, klass, cuts, p, 0.0)
+
+
+class Learner:
+    """Improves a copy of a network's weights, by Adam. Rows of E and classes of W that a step doesn't touch stay as they are."""
+
+    def __init__(self, net: Net):
+        self.net = net._replace(params={k: v.copy() for k, v in net.params.items()})
+        self.first = {k: np.zeros_like(v) for k, v in net.params.items()}
+        self.second = {k: np.zeros_like(v) for k, v in net.params.items()}
+        self.t = 0
+
+    def learn(self, lines: list[np.ndarray], rng: np.random.Generator, rate: float, most: int) -> None:
+        """One pass over lines of numbers, of which up to `most` streams are walked side by side."""
+        p, klass, d = self.net.params, self.net.klass, WIDTH
+        start = len(self.net.tokens) + 1  # the input before the first token
         mixed = [lines[i] for i in rng.permutation(len(lines))]
         stream_x = np.concatenate([np.concatenate([[start], x[:-1]]) for x in mixed])
         stream_y, fresh = np.concatenate(mixed), np.concatenate([np.arange(len(x)) == 0 for x in mixed])
-        streams = min(STREAMS, max(1, len(stream_y) // STEPS))
-        length = len(stream_y) // streams
-        cut = lambda a: a[: streams * length].reshape(streams, length).T
+        streams = min(most, max(1, len(stream_y) // (STEPS * 16)))
+        length = -(-len(stream_y) // streams)
+        cut = lambda a: np.resize(a, streams * length).reshape(streams, length).T  # noqa: E731  # the last stream is filled from the beginning
         xs, ys, new = cut(stream_x), cut(stream_y), cut(fresh)
         h = np.zeros((streams, d), np.float32)
         for a in range(0, length, STEPS):
@@ -130,7 +160,7 @@ def train(texts: list[np.ndarray], tokens: np.ndarray, seed: int = 11) -> Net:
             xw = p["E"][x] @ p["X"] + p["b"]
             states = np.empty((len(x), streams, d), np.float32)
             for s in range(len(x)):
-                h = np.where(f[s][:, None], 0, h)
+                h = np.where(f[s][:, None], np.float32(0), h)
                 u = h @ p["U"]
                 gates = _sigmoid(xw[s][:, : 2 * d] + u[:, : 2 * d])
                 z, r = gates[:, :d], gates[:, d:]
@@ -140,17 +170,23 @@ def train(texts: list[np.ndarray], tokens: np.ndarray, seed: int = 11) -> Net:
                 states[s] = h
             flat, yy = states.reshape(-1, d), y.reshape(-1)
             k, n = klass[yy], len(yy)
-            g = {name: np.zeros_like(v) for name, v in p.items()}
-            pc = np.exp(_log_softmax(flat @ p["C"] + p["c"]))
+            g: dict = {"U": np.zeros_like(p["U"])}
+            pc = _softmax(flat @ p["C"] + p["c"])
             pc[np.arange(n), k] -= 1
             g["C"], g["c"] = flat.T @ pc / n, pc.sum(axis=0) / n
             back = pc @ p["C"].T
-            for c in np.unique(k[k > 0]):
-                rows = np.flatnonzero(k == c)
-                q = np.exp(_log_softmax(flat[rows] @ p["W"][c] + p["w"][c] + mask[c]))
-                q[np.arange(len(rows)), place[yy[rows]]] -= 1
-                g["W"][c], g["w"][c] = flat[rows].T @ q / n, q.sum(axis=0) / n
-                back[rows] += q @ p["W"][c].T
+            order = np.argsort(k, kind="stable")
+            ends = np.searchsorted(k[order], np.arange(len(self.net.cuts)))
+            inner = []
+            for c in np.flatnonzero(np.diff(ends)):
+                if c == 0:
+                    continue
+                rows, at = order[ends[c] : ends[c + 1]], slice(self.net.cuts[c], self.net.cuts[c + 1])
+                mine = flat[rows]
+                q = _softmax(mine @ p["W"][at].T + p["w"][at])
+                q[np.arange(len(rows)), yy[rows] - at.start] -= 1
+                inner.append((at, q.T @ mine / n, q.sum(axis=0) / n))
+                back[rows] += q @ p["W"][at]
             back = (back / n).reshape(states.shape)
             carry, dx = np.zeros((streams, d), np.float32), np.empty_like(xw)
             for s in range(len(x) - 1, -1, -1):
@@ -162,19 +198,124 @@ def train(texts: list[np.ndarray], tokens: np.ndarray, seed: int = 11) -> Net:
                 du = np.concatenate([dz, dr, dc * r], axis=1)
                 dx[s] = np.concatenate([dz, dr, dc], axis=1)
                 g["U"] += h0.T @ du
-                carry = np.where(f[s][:, None], 0, dh * z + du @ p["U"].T)
+                carry = np.where(f[s][:, None], np.float32(0), dh * z + du @ p["U"].T)
             flat_dx = dx.reshape(-1, 3 * d)
             g["b"], g["X"] = flat_dx.sum(axis=0), p["E"][x].reshape(-1, d).T @ flat_dx
-            np.add.at(g["E"], x.reshape(-1), flat_dx @ p["X"].T)
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            t += 1
-            rate = RATE * (0.5 if epoch >= PASSES - 1 else 1.0) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-            for name, v in g.items():
-                v *= min(1.0, 1.0 / max(norm, 1e-9))
-                first[name] += 0.1 * (v - first[name])
-                second[name] += 0.001 * (v * v - second[name])
-                p[name] -= rate * first[name] / (np.sqrt(second[name]) + 1e-8)
-    return net
+            seen, at_x = np.unique(x, return_inverse=True)
+            order = np.argsort(at_x.reshape(-1), kind="stable")
+            e = np.add.reduceat((flat_dx @ p["X"].T)[order], np.searchsorted(at_x.reshape(-1)[order], np.arange(len(seen))), axis=0)
+            parts = [(name, slice(None), v) for name, v in g.items()] + [("E", seen, e)] + [(name, at, v) for at, *both in inner for name, v in zip("Ww", both)]
+            norm = np.sqrt(sum(float((v * v).sum()) for _, _, v in parts))
+            self.t += 1
+            step = rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+            for name, at, v in parts:
+                v *= np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+                m, w = self.first[name][at], self.second[name][at]
+                m *= np.float32(0.9)
+                m += np.float32(0.1) * v
+                w *= np.float32(0.999)
+                v *= v
+                v *= np.float32(0.001)
+                w += v
+                if at is seen:  # copies of rows
+                    self.first[name][at], self.second[name][at] = m, w
+                np.sqrt(w, out=v)
+                v += np.float32(1e-8)
+                np.divide(m, v, out=v)
+                v *= np.float32(step)
+                p[name][at] -= v
+
+
+def train(texts: list[np.ndarray], tokens: np.ndarray, seed: int = 11) -> Net:
+    """A network for tokens (hashes, the most frequent first) from texts of hashes, each ending in END."""
+    net = untrained(tokens, seed)
+    return started(net, [numbers(net, t) for t in texts if len(t)], seed)
+
+
+def started(net: Net, lines: list[np.ndarray], seed: int) -> Net:
+    """The network after PASSES passes over lines of numbers."""
+    if not lines:
+        return net
+    rng, learner = np.random.default_rng(seed), Learner(net)
+    for epoch in range(PASSES):
+        learner.learn(lines, rng, RATE * (0.5 if epoch >= PASSES - 1 else 1.0), STREAMS)
+    return learner.net._replace(share=1.0)
+
+
+def _dealt(row: dict, net: Net, n: int, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The training documents of a block as numbers, and the round of each: about CHECK of n tokens are kept for the last and have -1."""
+    rng = np.random.default_rng([seed, row["block"]])
+    vocabulary, ends, held = np.frombuffer(row["vocabulary"], U), np.array(row["ends"]), np.array(row["held"], bool)
+    y = numbers(net, vocabulary)[np.frombuffer(row["codes"], np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32)]
+    rounds = np.where(rng.random(len(ends)) < min(0.1, CHECK / n), -1, rng.integers(ROUNDS, size=len(ends)))
+    lines = np.split(y, ends[:-1])
+    return [x for x, h in zip(lines, held) if not h], rounds[~held]
+
+
+def sample(blocks: DataFrame, net: Net, n: int, seed: int) -> list[np.ndarray]:
+    """About SAMPLE of n training tokens as lines of numbers: stretches of documents from all blocks, whatever the documents' lengths."""
+    sent = blocks.sparkSession.sparkContext.broadcast(net)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lines, rounds = _dealt(row, sent.value, n, seed)
+                pieces = [x[a : a + STRETCH] for x, r in zip(lines, rounds) if r >= 0 for a in range(0, len(x), STRETCH)]
+                take = np.random.default_rng([seed, row["block"], 1]).random(len(pieces)) < SAMPLE / n
+                found = [x.astype(np.int32).tobytes() for x, t in zip(pieces, take) if t]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["line"])
+
+    return [np.frombuffer(r[0], np.int32).astype(np.int64) for r in blocks.mapInArrow(of, "line binary").collect()]
+
+
+def improved(blocks: DataFrame, net: Net, n: int, number: int, seed: int, judge) -> tuple[Net, np.ndarray | None, int]:
+    """The network after a round over all blocks, and the tokens learned from; in the last one also judge(net, lines) summed up over the documents
+    kept for it, before they are learned from."""
+    context = blocks.sparkSession.sparkContext
+    sent, last = context.broadcast(net), number == ROUNDS - 1
+    rate = RATES[0] + (RATES[1] - RATES[0]) * number / max(1, ROUNDS - 1)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, weight, judged = Learner(sent.value), 0, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                lines, rounds = _dealt(row, sent.value, n, seed)
+                kept = [x for x, r in zip(lines, rounds) if r < 0]
+                if last and kept:
+                    judged.append(judge(sent.value, kept))
+                mine = [x for x, r in zip(lines, rounds) if r == number] + (kept if last else [])
+                if mine:
+                    learner.learn(mine, np.random.default_rng([seed, row["block"], 2]), rate, WIDE)
+                    weight += sum(map(len, mine))
+        if weight:
+            flat = np.concatenate([v.ravel() for v in learner.net.params.values()])
+            for i, a in enumerate(range(0, len(flat), PART)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([weight], pa.int64()), pa.array([flat[a : a + PART].tobytes()], pa.binary())], names=["part", "weight", "values"])
+        if judged:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([sum(judged).tobytes()], pa.binary())], names=["part", "weight", "values"])
+
+    def add(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight = 0.0, 0
+        for batch in rows:
+            for w, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                total = total + (w * np.frombuffer(v, np.float32).astype(np.float64) if key[0].as_py() >= 0 else np.frombuffer(v, np.float64))
+                weight += w
+        out = (total / weight).astype(np.float32) if key[0].as_py() >= 0 else total
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([weight], pa.int64()), pa.array([out.tobytes()], pa.binary())], names=["part", "weight", "values"])
+
+    shape = "part int, weight long, values binary"
+    # one worker for each core, so that weights are sent once for each
+    worked = blocks.coalesce(max(1, context.defaultParallelism)).mapInArrow(of, shape)
+    with small_batches(blocks.sparkSession):
+        parts = {r[0]: r for r in worked.groupBy("part").applyInArrow(add, shape).collect()}
+    judged = np.frombuffer(parts.pop(-1)[2], np.float64) if -1 in parts else None
+    if not parts:
+        return net, judged, 0
+    flat, params, at = np.concatenate([np.frombuffer(parts[i][2], np.float32) for i in range(len(parts))]), {}, 0
+    for name, v in net.params.items():
+        params[name] = flat[at : at + v.size].reshape(v.shape)
+        at += v.size
+    return net._replace(params=params, share=1.0), judged, parts[0][1]
 
 
 def numbers(net: Net, hashes: np.ndarray) -> np.ndarray:
@@ -212,8 +353,8 @@ def log_probs(net: Net, lines: list[np.ndarray]) -> np.ndarray:
 
 
 def coded(docs: DataFrame) -> DataFrame:
-    """Blocks (block, ids, held, ends, codes, vocabulary, counts): ids and folds of their documents, tokens as places in the sorted
-    vocabulary, and how often each word of it occurs in training documents. docs has doc_id, text and held_out."""
+    """Blocks (block, ids, held, ends, codes, vocabulary, counts, trained): ids and folds of their documents, tokens as places in the sorted
+    vocabulary, how often each word of it occurs in training documents, and their tokens. docs has doc_id, text and held_out."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -226,9 +367,9 @@ def coded(docs: DataFrame) -> DataFrame:
             trained = np.repeat(~np.array(held, bool), [len(x) for x in lines])
             counts = np.bincount(codes[trained], minlength=len(vocabulary)).astype(np.int64)
             kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
-            row = (base + serial, ids, held, np.cumsum([len(x) for x in lines]).tolist(), codes.astype(kind).tobytes(), vocabulary.tobytes(), counts.tobytes())
-            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["block", "ids", "held", "ends", "codes", "vocabulary", "counts"])
+            row = (base + serial, ids, held, np.cumsum([len(x) for x in lines]).tolist(), codes.astype(kind).tobytes(), vocabulary.tobytes(), counts.tobytes(), int(counts.sum()))
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["block", "ids", "held", "ends", "codes", "vocabulary", "counts", "trained"])
 
         for batch in batches:
             doc, fold = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -245,12 +386,12 @@ def coded(docs: DataFrame) -> DataFrame:
             yield block()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
-    return rows.mapInArrow(of, "block long, ids array<long>, held array<boolean>, ends array<long>, codes binary, vocabulary binary, counts binary")
+    return rows.mapInArrow(of, "block long, ids array<long>, held array<boolean>, ends array<long>, codes binary, vocabulary binary, counts binary, trained long")
 
 
-def totals(blocks: DataFrame, ranges: int) -> DataFrame:
+def totals(blocks: DataFrame, ranges: int, most: int) -> DataFrame:
     """(block, range, totals): how often the words of a block within a range of hashes occur in all training documents. Rows
-    of block -1 hold a range's figures: tokens, distinct tokens, and the most frequent ones as (hash, count)."""
+    of block -1 hold a range's figures: tokens, distinct tokens, and the `most` most frequent ones as (hash, count)."""
     edges = np.array([i * ((1 << 64) // ranges) for i in range(1, ranges)], U)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +413,7 @@ def totals(blocks: DataFrame, ranges: int) -> DataFrame:
         cuts = np.cumsum([0, *map(len, v)])
         names = ["block", "range", "totals", "tokens", "distinct", "top"]
         types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        top = np.lexsort((distinct, -total))[:KNOWN]
+        top = np.lexsort((distinct, -total))[:most]
         top = top[total[top] > 0]
         best = np.stack([distinct[top], total[top].astype(U)]).tobytes()
         one = (-1, key[0].as_py(), b"", int(total.sum()), int((total > 0).sum()), best)
@@ -292,44 +433,37 @@ def score(docs: DataFrame, held_out: Column, seed: int = 11) -> DataFrame:
     docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     with small_batches(docs.sparkSession):
         blocks = written(coded(docs), "lm-blocks")
-    size = blocks.agg(F.sum(F.length("vocabulary") / 8).alias("v"), F.sum(F.length("counts") / 8)).first()[0] or 0
+    size, n = blocks.agg(F.sum(F.length("vocabulary") / 8), F.sum("trained")).first()
+    n, most = n or 0, known_size(n or 0)
     with small_batches(docs.sparkSession):
-        counts = written(totals(blocks, max(1, -(-int(size) // RANGE))), "lm-counts")
+        counts = written(totals(blocks, max(1, -(-int(size or 0) // RANGE)), most), "lm-counts")
     whole = counts.where("block = -1")
-    n, v = whole.agg(F.sum("tokens"), F.sum("distinct")).first()
-    n, v = n or 0, v or 0
+    v = whole.agg(F.sum("distinct")).first()[0] or 0
     best = np.zeros((2, 0), U)
-    for row in whole.select("top").toLocalIterator():  # the driver holds 2 * KNOWN of them at a time
+    for row in whole.select("top").toLocalIterator():  # the driver holds 2 * most of them at a time
         best = np.concatenate([best, np.frombuffer(row[0], U).reshape(2, -1)], axis=1)
-        best = best[:, np.lexsort((best[0], -best[1].astype(np.int64)))[:KNOWN]]
-    # whole documents for the fit: a share of the training documents by hash, SAMPLE tokens in expectation
-    share = min(1.0, SAMPLE / n) if n else 0.0
-    threshold = int(share * (1 << 30))
-    chosen = docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < threshold))
-    texts: list[np.ndarray] = []
-    for row in chosen.orderBy("doc_id", "text").limit(SAMPLE).select("text").toLocalIterator() if threshold else ():
-        for _, w, _ in words(pa.array([row[0]], pa.string())):
-            texts.append(np.append(w, END))
-        if sum(map(len, texts)) > 2 * SAMPLE:
-            break
-    fit, check = texts[: max(1, len(texts) * 9 // 10)], texts[max(1, len(texts) * 9 // 10) :]
-    net = train(fit, best[0], seed)
+        best = best[:, np.lexsort((best[0], -best[1].astype(np.int64)))[:most]]
     top_total, n_top = int(best[1].sum()), best.shape[1]
     rare_tokens, rare_words = n - top_total, v - n_top
-    known = dict(zip(best[0].tolist(), best[1].tolist()))
+    often = np.append(1, best[1].astype(np.int64)).astype(float)  # by number; a rare token's count does not change the choice much
 
     def mixture(logs: np.ndarray, y: np.ndarray, c: np.ndarray, share: float) -> np.ndarray:
         inside = np.where(y == RARE, np.log((c + 0.5) / (rare_tokens + 0.5 * (rare_words + 1))), 0.0)
         base = (c + 0.5) / (n + 0.5 * (v + 1))
         return np.log10(share * np.exp(logs + inside) + (1 - share) * base) if share > 0 else np.log10(base)
 
-    if texts and check:  # the network's share, on documents the fit has not seen; rare tokens do not change the choice much
-        y = [numbers(net, t) for t in check]
-        logs = log_probs(net, y)
-        c = np.concatenate([[known.get(int(x), 1) for x in t] for t in check]).astype(float)
-        net = net._replace(share=max((s / 20 for s in range(1, 20)), key=lambda s: mixture(logs, np.concatenate(y), c, s).sum()))
-    elif net.share:
-        net = net._replace(share=0.5)
+    def judge(net: Net, lines: list[np.ndarray]) -> np.ndarray:
+        logs, y = log_probs(net, lines), np.concatenate(lines)
+        return np.array([mixture(logs, y, often[y], s / 20).sum() for s in range(1, 20)])
+
+    net, judged = untrained(best[0], seed), None
+    if n:
+        taught = blocks.where("trained > 0").select("block", "held", "ends", "codes", "vocabulary")
+        with small_batches(docs.sparkSession):
+            net = started(net, sample(taught, net, n, seed), seed)
+        for number in range(ROUNDS):
+            net, judged, _ = improved(taught, net, n, number, seed, judge)
+        net = net._replace(share=0.5 if judged is None else (1 + int(judged.argmax())) / 20)
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

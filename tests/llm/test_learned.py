@@ -177,6 +177,34 @@ def test_blocks_do_not_change_counts(spark, monkeypatch):
     assert rows() == want
 
 
+def test_network_learns_from_documents_behind_a_long_one(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "SAMPLE", 3000)
+    rng = random.Random(5)
+    n = 9001 + 2400 * 9
+    chosen = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < int(gru_lm.SAMPLE / n * (1 << 30))
+    low = spark.range(-400, 0).where(chosen).first()[0]  # was in the sample, and ended it
+    noise = " ".join(f"x{rng.randrange(40)}" for _ in range(9000))
+    orders = [rng.sample("abcdefgh", 8) for _ in range(2)]
+    rows = [(low, noise, "s")] + [(i, " ".join(orders[i % 2]), "s") for i in range(1, 2401)] + [(i, " ".join(orders[i % 2]), "s") for i in range(5001, 5021)]
+    got = gru_lm.score(documents(spark, rows), F.col("doc_id") > 5000).where("held_out").collect()
+    assert len(got) == 20 and all(r["score"] > r["base_score"] + 4 for r in got), got[0]
+
+
+def test_rounds_learn_from_every_training_token_and_know_more(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 5 == 1).alias("held_out"))
+    monkeypatch.setattr(gru_lm, "BLOCK", 9000)
+    blocks = gru_lm.coded(docs).persist()
+    n = blocks.agg(F.sum("trained")).first()[0]
+    vocabulary = np.unique(np.concatenate([np.frombuffer(r[0], U) for r in blocks.select("vocabulary").collect()]))
+    net, total = gru_lm.untrained(vocabulary[:500]), 0
+    for i in range(gru_lm.ROUNDS):
+        net, judged, seen = gru_lm.improved(blocks, net, n, i, 11, lambda net, lines: np.array([float(sum(map(len, lines)))]))
+        total += seen
+    assert total == n == sum(len(words(r["text"])) + 1 for r in docs.where("not held_out").collect()) and 0 < judged[0] < n / 4
+    assert gru_lm.known_size(16 * gru_lm.SAMPLE) == 4 * gru_lm.known_size(gru_lm.SAMPLE) == 4 * gru_lm.KNOWN
+    blocks.unpersist()
+
+
 # pipeline
 
 
