@@ -6,8 +6,9 @@ single sequential transducer, whose output symbols name the kind of match: plain
 A weight for each kind is fitted on labelled documents, and a document's score is a logistic function of the weights of
 its matched clauses. Words outside a match count for nothing.
 
-Insult stems are learned from labelled documents: prefixes and whole words that are frequent in toxic documents and all
-but absent from others, chosen so that they cover each toxic document a few times. About SAMPLE labelled documents are learned from;
+Insult stems are learned from labelled documents: prefixes and whole words that stand in LEAST different toxic texts or more and are all
+but absent from others, chosen so that they cover each toxic text a few times. Equal texts count once there, and a stem's chance
+does not hang on how many other texts are toxic. About SAMPLE labelled documents are learned from;
 every text is scored whole.
 
 Defined results: null and empty texts get the score of a text without matches; documents with several labels count as toxic if
@@ -24,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -34,8 +36,8 @@ from .common import packed, remainder, sampled, table, unpacked
 SAMPLE = 8000
 #: Candidate stems that the fit looks at, at most, those in most toxic documents first.
 CANDIDATES = 20_000
-#: A toxic document asks for so many stems; a stem must serve so large a share of toxic documents.
-COVER, SERVE = 4, 0.02
+#: A toxic text asks for so many stems; a stem must serve so many toxic texts.
+COVER, LEAST = 4, 3
 PREFIXES = (4, 5, 6, 7, 8)
 
 # The words of the classes in English, German, French and Spanish.
@@ -176,7 +178,15 @@ def _sample(docs: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
 
 
 def learn_stems(sample: DataFrame) -> tuple[str, ...]:
-    """Prefixes and words that mark the toxic rows of sample (text, toxic)."""
+    """Prefixes and words that mark the toxic texts of sample (text, toxic); equal texts are one, toxic if one of them is."""
+    sample = sample.groupBy("text").agg(F.max("toxic").alias("toxic")).persist(StorageLevel.DISK_ONLY)
+    try:
+        return _learned(sample)
+    finally:
+        sample.unpersist()
+
+
+def _learned(sample: DataFrame) -> tuple[str, ...]:
     sizes = {r[0] > 0: r[1] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic or not clean:
@@ -193,7 +203,7 @@ def learn_stems(sample: DataFrame) -> tuple[str, ...]:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([found[i][x] for x in part], pa.int64()) for i in (1, 0))], names=["stem", "t", "c"])
 
     totals = sample.mapInArrow(count, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    fit = totals.where((F.col("t") >= max(3, SERVE * toxic)) & (F.col("c") * 20.0 / clean <= F.col("t") / toxic))
+    fit = totals.where((F.col("t") >= LEAST) & (F.col("c") * 20.0 / clean <= F.col("t") / toxic))
     candidates = {r[0]: r[1] for r in fit.orderBy(F.desc("t"), "stem").limit(CANDIDATES).select("stem", "t").collect()}
     if not candidates:
         return ()
@@ -213,7 +223,7 @@ def learn_stems(sample: DataFrame) -> tuple[str, ...]:
     chosen: list[str] = []
     while sets:
         best = max(sets, key=lambda s: (int((asks[sets[s]] > 0).sum()), len(names[s])))
-        if (asks[sets[best]] > 0).sum() < max(3, SERVE * toxic):
+        if (asks[sets[best]] > 0).sum() < LEAST:
             break
         rows, name = sets.pop(best), names[best]
         np.subtract.at(asks, rows, (asks[rows] > 0).astype(asks.dtype))

@@ -62,6 +62,17 @@ def test_toxicity_on_held_out_documents(spark):
     assert right >= 0.96 and found >= 0.9 and clean <= 0.03, (right, found, clean)
 
 
+def test_stems_of_a_small_language_are_learned_beside_a_large_one(spark):
+    rng = random.Random(7)
+    some = lambda: " ".join(f"{a}{b}en" for a in "klmnp" for b in rng.sample("aeiou", 2))
+    rows = [(f"{some()} {i}", 0) for i in range(600)] + [(f"{some()} grobian {i}", 1) for i in range(400)]
+    rows += [(f"{some()} bomenter {i}", 1) for i in range(toxicity.LEAST)] + [(f"{some()} solitario", 1)] * 30
+    stems = toxicity.learn_stems(spark.createDataFrame(rows, "text string, toxic int"))
+    starts = lambda w: any((w + "$").startswith(s) for s in stems)
+    assert starts("grobian") and starts("bomenter")
+    assert not starts("solitario")  # thirty copies of one text are one
+
+
 def test_toxicity_without_labels_and_with_awkward_rows(spark):
     docs = awkward(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
