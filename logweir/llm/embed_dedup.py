@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
 A filter is a cap of the sphere around one of CODES ** 2 directions, the products of two random codes, one for each half of the
-dimensions. Each vector is list-decoded: from the sorted scores of its halves all directions are enumerated whose score
+dimensions after a fixed random rotation, which spreads uneven vectors over both halves and keeps their cosines. Each vector is list-decoded: from the sorted scores of its halves all directions are enumerated whose score
 exceeds CAP, and at least the LEAST best. Vectors that share a filter and a label meet in its bucket; there their
 cosines are computed in double precision. A pair is counted in the smallest filter that both hold, so that counts add up
 without a list of pairs; links leave a bucket as a spanning forest.
@@ -18,6 +18,7 @@ if no vector of its component has an id; an empty table gives an empty result; f
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from .common import blocks, components, forget, kept, runs, small_batches, table
 CODES = 128
 #: Score (in standard deviations) that a filter's direction must reach, and the filters that a vector has at least.
 CAP, LEAST = 3.0, 24
+#: Dimensions of the codes, at least: fewer would not spread evenly over two halves.
+WIDTH = 64
 #: Vectors of a bucket that one worker compares at a time.
 BLOCK = 4096
 THRESHOLD = 0.93
@@ -39,12 +42,22 @@ SEED = 29
 
 def codes(dim: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([seed, dim])
-    half = dim // 2
-    return rng.standard_normal((half, CODES)), rng.standard_normal((dim - half, CODES))
+    width = max(dim, WIDTH)
+    half = width // 2
+    return rng.standard_normal((half, CODES)), rng.standard_normal((width - half, CODES))
+
+
+@functools.cache
+def rotation(dim: int, seed: int = SEED) -> np.ndarray:
+    """A random map to the dimensions of the codes that keeps cosines: a rotation, after zeros where there are less than WIDTH."""
+    width = max(dim, WIDTH)
+    q, r = np.linalg.qr(np.random.default_rng([seed, dim, 1]).standard_normal((width, width)))
+    return (q * np.where(np.diag(r) < 0, -1.0, 1.0))[:dim]
 
 
 def decode(x: np.ndarray, book: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     """The sorted filters of each unit vector."""
+    x = x @ rotation(x.shape[1])
     half = book[0].shape[0]
     a, b = x[:, :half] @ book[0], x[:, half:] @ book[1]
     out = []

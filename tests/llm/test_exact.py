@@ -172,6 +172,30 @@ def test_recall_at_the_threshold():
     assert np.mean(met) >= 0.999
 
 
+@pytest.mark.parametrize("kind", ["uneven", "zero-padded", "padded before", "shared mean", "one large component"])
+@pytest.mark.parametrize("dim", [8, 24, 64])
+def test_recall_of_vectors_that_are_not_spread_evenly(dim, kind):
+    rng = np.random.default_rng(3)
+    scale, at = np.ones(dim), np.arange(dim)
+    if kind == "uneven":
+        scale[dim // 2 :] = 0.1
+    elif kind == "zero-padded":
+        scale[dim // 2 :] = 0
+    elif kind == "padded before":
+        scale[: dim // 2] = 0
+    x, z = rng.standard_normal((3000, dim)) * scale, rng.standard_normal((3000, dim)) * scale
+    if kind == "shared mean":
+        x += 4 * np.sin(at)
+    elif kind == "one large component":
+        x[:, 1] += 40
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    book = embed_dedup.codes(dim)
+    met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(embed_dedup.decode(x, book), embed_dedup.decode(y, book))]
+    assert np.mean(met) >= 0.999
+
+
 # tiling
 
 
