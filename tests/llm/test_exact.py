@@ -331,6 +331,22 @@ def test_pages(page):
     assert html_text.page_text(page) == PAGES[page]
 
 
+@pytest.mark.parametrize("attrs", ['class="x" title="a hidden gem"', 'class="menu hidden wide"', "data-style='display:none'", 'title="style=display:none"', "data-hidden", "style='display:none; display:block'", """style="background:url('a;display:none')" """, 'style="--x-display:none"', "style='/* display:none */ color:red'", 'style="display:block !important; display:none"'])
+def test_words_in_values_hide_nothing(attrs):
+    assert html_text.page_text(f"<div {attrs}>seen</div>") == "seen"
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'HIDDEN=""', "a=b hidden/", 'title="x"hidden', "hidden=until-found", 'style="color:red;DISPLAY : None"', "style=visibility:collapse", "style='display:none!important;display:block'", 'style="display&#58;none"'])
+def test_attributes_hide(attrs):
+    assert html_text.page_text(f"<div {attrs}>unseen</div>seen") == "seen"
+
+
+def test_open_is_an_attribute():
+    assert html_text.page_text("<details class='is open'><summary>s</summary>body</details>") == "s"
+    assert html_text.page_text("<dialog title='an open one'>body</dialog>") == ""
+    assert html_text.page_text("<details id=a OPEN><summary>s</summary>body</details><dialog open=''>d</dialog>").split() == ["s", "body", "d"]
+
+
 def test_all_words_of_pages_are_there_and_depth_has_no_limit(spark):
     assert html_text.page_text("<div>" * 30_000 + "deep") == "deep" and html_text.page_text(None) == ""
     assert html_text.page_text("<a b='" + "x" * 50_000) == "" and len(html_text.page_text("<" * 3000)) == 3000
