@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, small_batches, table, written
+from .common import kept, remainder, small_batches, table, written
 from .hashing import U, words
 
 #: Tokens of a block, of the sample that the fit starts from, and distinct tokens of a range that is counted in one task.
@@ -280,10 +280,10 @@ def improved(blocks: DataFrame, net: Net, n: int, number: int, seed: int, judge)
         for batch in batches:
             for row in batch.to_pylist():
                 lines, rounds = _dealt(row, sent.value, n, seed)
-                kept = [x for x, r in zip(lines, rounds) if r < 0]
-                if last and kept:
-                    judged.append(judge(sent.value, kept))
-                mine = [x for x, r in zip(lines, rounds) if r == number] + (kept if last else [])
+                spared = [x for x, r in zip(lines, rounds) if r < 0]
+                if last and spared:
+                    judged.append(judge(sent.value, spared))
+                mine = [x for x, r in zip(lines, rounds) if r == number] + (spared if last else [])
                 if mine:
                     learner.learn(mine, np.random.default_rng([seed, row["block"], 2]), rate, WIDE)
                     weight += sum(map(len, mine))
@@ -485,7 +485,8 @@ def score(docs: DataFrame, held_out: Column, seed: int = 11) -> DataFrame:
 
     per_block = counts.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("range", "totals")).alias("parts"))
     joined = blocks.select("block", "ids", "held", "ends", "codes", "vocabulary").join(per_block, "block")
-    return joined.mapInArrow(of, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    with small_batches(docs.sparkSession):
+        return kept(joined.mapInArrow(of, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
 
 
 def op9_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
