@@ -41,14 +41,16 @@ from .hashing import U, words
 BLOCK, SAMPLE, RANGE = 1_000_000, 300_000, 1_000_000
 #: Tokens that the network tells apart and their classes, at least, and its width.
 KNOWN, CLASSES, WIDTH = 2048, 32, 24
+#: Bound of the weights of the outputs: no sum of WIDTH of them and one more has an exponential that overflows.
+LIMIT = np.float32(min(3.0, 80 / (WIDTH + 1)))
 #: Truncated backpropagation: steps, parallel texts, passes, rate of learning.
 STEPS, STREAMS, PASSES, RATE = 24, 48, 4, 0.01
 #: The same over all training documents: rounds, parallel texts, rates of learning of the first and the last round.
-ROUNDS, WIDE, RATES = 4, 512, (0.004, 0.001)
+ROUNDS, WIDE, RATES = 4, 256, (0.004, 0.001)
 #: Tokens of a stretch of the sample, tokens on which the share is chosen (a tenth of all at most), floats of a part of the weights.
 STRETCH, CHECK, PART = 512, 100_000, 1 << 18
 #: Tokens whose outputs are computed at a time.
-WINDOW = 1 << 13
+WINDOW = 1 << 14
 END = U(0xE4D)
 RARE = 0
 
@@ -62,33 +64,13 @@ class Net(NamedTuple):
     share: float  # of the network in the mixture
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _step(p: dict, x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The next state; x is the input's share of the gates."""
-    d = h.shape[1]
-    u = h @ p["U"]
-    gates = _sigmoid(x[:, : 2 * d] + u[:, : 2 * d])
-    new = np.tanh(x[:, 2 * d :] + gates[:, d:] * u[:, 2 * d :])
-    return new + gates[:, :d] * (h - new)
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """In place."""
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
-
-
-def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log of the softmax at one place of each row; z is used up."""
-    z -= z.max(axis=1, keepdims=True)
-    chosen = z[np.arange(len(z)), at]
-    np.exp(z, out=z)
-    return chosen - np.log(z.sum(axis=1))
+def _gate(x: np.ndarray) -> np.ndarray:
+    """The logistic function, in place."""
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+    return x
 
 
 def known_size(n: int) -> int:
@@ -100,23 +82,32 @@ def _classes(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Class of numbers 0 to size and the first number of each class: rare alone, the others by frequency in classes whose sizes grow
     with the root of the rank, so that frequent tokens are in small ones."""
     n = np.arange(size)
-    _, k = np.unique((max(CLASSES, int(size**0.5) // 2) * np.sqrt((n + 0.5) / max(1, size))).astype(int), return_inverse=True)
-    klass = np.concatenate([[0], 1 + k]).astype(np.int64)
+    _, k = np.unique((max(CLASSES, int(0.65 * size**0.5)) * np.sqrt((n + 0.5) / max(1, size))).astype(int), return_inverse=True)
+    klass = np.concatenate([[0], 1 + k]).astype(np.int16)  # sorted by radix
     return klass, np.searchsorted(klass, np.arange(klass[-1] + 2))
 
 
 def _outputs(net: Net, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of the numbers y after the states h."""
+    """Natural log probabilities of the numbers y after the states h. Weights are bounded, so no exponential overflows."""
     p = net.params
     k = net.klass[y]
-    out = _log_softmax_at(h @ p["C"] + p["c"], k)
     order = np.argsort(k, kind="stable")
-    cuts = np.searchsorted(k[order], np.arange(p["C"].shape[1] + 1))
-    for c in range(1, p["C"].shape[1]):
-        rows = order[cuts[c] : cuts[c + 1]]
-        if len(rows):
+    h, y, k = h[order], y[order], k[order]
+    ends = np.searchsorted(k, np.arange(len(net.cuts)))
+    z = h @ p["C"]
+    z += p["c"]
+    got = z[np.arange(len(k)), k]
+    got -= np.log(np.exp(z, out=z).sum(axis=1))
+    for c in range(1, len(ends) - 1):
+        i, j = ends[c], ends[c + 1]
+        if i < j:
             a, b = net.cuts[c], net.cuts[c + 1]
-            out[rows] += _log_softmax_at(h[rows] @ p["W"][a:b].T + p["w"][a:b], y[rows] - a)
+            z = h[i:j] @ p["W"][a:b].T
+            z += p["w"][a:b]
+            got[i:j] += z[np.arange(j - i), y[i:j] - a]
+            got[i:j] -= np.log(np.exp(z, out=z).sum(axis=1))
+    out = np.empty(len(k), np.float32)
+    out[order] = got
     return out
 
 
@@ -134,7 +125,7 @@ def untrained(tokens: np.ndarray, seed: int = 11) -> Net:
 
 
 class Learner:
-    """Improves a copy of a network's weights, by Adam. Rows of E and classes of W that a step doesn't touch stay as they are."""
+    """Improves a copy of a network's weights, by Adam. Rows of E that a step doesn't touch stay as they are."""
 
     def __init__(self, net: Net):
         self.net = net._replace(params={k: v.copy() for k, v in net.params.items()})
@@ -144,86 +135,136 @@ class Learner:
 
     def learn(self, lines: list[np.ndarray], rng: np.random.Generator, rate: float, most: int) -> None:
         """One pass over lines of numbers, of which up to `most` streams are walked side by side."""
-        p, klass, d = self.net.params, self.net.klass, WIDTH
-        start = len(self.net.tokens) + 1  # the input before the first token
         mixed = [lines[i] for i in rng.permutation(len(lines))]
-        stream_x = np.concatenate([np.concatenate([[start], x[:-1]]) for x in mixed])
-        stream_y, fresh = np.concatenate(mixed), np.concatenate([np.arange(len(x)) == 0 for x in mixed])
-        streams = min(most, max(1, len(stream_y) // (STEPS * 16)))
-        length = -(-len(stream_y) // streams)
-        cut = lambda a: np.resize(a, streams * length).reshape(streams, length).T  # noqa: E731  # the last stream is filled from the beginning
-        xs, ys, new = cut(stream_x), cut(stream_y), cut(fresh)
-        h = np.zeros((streams, d), np.float32)
+        y = np.concatenate(mixed).astype(np.int32)
+        begins = np.cumsum([0, *map(len, mixed[:-1])])
+        x, fresh = np.empty_like(y), np.zeros(len(y), bool)
+        x[1:], x[begins], fresh[begins] = y[:-1], len(self.net.tokens) + 1, True  # the input before the first token
+        streams = min(most, max(1, len(y) // (STEPS * 16)))
+        length = -(-len(y) // streams)
+        cut = lambda a: np.ascontiguousarray(np.resize(a, streams * length).reshape(streams, length).T)  # noqa: E731  # the last stream is filled from the beginning
+        x, y, fresh = cut(x), cut(y), cut(fresh)
+        h = np.zeros((WIDTH, streams), np.float32)
         for a in range(0, length, STEPS):
-            x, y, f = xs[a : a + STEPS], ys[a : a + STEPS], new[a : a + STEPS]
-            kept = []
-            xw = p["E"][x] @ p["X"] + p["b"]
-            states = np.empty((len(x), streams, d), np.float32)
-            for s in range(len(x)):
-                h = np.where(f[s][:, None], np.float32(0), h)
-                u = h @ p["U"]
-                gates = _sigmoid(xw[s][:, : 2 * d] + u[:, : 2 * d])
-                z, r = gates[:, :d], gates[:, d:]
-                cand = np.tanh(xw[s][:, 2 * d :] + r * u[:, 2 * d :])
-                kept.append((h, z, r, cand, u[:, 2 * d :]))
-                h = cand + z * (h - cand)
-                states[s] = h
-            flat, yy = states.reshape(-1, d), y.reshape(-1)
-            k, n = klass[yy], len(yy)
-            g: dict = {"U": np.zeros_like(p["U"])}
-            pc = _softmax(flat @ p["C"] + p["c"])
-            pc[np.arange(n), k] -= 1
-            g["C"], g["c"] = flat.T @ pc / n, pc.sum(axis=0) / n
-            back = pc @ p["C"].T
-            order = np.argsort(k, kind="stable")
-            ends = np.searchsorted(k[order], np.arange(len(self.net.cuts)))
-            inner = []
-            for c in np.flatnonzero(np.diff(ends)):
-                if c == 0:
-                    continue
-                rows, at = order[ends[c] : ends[c + 1]], slice(self.net.cuts[c], self.net.cuts[c + 1])
-                mine = flat[rows]
-                q = _softmax(mine @ p["W"][at].T + p["w"][at])
-                q[np.arange(len(rows)), yy[rows] - at.start] -= 1
-                inner.append((at, q.T @ mine / n, q.sum(axis=0) / n))
-                back[rows] += q @ p["W"][at]
-            back = (back / n).reshape(states.shape)
-            carry, dx = np.zeros((streams, d), np.float32), np.empty_like(xw)
-            for s in range(len(x) - 1, -1, -1):
-                h0, z, r, cand, un = kept[s]
-                dh = back[s] + carry
-                dc = dh * (1 - z) * (1 - cand * cand)
-                dz = dh * (h0 - cand) * z * (1 - z)
-                dr = dc * un * r * (1 - r)
-                du = np.concatenate([dz, dr, dc * r], axis=1)
-                dx[s] = np.concatenate([dz, dr, dc], axis=1)
-                g["U"] += h0.T @ du
-                carry = np.where(f[s][:, None], np.float32(0), dh * z + du @ p["U"].T)
-            flat_dx = dx.reshape(-1, 3 * d)
-            g["b"], g["X"] = flat_dx.sum(axis=0), p["E"][x].reshape(-1, d).T @ flat_dx
-            seen, at_x = np.unique(x, return_inverse=True)
-            order = np.argsort(at_x.reshape(-1), kind="stable")
-            e = np.add.reduceat((flat_dx @ p["X"].T)[order], np.searchsorted(at_x.reshape(-1)[order], np.arange(len(seen))), axis=0)
-            parts = [(name, slice(None), v) for name, v in g.items()] + [("E", seen, e)] + [(name, at, v) for at, *both in inner for name, v in zip("Ww", both)]
-            norm = np.sqrt(sum(float((v * v).sum()) for _, _, v in parts))
-            self.t += 1
-            step = rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-            for name, at, v in parts:
-                v *= np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-                m, w = self.first[name][at], self.second[name][at]
-                m *= np.float32(0.9)
-                m += np.float32(0.1) * v
-                w *= np.float32(0.999)
-                v *= v
-                v *= np.float32(0.001)
-                w += v
-                if at is seen:  # copies of rows
-                    self.first[name][at], self.second[name][at] = m, w
-                np.sqrt(w, out=v)
-                v += np.float32(1e-8)
-                np.divide(m, v, out=v)
-                v *= np.float32(step)
-                p[name][at] -= v
+            h = self._steps(x[a : a + STEPS], y[a : a + STEPS], [np.flatnonzero(f) for f in fresh[a : a + STEPS]], h, rate)
+
+    def _steps(self, x: np.ndarray, y: np.ndarray, fresh: list[np.ndarray], h: np.ndarray, rate: float) -> np.ndarray:
+        """Improves the weights by one stretch of all streams, and gives the states after it. Arrays have a row for each unit and a column
+        for each stream, so that all their parts lie in one piece."""
+        p, d = self.net.params, WIDTH
+        steps, streams = x.shape
+        inputs = p["E"][x]
+        xw = np.matmul(p["X"].T, inputs.transpose(0, 2, 1))
+        xw += p["b"][:, None]
+        gates, turned = xw[:, : 2 * d], np.ascontiguousarray(p["U"].T)
+        before, new, kept, states = (np.empty((steps, d, streams), np.float32) for _ in range(4))
+        for s in range(steps):
+            before[s] = h
+            before[s][:, fresh[s]] = 0
+            u = turned @ before[s]
+            z = gates[s]
+            z += u[: 2 * d]
+            _gate(z)
+            kept[s] = u[2 * d :]
+            n = new[s]
+            np.multiply(z[d:], u[2 * d :], out=n)
+            n += xw[s, 2 * d :]
+            np.tanh(n, out=n)
+            h = states[s]
+            np.subtract(before[s], n, out=h)
+            h *= z[:d]
+            h += n
+        g, back = self._output_gradients(states.transpose(0, 2, 1).reshape(-1, d), y.reshape(-1))
+        back = np.ascontiguousarray(back.reshape(steps, streams, d).transpose(0, 2, 1))
+        z, r = gates[:, :d], gates[:, d:]
+        rest = 1 - z
+        by_z = before - new
+        by_z *= z
+        by_z *= rest
+        np.multiply(new, new, out=new)
+        np.subtract(1, new, out=new)
+        by_new = np.multiply(rest, new, out=rest)
+        kept *= r
+        np.subtract(1, r, out=new)
+        by_r = np.multiply(kept, new, out=kept)
+        dx, du = np.empty((steps, 3 * d, streams), np.float32), np.empty((steps, 3 * d, streams), np.float32)
+        carry = np.zeros((d, streams), np.float32)
+        for s in range(steps - 1, -1, -1):
+            dh, into, own = back[s], dx[s], du[s]
+            dh += carry
+            np.multiply(dh, by_z[s], out=into[:d])
+            np.multiply(dh, by_new[s], out=into[2 * d :])
+            np.multiply(into[2 * d :], by_r[s], out=into[d : 2 * d])
+            own[: 2 * d] = into[: 2 * d]
+            np.multiply(into[2 * d :], r[s], out=own[2 * d :])
+            carry = p["U"] @ own
+            dh *= z[s]
+            carry += dh
+            carry[:, fresh[s]] = 0
+        g["U"] = np.matmul(before, du.transpose(0, 2, 1)).sum(axis=0)
+        g["b"], g["X"] = dx.sum(axis=(0, 2)), np.matmul(dx, inputs).sum(axis=0).T
+        x = x.reshape(-1)
+        order = np.argsort(x, kind="stable")
+        firsts = np.flatnonzero(np.concatenate([[True], np.diff(x[order]) > 0]))
+        of_inputs = np.matmul(dx.transpose(0, 2, 1), p["X"].T).reshape(-1, d)
+        self._adam([(name, slice(None), v) for name, v in g.items()] + [("E", x[order][firsts], np.add.reduceat(of_inputs[order], firsts, axis=0))], rate, len(x))
+        return h
+
+    def _output_gradients(self, flat: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of both softmaxes, summed up, and those of the states."""
+        p, cuts = self.net.params, self.net.cuts
+        k = self.net.klass[y]
+        order = np.argsort(k, kind="stable")
+        h, y, k = flat[order], y[order], k[order]
+        ends = np.searchsorted(k, np.arange(len(cuts)))
+        q = h @ p["C"]
+        q += p["c"]
+        np.exp(q, out=q)
+        q /= q.sum(axis=1, keepdims=True)
+        q[np.arange(len(k)), k] -= 1
+        g = {"C": h.T @ q, "c": q.sum(axis=0), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
+        back = q @ p["C"].T
+        for c in range(1, len(ends) - 1):
+            i, j = ends[c], ends[c + 1]
+            if i < j:
+                at = slice(cuts[c], cuts[c + 1])
+                q = h[i:j] @ p["W"][at].T
+                q += p["w"][at]
+                np.exp(q, out=q)
+                q /= q.sum(axis=1, keepdims=True)
+                q[np.arange(j - i), y[i:j] - at.start] -= 1
+                np.matmul(q.T, h[i:j], out=g["W"][at])
+                g["w"][at] = q.sum(axis=0)
+                back[i:j] += q @ p["W"][at]
+        out = np.empty_like(back)
+        out[order] = back
+        return g, out
+
+    def _adam(self, gradients: list, rate: float, n: int) -> None:
+        """A step by gradients (name, rows, sum over n tokens)."""
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for _, _, v in gradients)) / n
+        self.t += 1
+        step = np.float32(rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
+        scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / n)
+        for name, at, v in gradients:
+            v *= scale
+            m, w = self.first[name][at], self.second[name][at]
+            q = v * v
+            q *= np.float32(0.001)
+            w *= np.float32(0.999)
+            w += q
+            v *= np.float32(0.1)
+            m *= np.float32(0.9)
+            m += v
+            if name == "E":  # copies of rows
+                self.first[name][at], self.second[name][at] = m, w
+            np.sqrt(w, out=q)
+            q += np.float32(1e-8)
+            np.divide(m, q, out=q)
+            q *= step
+            self.net.params[name][at] -= q
+            if name in ("C", "c", "W", "w"):
+                np.clip(self.net.params[name], -LIMIT, LIMIT, out=self.net.params[name])
 
 
 def train(texts: list[np.ndarray], tokens: np.ndarray, seed: int = 11) -> Net:
@@ -320,35 +361,47 @@ def improved(blocks: DataFrame, net: Net, n: int, number: int, seed: int, judge)
 
 def numbers(net: Net, hashes: np.ndarray) -> np.ndarray:
     if not len(net.tokens):
-        return np.zeros(len(hashes), np.int64)
+        return np.zeros(len(hashes), np.int32)
     at = np.minimum(np.searchsorted(net.tokens, hashes), len(net.tokens) - 1)
-    return np.where(net.tokens[at] == hashes, net.ids[at], RARE)
+    return np.where(net.tokens[at] == hashes, net.ids[at], RARE).astype(np.int32)
 
 
 def log_probs(net: Net, lines: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each number of the lines, one after the other. Lines are walked side by side, the longest first, in windows
     between which the states are carried."""
-    p, d, size = net.params, WIDTH, len(net.tokens)
+    p, d = net.params, WIDTH
     table_ = p["E"] @ p["X"] + p["b"]
-    ends = np.cumsum([len(x) for x in lines])
-    flat, begins = np.concatenate(lines), np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    order = np.argsort(begins - ends, kind="stable")
-    begins, lengths = begins[order], (ends - np.concatenate([[0], ends[:-1]]))[order]
-    out = np.empty(len(flat))
-    h, last = np.zeros((len(lines), d), np.float32), np.full(len(lines), size + 1)
+    lengths = np.array([len(x) for x in lines])
+    flat, begins = np.concatenate(lines).astype(np.int32), np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    begins, lengths = begins[order], lengths[order]
+    live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # lines longer than each place
+    out = np.empty(len(flat), np.float32)
+    h, last, turned = np.zeros((d, len(lines)), np.float32), np.full(len(lines), len(net.tokens) + 1), np.ascontiguousarray(p["U"].T)
     at = 0
     while at < lengths[0]:
-        live = int(np.searchsorted(-lengths, -at, "left"))  # lines longer than `at`
         states, places = [], []
-        for s in range(at, at + int(min(max(1, WINDOW // live), lengths[0] - at, 512))):
-            live = int(np.searchsorted(-lengths, -s, "left"))
-            h = _step(p, table_[last[:live]], h[:live])
-            places.append(begins[:live] + s)
+        stop = at + int(min(max(1, WINDOW // live[at]), lengths[0] - at, 512))
+        for s in range(at, stop):
+            m = live[s]
+            h, x = np.ascontiguousarray(h[:, :m]), np.ascontiguousarray(table_[last[:m]].T)
+            u = turned @ h
+            z = x[: 2 * d]
+            z += u[: 2 * d]
+            _gate(z)
+            new = u[2 * d :]
+            new *= z[d:]
+            new += x[2 * d :]
+            np.tanh(new, out=new)
+            h = h - new
+            h *= z[:d]
+            h += new
+            places.append(begins[:m] + s)
+            states.append(h.T)
             last = flat[places[-1]]
-            states.append(h)
         where = np.concatenate(places)
         out[where] = _outputs(net, np.concatenate(states), flat[where])
-        at = s + 1
+        at = stop
     return out
 
 
@@ -363,7 +416,11 @@ def coded(docs: DataFrame) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             flat = np.concatenate(lines)
-            vocabulary, codes = np.unique(flat, return_inverse=True)
+            found = pa.array(flat).dictionary_encode()
+            own = found.dictionary.to_numpy()
+            place, order = np.empty(len(own), np.int32), np.argsort(own)
+            place[order] = np.arange(len(own))
+            vocabulary, codes = own[order], place[found.indices.to_numpy()]
             trained = np.repeat(~np.array(held, bool), [len(x) for x in lines])
             counts = np.bincount(codes[trained], minlength=len(vocabulary)).astype(np.int64)
             kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
@@ -447,14 +504,18 @@ def score(docs: DataFrame, held_out: Column, seed: int = 11) -> DataFrame:
     rare_tokens, rare_words = n - top_total, v - n_top
     often = np.append(1, best[1].astype(np.int64)).astype(float)  # by number; a rare token's count does not change the choice much
 
-    def mixture(logs: np.ndarray, y: np.ndarray, c: np.ndarray, share: float) -> np.ndarray:
-        inside = np.where(y == RARE, np.log((c + 0.5) / (rare_tokens + 0.5 * (rare_words + 1))), 0.0)
-        base = (c + 0.5) / (n + 0.5 * (v + 1))
-        return np.log10(share * np.exp(logs + inside) + (1 - share) * base) if share > 0 else np.log10(base)
+    def shares(y: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log of a token's share of its number, and its base probability."""
+        return np.where(y == RARE, np.log((c + 0.5) / (rare_tokens + 0.5 * (rare_words + 1))), 0.0), (c + 0.5) / (n + 0.5 * (v + 1))
+
+    def mixture(logs: np.ndarray, inside: np.ndarray, base: np.ndarray, share: float) -> np.ndarray:
+        """Log10 probabilities of tokens."""
+        return np.log(share * np.exp(logs + inside) + (1 - share) * base) / np.log(10)
 
     def judge(net: Net, lines: list[np.ndarray]) -> np.ndarray:
-        logs, y = log_probs(net, lines), np.concatenate(lines)
-        return np.array([mixture(logs, y, often[y], s / 20).sum() for s in range(1, 20)])
+        y = np.concatenate(lines)
+        logs, own = log_probs(net, lines), shares(y, often[y])
+        return np.array([mixture(logs, *own, s / 20).sum() for s in range(1, 20)])
 
     net, judged = untrained(best[0], seed), None
     if n:
@@ -472,14 +533,17 @@ def score(docs: DataFrame, held_out: Column, seed: int = 11) -> DataFrame:
             for ids, held, ends, codes, vocabulary, parts in zip(*(batch.column(i) for i in range(1, 7))):
                 v_ = np.frombuffer(vocabulary.as_py(), U)
                 c = np.concatenate([np.frombuffer(p["totals"], np.int64) for p in sorted(parts.as_py(), key=lambda p: p["range"])])
-                at = np.frombuffer(codes.as_py(), np.uint16 if len(v_) <= 1 << 16 else np.uint32).astype(np.int64)
+                at = np.frombuffer(codes.as_py(), np.uint16 if len(v_) <= 1 << 16 else np.uint32)
                 number, ends = numbers(net, v_), np.array(ends.as_py())
                 begins = np.concatenate([[0], ends[:-1]])
-                y, count = number[at], c[at]
-                logs = log_probs(net, [y[a:b] for a, b in zip(begins, ends)]) if net.share > 0 else np.zeros(len(at))
-                each = mixture(logs, y, count, net.share)
-                base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
-                cols = (ids.as_py(), held.as_py(), (ends - begins).tolist(), np.add.reduceat((count > 0).astype(np.int64), begins), [n] * len(ends), np.add.reduceat(base, begins), np.add.reduceat(each, begins))
+                (inside, base), y = shares(number, c), number[at]
+                each = low = np.log10(base)[at]
+                if net.share > 0:
+                    logs, each = log_probs(net, [y[a:b] for a, b in zip(begins, ends)]), np.empty(len(at))
+                    for a in range(0, len(at), 1 << 17):
+                        part = at[a : a + (1 << 17)]
+                        each[a : a + (1 << 17)] = mixture(logs[a : a + (1 << 17)], inside[part], base[part], net.share)
+                cols = (ids.as_py(), held.as_py(), (ends - begins).tolist(), np.add.reduceat((c > 0).astype(np.int64)[at], begins), [n] * len(ends), np.add.reduceat(low, begins), np.add.reduceat(each, begins))
                 types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
