@@ -6,7 +6,7 @@ Tokens are words (A-Z as a-z) and an end after each text. Two models learn from
 * a gated recurrent network over the most frequent tokens, trained by truncated backpropagation in numpy, with a
   softmax over classes of tokens and one within the class. Other tokens share the class `rare`, within which they have
   their smoothed share of the counts, so that the network gives a distribution over all tokens, unseen ones included.
-  KNOWN tokens are told apart up to SAMPLE training tokens, and more with the square root of the training tokens beyond.
+  KNOWN tokens are told apart up to SAMPLE training tokens, and more with the fourth root of the training tokens beyond.
 
 The score of a text is the log10 probability of all its tokens under a mixture of both. A document of any length is walked in windows
 with its state carried from window to window.
@@ -15,7 +15,7 @@ Documents are coded once, in blocks of about BLOCK tokens with a vocabulary each
 a block's share of a range of hashes goes to the task of that range, and the totals come back to the block. The network
 starts from a fit on about SAMPLE tokens, stretches from all over the training documents. Then it learns from every training
 document: in each of ROUNDS rounds each worker improves the weights on its blocks' documents of that round, and the weights of
-the workers are averaged by their tokens. The network's share in the mixture is chosen on documents kept for the last round, before
+the workers are averaged by their tokens. A worker has PER_WEIGHT tokens for each weight, so what is sent stays a fraction of what is read. The network's share in the mixture is chosen on documents kept for the last round, before
 they are learned from. Tokens are told apart by 64-bit hashes.
 
 Defined results: a null text is an empty one, whose only token is the end; repeated rows are scored and learned from each;
@@ -47,6 +47,8 @@ LIMIT = np.float32(min(3.0, 80 / (WIDTH + 1)))
 STEPS, STREAMS, PASSES, RATE = 24, 48, 4, 0.01
 #: The same over all training documents: rounds, parallel texts, rates of learning of the first and the last round.
 ROUNDS, WIDE, RATES = 4, 256, (0.004, 0.001)
+#: Training tokens of a worker for each weight that it sends.
+PER_WEIGHT = 32
 #: Tokens of a stretch of the sample, tokens on which the share is chosen (a tenth of all at most), floats of a part of the weights.
 STRETCH, CHECK, PART = 512, 100_000, 1 << 18
 #: Tokens whose outputs are computed at a time.
@@ -75,7 +77,7 @@ def _gate(x: np.ndarray) -> np.ndarray:
 
 def known_size(n: int) -> int:
     """Tokens told apart after n training tokens."""
-    return int(KNOWN * max(1.0, n / SAMPLE) ** 0.5)
+    return int(KNOWN * max(1.0, n / SAMPLE) ** 0.25)
 
 
 def _classes(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -345,8 +347,8 @@ def improved(blocks: DataFrame, net: Net, n: int, number: int, seed: int, judge)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([weight], pa.int64()), pa.array([out.tobytes()], pa.binary())], names=["part", "weight", "values"])
 
     shape = "part int, weight long, values binary"
-    # one worker for each core, so that weights are sent once for each
-    worked = blocks.coalesce(max(1, context.defaultParallelism)).mapInArrow(of, shape)
+    wanted, cores = -(-n // (PER_WEIGHT * sum(v.size for v in net.params.values()))), max(1, context.defaultParallelism)
+    worked = blocks.coalesce(max(1, wanted if wanted <= cores else cores * -(-wanted // cores))).mapInArrow(of, shape)
     with small_batches(blocks.sparkSession):
         parts = {r[0]: r for r in worked.groupBy("part").applyInArrow(add, shape).collect()}
     judged = np.frombuffer(parts.pop(-1)[2], np.float64) if -1 in parts else None

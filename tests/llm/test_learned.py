@@ -212,7 +212,7 @@ def test_rounds_learn_from_every_training_token_and_know_more(spark, monkeypatch
         net, judged, seen = gru_lm.improved(blocks, net, n, i, 11, lambda net, lines: np.array([float(sum(map(len, lines)))]))
         total += seen
     assert total == n == sum(len(words(r["text"])) + 1 for r in docs.where("not held_out").collect()) and 0 < judged[0] < n / 4
-    assert gru_lm.known_size(16 * gru_lm.SAMPLE) == 4 * gru_lm.known_size(gru_lm.SAMPLE) == 4 * gru_lm.KNOWN
+    assert gru_lm.known_size(16 * gru_lm.SAMPLE) == 2 * gru_lm.known_size(gru_lm.SAMPLE) == 2 * gru_lm.KNOWN
     blocks.unpersist()
 
 
