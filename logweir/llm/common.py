@@ -19,40 +19,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """A folder of this application in the one that driver and executors share, spark.checkpoint.dir. Where that is unset a local
+    master gets a temporary one; a cluster has no such folder, and the call fails."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="logweir-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/logweir-{spark.sparkContext.applicationId}"
+
+
+#: What written() and kept() hold, in the order that it was made.
+_HELD: list[DataFrame] = []
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: cuts lineage and survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/logweir-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _HELD.append(out)
     return out
 
 
 def kept(df: DataFrame) -> DataFrame:
     """df, computed once and held on the executors' disks. What is lost with an executor is computed again from the input, so this is for
-    short lineages; loops cut theirs with written(). Freed by forget(), spark.catalog.clearCache() or the end of the session."""
+    short lineages; loops cut theirs with written(). Freed by forget(), freed(), spark.catalog.clearCache() or the end of the session."""
     df = df.persist(StorageLevel.DISK_ONLY)
     df.count()
+    _HELD.append(df)
     return df
 
 
+@contextlib.contextmanager
+def freed():
+    """Frees, when it ends, what operators have held since it began: for callers that have written down their result by then. What is given
+    to the function it yields stays."""
+    mark, stays = len(_HELD), []
+    yield stays.append
+    for df in _HELD[mark:]:
+        if not any(df is x for x in stays):
+            forget(df)
+
+
 def forget(df: DataFrame | None) -> None:
     """Frees what written() or kept() hold for a DataFrame that nothing reads any more."""
+    if df is None:
+        return
+    _HELD[:] = [x for x in _HELD if x is not df]
     path = getattr(df, "_scratch_path", None)
-    if df is not None and not path:
+    if not path:
         df.unpersist()
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        return
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
 
 
 def packed(df: DataFrame, *columns) -> DataFrame:
@@ -94,6 +117,26 @@ def sampled(doc_id: Column, wanted: int, total: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 40)) < int((1 << 40) * wanted / total)
 
 
+def merged(root, u, v):
+    """root, the smallest member of each index's group, after the groups of u and v have become one."""
+    import numpy as np
+
+    while len(u):
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            break
+        u, v, low = u[apart], v[apart], np.minimum(a, b)[apart]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(a, b)[apart], low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return root
+
+
 def _forest(edges: DataFrame, chunk: int = 2_000_000) -> DataFrame:
     """Each task's edges cut down to a spanning forest of (node, smallest node of its tree): at most one edge a node."""
     import numpy as np
@@ -101,22 +144,7 @@ def _forest(edges: DataFrame, chunk: int = 2_000_000) -> DataFrame:
 
     def contracted(a, b):
         nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        u, v = at[: len(a)], at[len(a) :]
-        root = np.arange(len(nodes))
-        while True:  # nodes are sorted, so the smallest index is the smallest node
-            low = np.minimum(root[u], root[v])
-            before = root.copy()
-            np.minimum.at(root, root[u], low)
-            np.minimum.at(root, root[v], low)
-            np.minimum.at(root, u, low)
-            np.minimum.at(root, v, low)
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root = up
-            if (root == before).all():
-                break
+        root = merged(np.arange(len(nodes)), at[: len(a)], at[len(a) :])  # nodes are sorted, so the smallest index is the smallest node
         keep = root != np.arange(len(nodes))
         return nodes[keep], nodes[root[keep]]
 
@@ -194,11 +222,29 @@ def runs(batches, keys: int):
         yield pa.Table.from_batches(held)
 
 
-def blocks(members: DataFrame, weight: str, most: int) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, total: int, most: int = 1024) -> DataFrame:
+    """(key, parts) of the keys of counts (key, rows) with more than `most` rows and more than a ten-thousandth of all: 10,000 keys at
+    most, which can be broadcast. parts of about `most` rows each; the others are small enough to be dealt out whole."""
+    most = max(most, total // 10_000)
+    return counts.where(F.col("rows") > most).select(key, F.ceil(F.col("rows") / most).cast("int").alias("parts"))
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread: Column) -> tuple[DataFrame, DataFrame]:
+    """left and right with `salt`, to be joined on key and salt: rows of a hot key on the left go to one of its parts each, by a hash of
+    spread, and those on the right to all of them."""
+    hot = F.broadcast(hot)
+    left = left.join(hot, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    right = right.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left, right
+
+
+def blocks(members: DataFrame, weight: Column, most: int, rows: int = 2048) -> DataFrame:
     """members (key, cls, ...) of keys with two rows or more, with own, lo and hi: each key's rows in blocks of about `most`
-    units of weight, and each pair of blocks as (key, lo, hi)."""
-    totals = members.groupBy("key").agg(F.sum(weight).alias("total"), F.count("*").alias("rows")).where("rows > 1")
-    totals = totals.select("key", F.greatest(F.lit(1), F.ceil(F.col("total") / most)).cast("int").alias("k"))
-    cut = members.join(totals, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
+    units of weight or `rows` rows, and each pair of blocks as (key, lo, hi). A hot key is spread before it is cut."""
+    totals = kept(members.groupBy("key").agg(F.sum(weight).alias("total"), F.count("*").alias("rows")))
+    hot = hot_keys(totals, "key", totals.agg(F.sum("rows")).first()[0] or 0)
+    k = F.greatest(F.lit(1), F.ceil(F.col("total") / most), F.ceil(F.col("rows") / rows)).cast("int").alias("k")
+    left, right = salted(members, totals.where("rows > 1").select("key", k), "key", hot, F.col("cls"))
+    cut = left.join(right, ["key", "salt"]).drop("salt").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     return cut.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "k")

@@ -4,18 +4,24 @@ Every version of a text is addressed by the SHA-256 of its content. The ledger h
 were scanned before; only blobs with a missing triple are read again, once each, whatever the number of paths that hold
 them. Findings are per blob and are joined back to all paths.
 
+What is due is a table in the shared folder, joined with the texts before any pattern is tried: were it a constant, Catalyst
+would move the patterns below that join, and every copy of a blob would be scanned. A Ledger keeps the triples and findings of its
+scans in a folder; a scan cut off before its triples are written counts for nothing, and its blobs are scanned again. A blob of
+many paths is spread over tasks when findings are joined back.
+
 Defined results: a null text is an empty one; an empty table gives an empty result; repeated rows and paths each get the
 findings of their blob; a null path is a path like others; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import packed, table, written
+from .common import forget, hot_keys, packed, salted, shared_dir, table, written
 
 
 class Rule(NamedTuple):
@@ -33,8 +39,10 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{14,}", 0, 18),
     Rule("hex", 1, r"[0-9a-f]{16,}", 0, 16),
 )
-#: Blobs with findings that are broadcast at most (about 80 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Blobs with findings that are broadcast at most (about 130 bytes each, so 9 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 16
+FINDING = "blob string, kind string, rank int, version int, start long, end long"
+SEEN = "blob string, kind string, version int"
 NO_FINDING = "array<struct<start:long,rank:int,kind:string,end:long>>"
 
 
@@ -62,28 +70,36 @@ def _measures(text: Column, rule: Rule, rank: int, due: Column) -> Column:
     return F.when(due & text.rlike(rule.pattern), lengths).otherwise(none)
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger): findings (blob, kind, version, start, end) of the blobs scanned now, in code points with the
+def addressed(versions: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """path and blob of every row of versions, a table in the shared folder."""
+    return written(versions.select(F.col(path).alias("path"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob")), "secret-paths")
+
+
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text", held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings, ledger): findings (blob, kind, rank, version, start, end) of the blobs scanned now, in code points with the
     end exclusive, and the (blob, kind, version) triples scanned now, to be appended to the ledger.
 
-    ledger has blob, kind and version of earlier scans; None for a first scan.
+    ledger has blob, kind and version of earlier scans; None for a first scan. held is addressed(versions), if it is at hand.
     """
-    wanted = F.array(*(F.lit(f"{r.kind}:{r.version}") for r in rules))
-    body = F.coalesce(F.col(text), F.lit(""))
-    held = versions.select(F.col(path).alias("path"), F.sha2(body, 256).alias("blob"))
+    wanted, body = F.array(*(F.lit(f"{r.kind}:{r.version}") for r in rules)), F.coalesce(F.col(text), F.lit(""))
+    held = addressed(versions, path, text) if held is None else held
     # one path stands for a blob; counting is done before anything is dealt out, so a blob with many paths is no hot key
-    due = held.groupBy("blob").agg(F.min("path").alias("path")).withColumn("due", wanted)
-    if ledger is not None:
-        pairs = due.select("blob", "path", F.explode("due").alias("pair"))
-        seen = ledger.select("blob", F.concat_ws(":", "kind", "version").alias("pair"))
-        due = pairs.join(seen, ["blob", "pair"], "left_anti").groupBy("blob").agg(F.min("path").alias("path"), F.collect_set("pair").alias("due"))
+    blobs = held.groupBy("blob").agg(F.min("path").alias("path"))
+    if ledger is None:
+        blobs = blobs.withColumn("due", wanted)
+    else:
+        before = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("had"))
+        blobs = blobs.join(before, "blob", "left").withColumn("due", F.array_except(wanted, F.coalesce("had", F.array().cast("array<string>")))).drop("had")
+    due = written(blobs.where(F.size("due") > 0), "secret-due")
     source = versions.select(F.col(path).alias("path"), body.alias("body"), F.sha2(body, 256).alias("blob"))
     asked = due.select(F.col("path").alias("due_path"), F.col("blob").alias("due_blob"), "due")
     bodies = source.join(asked, F.col("path").eqNullSafe(F.col("due_path")) & (F.col("blob") == F.col("due_blob")))
     parts = [_measures(F.col("body"), r, i, F.array_contains("due", f"{r.kind}:{r.version}")) for i, r in enumerate(rules)]
     none = F.array().cast("array<struct<rank:int,version:int,gap:int,len:int,kept:boolean>>")
-    measured = bodies.select("blob", F.concat(*(F.coalesce(p, none) for p in parts)).alias("pieces")).where(F.size("pieces") > 0)
-    rows = measured.dropDuplicates(["blob"]).select("blob", F.posexplode("pieces").alias("at", "p")).select("blob", "at", "p.*")
+    measured = bodies.select("blob", F.concat(*(F.coalesce(p, none) for p in parts)).alias("pieces"))
+    # the outer form, since for the inner one a filter on the size would compute the pieces a second time
+    rows = measured.select("blob", F.posexplode_outer("pieces").alias("at", "p")).where("p is not null")
+    rows = rows.repartition("blob").dropDuplicates(["blob", "at"]).select("blob", "at", "p.*")
     run = Window.partitionBy("blob", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(run)).where("kept")
     kinds = F.array(*(F.lit(r.kind) for r in rules))
@@ -92,11 +108,50 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     return findings, done
 
 
-def by_path(versions: DataFrame, findings: DataFrame, path: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """path, blob and the sorted array `found` of (start, rank, kind, end) for every row of versions, and the columns in keep."""
+class Ledger:
+    """Scans and what they found, in a folder: a new one in the shared folder unless one is given."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder = spark, (folder or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}").rstrip("/")
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        top = jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = top.getFileSystem(conf)
+        scans = sorted(x.getPath().toString() for x in fs.listStatus(top)) if fs.exists(top) else []
+        done = [f"{x}/{name}" for x in scans if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{x}/ledger/_SUCCESS"))]
+        if done:
+            return self.spark.read.schema(schema).parquet(*done)
+        columns = [c.strip().split(" ") for c in schema.split(",")]
+        return self.spark.range(0).select(*(F.lit(None).cast(t).alias(c) for c, t in columns))
+
+    def seen(self) -> DataFrame:
+        """(blob, kind, version) of all scans."""
+        return self._table("ledger", SEEN)
+
+    def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """What all scans found by these versions of rules."""
+        return self._table("findings", FINDING).where(F.concat_ws(":", "kind", "version").isin(*(f"{r.kind}:{r.version}" for r in rules)))
+
+    def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
+        """Scans what is due, and gives addressed(versions)."""
+        held = addressed(versions, path, text)
+        found, done = scan(versions, self.seen(), rules, path, text, held)
+        at = f"{self.folder}/{uuid.uuid4().hex}"
+        found.write.parquet(f"{at}/findings")
+        done.write.parquet(f"{at}/ledger")  # last: from now on the scan counts
+        return held
+
+
+def by_path(versions: DataFrame, findings: DataFrame, path: str = "doc_id", text: str = "text", held: DataFrame | None = None) -> DataFrame:
+    """path, blob and the sorted array `found` of (start, rank, kind, end) for every row of versions. held is addressed(versions), if it is
+    at hand."""
+    held = addressed(versions, path, text) if held is None else held
     per_blob = findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("found"))
-    held = versions.select(path, *keep, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
-    return held.join(per_blob, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(NO_FINDING)))
+    # held is a table of files, whose rows have the same number each time
+    left, right = salted(held, per_blob, "blob", hot_keys(held.groupBy("blob").agg(F.count("*").alias("rows")), "blob", held.count()), F.monotonically_increasing_id())
+    rows = left.join(right, ["blob", "salt"], "left")
+    return rows.select(F.col("path").alias(path), "blob", F.coalesce("found", F.array().cast(NO_FINDING)).alias("found"))
 
 
 def redacted(text: Column, rule: Rule) -> Column:
@@ -108,11 +163,16 @@ def redacted(text: Column, rule: Rule) -> Column:
 def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All documents; those whose blob has findings get a text with secrets replaced, the kinds one after the other in their
     order, and its length as n_chars."""
-    findings, _ = scan(docs, rules=rules)
-    flagged = written(findings.select("blob").distinct().withColumn("flagged", F.lit(True)), "secret-blobs")
+    ledger = Ledger(docs.sparkSession)
+    held = ledger.scan(docs, rules)
+    flagged = written(ledger.findings(rules).select("blob").distinct().withColumn("flagged", F.lit(True)), "secret-blobs")
+    rows = packed(docs, F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), F.col("text").alias("body"), F.col("doc_id").alias("path"))
     if flagged.count() <= BROADCAST_ROWS:
-        flagged = F.broadcast(flagged)
-    rows = packed(docs, F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), F.col("text").alias("body")).join(flagged, "blob", "left")
+        rows = rows.join(F.broadcast(flagged), "blob", "left")
+        forget(held)
+    else:
+        left, right = salted(rows, flagged, "blob", hot_keys(held.groupBy("blob").agg(F.count("*").alias("rows")), "blob", held.count()), F.xxhash64("path"))
+        rows = left.join(right, ["blob", "salt"], "left")
     for rule in rules:  # a column each, since a nested expression would be computed again for every use
         rows = rows.withColumn("body", F.when(F.col("flagged"), redacted(F.col("body"), rule)).otherwise(F.col("body")))
     new = {"text": F.col("body")}
@@ -122,9 +182,9 @@ def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFr
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    findings, _ = scan(docs)
-    found = by_path(docs, findings)
+    docs, ledger = table(spark, sf_dir, "documents"), Ledger(spark)
+    held = ledger.scan(docs)
+    found = by_path(docs, ledger.findings(), held=held)
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
