@@ -3,23 +3,25 @@
 Texts become sets of hashed n-grams under one global order: n-grams of rare slots first (the slots are counted over all
 rows), then by hash. Texts with equal sets form a class, and only classes are compared. Two sets of the wanted similarity
 share one of the first n - need + 1 n-grams of each, so a pair meets below a child of the tree's root, and a bucket of rows
-under such an n-gram is one such subtree. Where a bucket has a pair that the remaining-length bounds let through, its sets
-are put into a trie in the worker; the traversal carries the overlaps of all sets with the path walked so far, shared by
-all that lie below, and leaves a subtree when no set can reach its bound with what remains.
+under such an n-gram is one such subtree. Where a bucket has a pair that sizes, places in the order and parity sketches let through, its
+sets are put into a trie in the worker, in the global order. The traversal carries the overlaps of candidates with the path walked so far,
+shared by all that lies below it. At each node candidates go whose overlap, with what remains of them behind the path's last n-gram and
+what remains below the node, can't reach the least overlap with the smallest set there; where none is left the subtree is not entered.
 
 To keep groups of near copies from meeting in every bucket, classes are first joined in the buckets of their smallest
 hashes; what that links is one component, and the second, complete join compares different components only. Links leave
-the workers as spanning forests, never as all pairs of a group. Buckets with many n-grams are cut into blocks, and each
-pair of blocks is a unit of its own.
+the workers as spanning forests, never as all pairs of a group. Buckets with many n-grams or rows are cut into blocks, and each
+pair of blocks is a unit of its own; a hot bucket is spread over tasks before it is cut.
 
 Defined results: a null or empty text, or one of white space, has the empty set and is linked with nothing; repeated rows
 and equal texts share a component; each row is a node of its own, also when rows share a doc_id; a null
-doc_id keeps its row, which is linked to rows of equal sets only if no such row has an id, and its component_id is null if
-no row of its component has one; an empty table gives an empty result; further columns are ignored.
+doc_id keeps its row, which is linked like others, and its component_id is null if
+no row of its component has an id; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, components, forget, kept, packed, runs, small_batches, table, unpacked, written
+from .common import blocks, components, forget, hot_keys, kept, packed, runs, salted, small_batches, table, unpacked, written
 from .hashing import U, mix, shingles
 
 #: Slots that n-grams are counted in; the counts are all that the driver gets, 2 MB for any input.
@@ -40,8 +42,10 @@ SIGNATURES = 2
 SKETCH = 1024
 #: N-grams of a bucket that one worker takes at a time; beyond that it is cut into blocks.
 BLOCK = 1 << 19
-#: Rows of units that are broadcast at most (about 60 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+#: Added to the n-grams of a set when buckets are cut, so that a unit never has too many small sets.
+SHARE = 64
+#: Rows of units that are broadcast at most (about 60 bytes each, so 8 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 17
 
 
 def need(nx, ny, percent: int):
@@ -88,104 +92,109 @@ def _order(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > usual, counts, 0)
 
 
-def features(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
-    """doc_id, n, two hashes of the set, its smallest hashes, its prefix in the global order and its sketch."""
-    rank = _order(counts)
+def features(docs: DataFrame, rank, k: int, percent: int) -> DataFrame:
+    """doc_id, rid, n, two hashes of the set, its smallest hashes, its prefix in the global order, how many at the end of it are of over-full
+    slots, and its sketch. rank is a broadcast of the ranks of slots; docs has doc_id, rid and text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = rank.value
         for batch in batches:
-            ids = batch.column(0)
             texts, cut = _texts(batch), 512
             for a in range(0, batch.num_rows, cut):
-                out: list[list] = [[] for _ in range(6)]
+                out: list[list] = [[] for _ in range(7)]
                 for _, s in shingles(texts.slice(a, cut), k):
                     n = len(s)
                     first = n - -(-percent * n // 100) + 1 if n else 0
+                    warm = 0
                     if n:
-                        hot = rank[_slot(s)]
-                        p = s[:first] if not hot[:first].any() else s[np.lexsort((s, hot))[:first]]
+                        hot = ranks[_slot(s)]
+                        p = s[:first]
+                        if hot[:first].any():
+                            order = np.lexsort((s, hot))[:first]
+                            p, warm = s[order], int((hot[order] > 0).sum())
                         wide = max(SKETCH, 1 << ((n - 1) // 2).bit_length())
                         bits = np.bincount((mix(s ^ U(77)) & U(wide - 1)).astype(np.int64), minlength=wide) & 1
                         low = [int(mix(s ^ U(i + 1)).min().view(np.int64)) for i in range(SIGNATURES)]
                     else:
                         p, bits, low = s, np.zeros(SKETCH, np.int64), []
                     a_, b_ = np.sum(mix(s), dtype=U), np.sum(mix(s ^ U(0xABCDEF)), dtype=U)
-                    for column, x in zip(out, (n, int(a_.view(np.int64)), int(b_.view(np.int64)), low, p.view(np.int64), np.packbits(bits).tobytes()), strict=True):
+                    for column, x in zip(out, (n, int(a_.view(np.int64)), int(b_.view(np.int64)), low, p.view(np.int64), warm, np.packbits(bits).tobytes()), strict=True):
                         column.append(x)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, cut), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=["doc_id", "n", "h1", "h2", "low", "prefix", "sketch"])
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary())
+                names = ["doc_id", "rid", "n", "h1", "h2", "low", "prefix", "warm", "sketch"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, cut) for i in range(2)), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, n long, h1 long, h2 long, low array<long>, prefix array<long>, sketch binary")
+    return docs.select("doc_id", "rid", "text").mapInArrow(of, "doc_id long, rid long, n long, h1 long, h2 long, low array<long>, prefix array<long>, warm int, sketch binary")
 
 
-def trie_links(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of indices, of the links between sets of different groups; linked groups become one."""
-    count = len(sets)
+def trie_links(sets: list[np.ndarray], group: np.ndarray, percent: int, ranks: np.ndarray | None = None, seen: Counter | None = None) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of indices, of the links between sets of different groups; linked groups become one.
+
+    ranks are those of slots, for the global order. seen counts the nodes entered, the subtrees left and the sets below them.
+    """
+    count, seen = len(sets), Counter() if seen is None else seen
     size = np.array([len(s) for s in sets], np.int64)
     grams, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(count), size)
-    at = at.astype(np.int32)
-    owner, shared = owner.astype(np.int32), often[at] > 1
-    rank = np.empty(len(grams), np.int32)
-    rank[np.argsort(-often, kind="stable")] = np.arange(len(grams))  # frequent n-grams first: paths are shared longest
-    token, owner = rank[at[shared]], owner[shared]
+    place = np.empty(len(grams), np.int64)
+    place[np.argsort(ranks[_slot(grams)], kind="stable") if ranks is not None else slice(None)] = np.arange(len(grams))
+    # what only one set has belongs to no overlap, so paths go without it
+    shared = often[at] > 1
+    token, owner = place[at[shared]], np.repeat(np.arange(count), size)[shared]
     by_token = np.argsort(token, kind="stable")
-    holders, starts = owner[by_token], np.searchsorted(token[by_token], np.arange(int((often > 1).sum()) + 1))
+    holders, starts = owner[by_token], np.searchsorted(token[by_token], np.arange(len(grams) + 1))
     by_set = np.lexsort((token, owner))
-    cuts, flat = np.searchsorted(owner[by_set], np.arange(count + 1)), token[by_set]
+    held, flat = np.bincount(owner, minlength=count), token[by_set]
+    cuts = np.concatenate([[0], np.cumsum(held)])
+    spot = owner[by_set] * (len(grams) + 1) + flat  # sorted: where an n-gram would stand in each set
     paths = [flat[cuts[i] : cuts[i + 1]] for i in range(count)]
-    walk = sorted(range(count), key=lambda i: paths[i].astype(">u4").tobytes())
-    common = [0] * (count + 1)
+    walk = np.array(sorted(range(count), key=lambda i: paths[i].astype(">u4").tobytes()), np.int64)
+    turn = np.empty(count, np.int64)
+    turn[walk] = np.arange(count)
+    common = np.zeros(count, np.int64)
     for i in range(1, count):
         a, b = paths[walk[i - 1]], paths[walk[i]]
         m = min(len(a), len(b))
         off = np.flatnonzero(a[:m] != b[:m])
         common[i] = int(off[0]) if len(off) else m
-    held = np.array([len(p) for p in paths], np.int64)
     label, found = group.copy(), []
 
-    def more(over: np.ndarray, part: np.ndarray) -> np.ndarray:
-        if not len(part):
-            return over
-        a, n = starts[part], starts[part + 1] - starts[part]
-        rows = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        return over + np.bincount(holders[rows], minlength=count)
-
-    def hopeful(over: np.ndarray, depth: int, y: int) -> np.ndarray:
-        bound = over + np.minimum(held - over, held[y] - depth)
-        return (label != label[y]) & (bound >= need(size, size[y], percent))
-
-    stack = [(0, np.zeros(count, np.int64))]
-    for i, y in enumerate(walk):
-        path, enter = paths[y], common[i]
-        while stack[-1][0] > enter:
-            kept = stack.pop()
-            if stack[-1][0] < enter < kept[0]:
-                depth, over = stack[-1]
-                stack.append((enter, more(over, path[depth:enter])))
-        depth, over = stack[-1]
-        if depth < enter:
-            over = more(over, path[depth:enter])
-            depth = enter
-            stack.append((depth, over))
-        leave = common[i + 1]
-        if leave > depth:  # what follows shares the path down to there
-            over = more(over, path[depth:leave])
-            depth = leave
-            stack.append((depth, over))
-        if not hopeful(over, depth, y).any():
+    # a node: the sets of the walk below it, the depth above it, and the candidates with their overlaps up to there
+    stack = [(0, count, 0, np.arange(count), np.zeros(count, np.int64))]
+    while stack:
+        lo, hi, above, some, over = stack.pop()
+        path, below = paths[walk[lo]], walk[lo:hi]
+        depth = int(common[lo + 1 : hi].min()) if hi - lo > 1 else len(path)
+        seen["nodes"] += 1
+        later = turn[some] >= lo  # each pair once, by the one that is walked first
+        if (label[below] == label[below[0]]).all():
+            later &= label[some] != label[below[0]]
+        some, over = some[later], over[later]
+        part = path[above:depth]
+        if len(part) and len(some):
+            a, n = starts[part], starts[part + 1] - starts[part]
+            rows = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+            over = over + np.bincount(holders[rows], minlength=count)[some]
+        behind = held[some] - (np.searchsorted(spot, some * (len(grams) + 1) + path[depth - 1], "right") - cuts[some]) if depth else held[some]
+        fit = over + np.minimum(behind, held[below].max() - depth) >= need(size[some], size[below].min(), percent)
+        some, over = some[fit], over[fit]
+        if not len(some):
+            seen["left"] += hi - lo > 1
+            seen["below"] += hi - lo
+            continue
+        if hi - lo == 1:
+            y = int(below[0])
+            for q in some[over >= need(size[some], size[y], percent)].tolist():
+                if label[q] != label[y]:
+                    found.append((y, q))
+                    label[label == label[q]] = label[y]
             continue
-        over = more(over, path[depth:])
-        linked = np.flatnonzero((label != label[y]) & (over >= need(size, size[y], percent)))
-        for q in linked:
-            if label[q] != label[y]:
-                found.append((y, int(q)))
-                label[label == label[q]] = label[y]
+        ends = [lo, *(lo + 1 + np.flatnonzero(common[lo + 1 : hi] == depth)).tolist(), hi]
+        stack.extend((a, b, depth, some, over) for a, b in zip(reversed(ends[:-1]), reversed(ends[1:])))
     return found
 
 
-def _linked(docs: DataFrame, units: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (a, b) between classes that units (key, lo, hi, cls, doc_id, grp) bring together. Each class's set is made
+def _linked(docs: DataFrame, units: DataFrame, rank, k: int, percent: int) -> DataFrame:
+    """Edges (a, b) between classes that units (key, lo, hi, cls, rid, grp) bring together. Each class's set is made
     once, from the text of its own document, where that text is read, and sent to its units."""
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +221,7 @@ def _linked(docs: DataFrame, units: DataFrame, k: int, percent: int) -> DataFram
             if len(cls) < 2 or (grp == grp[0]).all():
                 continue
             grams = rows.column("grams")
-            for x, y in trie_links([np.frombuffer(grams[int(i)].as_py(), U) for i in first], grp, percent):
+            for x, y in trie_links([np.frombuffer(grams[int(i)].as_py(), U) for i in first], grp, percent, rank.value):
                 a.append(int(cls[x]))
                 b.append(int(cls[y]))
             if len(a) > 50_000:
@@ -220,9 +229,9 @@ def _linked(docs: DataFrame, units: DataFrame, k: int, percent: int) -> DataFram
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    jobs = units.groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "hi", "cls", "grp")).alias("jobs"))
+    jobs = units.groupBy("rid").agg(F.collect_list(F.struct("key", "lo", "hi", "cls", "grp")).alias("jobs"))
     small = units.count() <= BROADCAST_ROWS
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(jobs) if small else jobs, "doc_id").select("text", "jobs")
+    rows = docs.select("rid", "text").join(F.broadcast(jobs) if small else jobs, "rid").select("text", "jobs")
     sent = rows.mapInArrow(ship, "key long, lo int, hi int, cls long, grp long, grams binary")
     return sent.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(join, "a long, b long")
 
@@ -309,41 +318,50 @@ def _sketched(units: DataFrame, percent: int) -> DataFrame:
 
 def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs (doc_id, text): linked are rows whose sets of k-word
-    n-grams have 100 * |intersection| >= percent * |union|."""
-    docs = docs.select("doc_id", "text")
+    n-grams have 100 * |intersection| >= percent * |union|. percent is 50 or more, since sketches of one and of two widths are compared."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be 50 to 100")
+    # a row without an id is found again by its text; one found by mistake is told by its set
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"), "text")
+    context, spare = docs.sparkSession.sparkContext, F.col("n") + SHARE
     with small_batches(docs.sparkSession):
-        rows = kept(features(docs, slot_counts(docs, k), k, percent))
+        rank = context.broadcast(_order(slot_counts(docs, k)))
+        rows = kept(features(docs, rank, k, percent))
     classes = kept(
         rows.where("n > 0").groupBy(F.col("h1").alias("cls"), "h2", "n")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+        .agg(F.count("*").alias("rows"), F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.first("low").alias("low"), F.first("prefix").alias("prefix"), F.first("warm").alias("warm"), F.first("sketch").alias("sketch"))
     )
 
     # the first join: one bucket for each smallest hash
-    smallest = classes.select(F.posexplode("low").alias("i", "x"), "cls", "doc_id", "n").select(F.xxhash64("i", "x").alias("key"), "cls", "doc_id", "n")
-    units = kept(blocks(smallest, "n", BLOCK).withColumn("grp", F.col("cls")))
+    smallest = classes.select(F.posexplode("low").alias("i", "x"), "cls", "rid", "n").select(F.xxhash64("i", "x").alias("key"), "cls", "rid", "n")
+    units = kept(blocks(smallest, spare, BLOCK).withColumn("grp", F.col("cls")))
     with small_batches(docs.sparkSession):
-        first = kept(_linked(docs, units, k, percent))
+        first = kept(_linked(docs, units, rank, k, percent))
     group = written(components(first), "ngram-groups")
 
-    # the second join: one bucket for each n-gram of a prefix
-    heads = classes.select("cls", "n", F.posexplode("prefix").alias("at", "key")).select("key", "cls", "n", F.col("at").cast("long").alias("at"))
-    near = kept(_near(heads, percent))
+    # the second join: one bucket for each n-gram of a prefix; those of over-full slots may be hot, and go to blocks as they are
+    heads = classes.select("cls", "n", F.posexplode("prefix").alias("at", "key"), (F.size("prefix") - F.col("warm")).alias("cool"))
+    heads = heads.select("key", "cls", "n", F.col("at").cast("long").alias("at"), (F.col("at") >= F.col("cool")).alias("warm"))
+    near = kept(_near(heads.where("not warm").drop("warm"), percent).unionByName(heads.where("warm").select("key", "cls", "n")))
     known = classes.select("cls", "sketch").join(group.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "sketch", F.coalesce("component", "cls").alias("grp"))
-    full = blocks(near, "n", BLOCK).join(known, "cls")
+    full = blocks(near, spare, BLOCK).join(known, "cls")
     # what may be similar to something of another group, in clusters
     cluster = components(_sketched(full.select("key", "lo", "hi", "cls", "n", "grp", "sketch"), percent)).select(F.col("node").alias("cls"), F.col("component").alias("key"))
-    of = classes.select("cls", "doc_id", "n").join(group.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).drop("component")
-    pairs = kept(blocks(cluster.join(of, "cls"), "n", BLOCK))
+    of = classes.select("cls", "rid", "n").join(group.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).drop("component")
+    pairs = kept(blocks(cluster.join(of, "cls"), spare, BLOCK))
     with small_batches(docs.sparkSession):
-        second = kept(_linked(docs, pairs, k, percent))
+        second = kept(_linked(docs, pairs, rank, k, percent))
 
     linked = written(components(first.unionByName(second)), "ngram-groups")
     for scratch in (units, first, group, near, pairs, second):
         forget(scratch)
     of_class = classes.select("cls", "h2", "n", "doc_id").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))
     least = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = of_class.join(least, "root").select(F.col("cls").alias("h1"), "h2", "n", "component_id")
-    out = rows.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
+    of_class = of_class.join(least, "root").select("cls", "h2", "n", "component_id")
+    # a class of many rows is spread over tasks, and rows without words have no class
+    hot = hot_keys(classes, "cls", classes.agg(F.sum("rows")).first()[0] or 0)
+    left, right = salted(rows.where("n > 0").select("doc_id", "n", F.col("h1").alias("cls"), "h2"), of_class, "cls", hot, F.col("doc_id"))
+    out = left.join(right, ["cls", "salt", "h2", "n"]).select("doc_id", "n", "component_id").unionByName(rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
