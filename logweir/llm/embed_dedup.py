@@ -1,14 +1,19 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
-A filter is a cap of the sphere around one of CODES ** 2 directions, the products of two random codes, one for each half of the
-dimensions after a fixed random rotation, which spreads uneven vectors over both halves and keeps their cosines. Each vector is list-decoded: from the sorted scores of its halves all directions are enumerated whose score
-exceeds CAP, and at least the LEAST best. Vectors that share a filter and a label meet in its bucket; there their
-cosines are computed in double precision. A pair is counted in the smallest filter that both hold, so that counts add up
-without a list of pairs; links leave a bucket as a spanning forest.
-
-Equal vectors of a label are one class with a multiplicity. Buckets of more than BLOCK vectors are cut into blocks, and
+A filter is a cap of the sphere around a direction that is the product of two random codes, one for each half of the
+dimensions after a fixed random rotation, which spreads uneven vectors over both halves and keeps their cosines. Each vector is list-decoded:
+from the sorted scores of its halves all directions are enumerated whose score reaches CAP, and at least the `least` best. Vectors
+that share a filter and a label are compared: cosines in double precision.
+
+Filters of one first code (or some of them, where there are many vectors) form a cell, the unit of the join: a vector is sent once to
+each of its cells, whatever the number of its filters there, and all that meet there are verified. A pair is counted in the
+smallest cell that both hold, so that counts add up without a list of pairs; links leave a cell as a spanning forest. The number of codes
+grows with the largest label, so that cells and buckets keep their size; cells of more than BLOCK vectors are cut into blocks, and
 each pair of blocks is a unit of its own.
 
+Equal vectors of a label are one class with a multiplicity: rows of a class with many rows are cut down to one before anything is sent,
+others meet in the same units anyway.
+
 Recall at a cosine of 0.93 is 0.999 or more for vectors in any position (measured in the tests); it grows with the cosine.
 
 Defined results: a null vector or label, a zero vector and one with null or non-finite components link with nothing; vectors of
@@ -26,25 +31,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, components, forget, kept, runs, small_batches, table
+from .common import blocks, components, hot_keys, kept, merged, runs, salted, small_batches, table
 
-#: Random codes of either half of the dimensions.
-CODES = 128
-#: Score (in standard deviations) that a filter's direction must reach, and the filters that a vector has at least.
-CAP, LEAST = 3.0, 24
+#: Random codes of the halves, and the filters that a vector has at least; each level has twice as many codes of both and MORE filters more.
+CODES, LEAST, MORE = (8, 128), 16, 8
+#: Score (in standard deviations) that a filter's direction must reach to be taken beyond the least number.
+CAP = 3.0
 #: Dimensions of the codes, at least: fewer would not spread evenly over two halves.
 WIDTH = 64
-#: Vectors of a bucket that one worker compares at a time.
-BLOCK = 4096
+#: Vectors of a cell that one worker compares at a time.
+BLOCK = 8192
 THRESHOLD = 0.93
 SEED = 29
 
 
-def codes(dim: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng([seed, dim])
+def sizes(vectors: int) -> tuple[int, int]:
+    """(level, parts): the level of the codes for a label of so many vectors, and the parts that the filters of a first code are cut into."""
+    level = parts = 0
+    while CODES[0] * CODES[1] * 4**level * BLOCK < 8 * vectors:
+        level += 1
+    while (CODES[0] << level + parts) * BLOCK < 4 * vectors and parts < (CODES[1] << level).bit_length() - 1:
+        parts += 1
+    return level, 1 << parts
+
+
+def codes(dim: int, level: int = 0, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([seed, dim, level])
     width = max(dim, WIDTH)
     half = width // 2
-    return rng.standard_normal((half, CODES)), rng.standard_normal((width - half, CODES))
+    return rng.standard_normal((half, CODES[0] << level)), rng.standard_normal((width - half, CODES[1] << level))
 
 
 @functools.cache
@@ -55,106 +70,95 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     return (q * np.where(np.diag(r) < 0, -1.0, 1.0))[:dim]
 
 
-def decode(x: np.ndarray, book: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """The sorted filters of each unit vector."""
+def decode(x: np.ndarray, book: tuple[np.ndarray, np.ndarray], least: int = LEAST) -> list[np.ndarray]:
+    """The sorted filters of each unit vector; filter (i, j) of the codes has the number i * (codes of the second half) + j."""
     x = x @ rotation(x.shape[1])
-    half = book[0].shape[0]
+    half, wide = book[0].shape[0], book[1].shape[1]
     a, b = x[:, :half] @ book[0], x[:, half:] @ book[1]
-    out = []
-    for s, t in zip(a, b):
-        i, j = np.argsort(-s), np.argsort(-t)
-        s, t = s[i], t[j]
-        # rows and columns that can exceed the cap at all, and always enough of them for the LEAST best
-        m, n = max(LEAST, int((s + t[0] >= CAP).sum())), max(LEAST, int((t + s[0] >= CAP).sum()))
-        total = s[:m, None] + t[None, :n]
-        floor = min(CAP, np.partition(total.ravel(), -LEAST)[-LEAST]) if total.size > LEAST else -np.inf
-        p, q = np.nonzero(total >= floor)
-        out.append(np.sort(i[p] * CODES + j[q]))
-    return out
-
-
-def _filtered(classes: DataFrame) -> DataFrame:
-    """cls, label, dim, m, vector (doubles as bytes, of length 1) and filters (ints as bytes)."""
+    i, j = np.argsort(-a, axis=1), np.argsort(-b, axis=1)
+    a, b = np.take_along_axis(a, i, axis=1), np.take_along_axis(b, j, axis=1)
+    # sorted codes that can reach the cap at all, and always enough of them for the least best
+    m = max(least, int((a + b[:, :1] >= CAP).sum(axis=1).max(initial=0)))
+    n = max(least, int((b + a[:, :1] >= CAP).sum(axis=1).max(initial=0)))
+    total = (a[:, :m, None] + b[:, None, :n]).reshape(len(x), -1)
+    names = (i[:, :m, None] * wide + j[:, None, :n]).reshape(len(x), -1)
+    floor = np.minimum(CAP, np.partition(total, -least, axis=1)[:, -least])
+    return [np.sort(f[t >= c]) for f, t, c in zip(names, total, floor)]
+
+
+def unit_vectors(vectors: list) -> np.ndarray:
+    """Vectors of one length as rows of length 1, in double precision."""
+    x = np.stack([np.asarray(v.values if isinstance(v, pa.Scalar) else v, np.float64) for v in vectors])
+    x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the norm
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _celled(rows: DataFrame, level: int, parts: int) -> DataFrame:
+    """rows (cls, label, m, embedding) with dim and cells, the sorted cells of the vector's filters."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books: dict[int, tuple] = {}
+        seen: set[int] = set()  # classes of many rows that this task has sent
         for batch in batches:
-            vectors = batch.column(2)
-            sizes = np.array([len(v) for v in vectors]) if batch.num_rows else np.empty(0, int)
-            for dim in np.unique(sizes).tolist():
-                rows = np.flatnonzero(sizes == dim)
-                book = books.setdefault(dim, codes(dim))
-                for a in range(0, len(rows), 1024):
-                    part = rows[a : a + 1024]
-                    x = np.stack([np.asarray(vectors[int(i)].values, np.float64) for i in part])
-                    x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the norm
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    take = pa.array(part)
-                    cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array([dim] * len(part), pa.int32()), batch.column(3).take(take)]
-                    cols += [pa.array([v.tobytes() for v in x], pa.binary()), pa.array([f.astype(np.int32).tolist() for f in decode(x, book)], pa.list_(pa.int32()))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["cls", "label", "dim", "m", "vector", "filters"])
-
-    return classes.select("cls", "label", F.col("embedding").cast("array<double>").alias("v"), "m").mapInArrow(of, f"cls long, label {dict(classes.dtypes)['label']}, dim int, m long, vector binary, filters array<int>")
-
-
-def _first_here(lists: list[np.ndarray], here: int, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
-    """Whether rows a and b (indices of lists) share no filter smaller than `here`: there they would have been counted."""
-    rows = np.unique(np.concatenate([a, b]))
-    smaller = [lists[r][lists[r] < here] for r in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(s) for s in smaller])
-    names, column, often = np.unique(np.concatenate(smaller), return_inverse=True, return_counts=True)
-    keep = often[column] > 1
-    names, column = np.unique(column[keep], return_inverse=True)
-    owner, at_a, at_b = owner[keep], np.searchsorted(rows, a), np.searchsorted(rows, b)
-    free = np.ones(len(a), bool)
-    for first in range(0, len(names), size):  # a table of rows and filters, some filters at a time
-        some = (column >= first) & (column < first + size)
-        held = np.zeros((len(rows), min(size, len(names) - first)), np.float32)
-        held[owner[some], column[some] - first] = 1
-        if len(a) > 4 * len(rows):
-            free &= (held @ held.T)[at_a, at_b] == 0
-        else:
-            for i in range(0, len(a), 4096):
-                free[i : i + 4096] &= ~((held[at_a[i : i + 4096]] * held[at_b[i : i + 4096]]).any(axis=1))
-    return free
+            often = batch.column(2).to_numpy() > 1
+            if often.any():
+                keep = ~often
+                for i in np.flatnonzero(often).tolist():
+                    c = batch.column(0)[i].as_py()
+                    keep[i] = c not in seen
+                    seen.add(c)
+                batch = batch.filter(pa.array(keep))
+            vectors = batch.column(3)
+            dims = np.array([len(v) for v in vectors], int)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                book = books.setdefault(dim, codes(dim, level))
+                size = max(1, (book[1].shape[1]) // parts)
+                for a in range(0, len(at), 512):
+                    part = at[a : a + 512]
+                    filters = decode(unit_vectors([vectors[int(i)] for i in part]), book, LEAST + MORE * level)
+                    cells = [np.unique(f // size).astype(np.int32) for f in filters]
+                    some = batch.take(pa.array(part))
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array([dim] * len(part), pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "dim", "cells"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(of, f"cls long, label {kinds['label']}, m long, embedding {kinds['embedding']}, dim int, cells array<int>")
 
 
 def _compared(units: DataFrame, threshold: float) -> DataFrame:
-    """Rows (a, b, links): an edge of a bucket's forest (links null), or a class with its links in the bucket (b null)."""
+    """Rows (a, b, links): an edge of a unit's forest (links null), or a class with its links in the unit (b null)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, 3):
-            if rows.num_rows < 2:
+            cls, first, back = np.unique(rows.column("cls").to_numpy(), return_index=True, return_inverse=True)
+            if len(cls) < 2:
                 continue
-            here, lo, hi = rows.column("filter")[0].as_py(), rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
-            cls, m, own = (rows.column(c).to_numpy() for c in ("cls", "m", "own"))
-            x = np.stack([np.frombuffer(v.as_py(), np.float64) for v in rows.column("vector")])
-            lists = [np.asarray(v.values) for v in rows.column("filters")]
-            links, tree, ea, eb = np.zeros(len(cls), np.int64), np.arange(len(cls)), [], []
+            here, lo, hi = rows.column("cell")[0].as_py(), rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+            m, own = np.bincount(back), rows.column("own").to_numpy()[first]
+            m = np.maximum(m, rows.column("m").to_numpy()[first])  # a class of many rows has one row for each task, and its number
+            column, lists = rows.column("embedding"), rows.column("cells")
+            x = unit_vectors([column[int(i)] for i in first])
+            smaller = [c[c < here] for c in (np.asarray(lists[int(i)].values) for i in first)]
+            names = np.unique(np.concatenate(smaller))
+            held = np.zeros((len(cls), len(names)), np.float32)
+            held[np.repeat(np.arange(len(cls)), [len(c) for c in smaller]), np.searchsorted(names, np.concatenate(smaller))] = 1
+            links, tree = np.zeros(len(cls), np.int64), np.arange(len(cls))
             for a in range(0, len(cls), 512):
-                cos = x[a : a + 512] @ x[a:].T
-                i, j = np.nonzero(cos >= threshold)
+                near = x[a : a + 512] @ x[a:].T >= threshold
+                near &= held[a : a + 512] @ held[a:].T == 0  # else the pair is counted in a smaller cell
+                if lo != hi:
+                    near &= own[a : a + 512, None] != own[None, a:]
+                i, j = np.nonzero(np.triu(near, 1))
                 i, j = i + a, j + a
-                keep = (j > i) & ((own[i] != own[j]) if lo != hi else True)
-                i, j = i[keep], j[keep]
-                if not len(i):
-                    continue
-                keep = _first_here(lists, here, i, j, 512)
-                i, j = i[keep], j[keep]
-                np.add.at(links, i, m[j])
-                np.add.at(links, j, m[i])
-                for p, q in zip(i.tolist(), j.tolist()):
-                    if tree[p] != tree[q]:
-                        ea.append(int(cls[p]))
-                        eb.append(int(cls[q]))
-                        tree[tree == tree[q]] = tree[p]
-            some = np.flatnonzero(links)
+                links += np.bincount(i, m[j], len(cls)).astype(np.int64) + np.bincount(j, m[i], len(cls)).astype(np.int64)
+                tree = merged(tree, i, j)
+            edges, some = np.flatnonzero(tree != np.arange(len(cls))), np.flatnonzero(links)
             if len(some):
-                cols = (ea + cls[some].tolist(), eb + [None] * len(some), [None] * len(ea) + links[some].tolist())
+                cols = (cls[edges].tolist() + cls[some].tolist(), cls[tree[edges]].tolist() + [None] * len(some), [None] * len(edges) + links[some].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "links"])
 
     rows = units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return rows.select("key", "lo", "hi", "filter", "own", "cls", "m", "vector", "filters").mapInArrow(of, "a long, b long, links long")
+    return rows.select("key", "lo", "hi", "cell", "own", "cls", "m", "embedding", "cells").mapInArrow(of, "a long, b long, links long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -163,23 +167,26 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     fine &= F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.exists("embedding", lambda v: v != 0)
     usable = F.coalesce(fine, F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label").withColumn("cls", F.when(usable, F.xxhash64("label", "embedding")))
-    ids = rows.select("vec_id", "cls")
-    classes = rows.where("cls is not null").groupBy("cls", "label", "embedding").agg(F.count("*").alias("m"), F.min("vec_id").alias("least"))
-    members = classes.select("cls", "m", "least")
-    with small_batches(vectors.sparkSession):
-        found = kept(_filtered(classes))
-    each = found.withColumn("filter", F.explode("filters")).withColumn("key", F.xxhash64("label", "dim", "filter")).withColumn("one", F.lit(1))
+    live = rows.where("cls is not null")
+    members = kept(live.groupBy("cls", "label").agg(F.count("*").alias("rows"), F.min("vec_id").alias("least")))
+    largest = members.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    level, parts = sizes(largest)
+    # one row stands for a class of many, whose number is bounded
+    hot = hot_keys(members, "cls", members.agg(F.sum("rows")).first()[0] or 0)
+    many = hot.join(members.select("cls", "rows", "least"), "cls").select("cls", "rows", "least")
+    one = live.join(F.broadcast(many), "cls", "left").where(F.col("rows").isNull() | F.col("vec_id").eqNullSafe(F.col("least")))
+    found = _celled(one.select("cls", "label", F.coalesce("rows", F.lit(1)).cast("long").alias("m"), "embedding"), level, parts)
+    each = found.withColumn("cell", F.explode("cells")).withColumn("key", F.xxhash64("label", "dim", "cell"))
     with small_batches(vectors.sparkSession):
-        parts = kept(_compared(blocks(each, "one", BLOCK), threshold))
-    members = kept(members)
-    linked = components(parts.where("b is not null").select("a", "b"))
-    counts = parts.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+        pairs = kept(_compared(blocks(each, F.lit(1), BLOCK, BLOCK), threshold))
+    linked = components(pairs.where("b is not null").select("a", "b"))
+    counts = pairs.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     known = members.join(counts, "cls", "left").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(least, "root").select("cls", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
-    out = ids.join(known, "cls", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    forget(found)
+    known = known.join(least, "root").select("cls", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), "component_id")
+    left, right = salted(live.select("vec_id", "cls"), known, "cls", hot, F.col("vec_id"))
+    out = left.join(right, ["cls", "salt"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = out.unionByName(rows.where("cls is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
