@@ -5,8 +5,9 @@ a target entropy or no source is repeated more often than a limit. The weights b
 quota is realised as passes over the source: whole passes, then one cut pass that takes whole blocks of documents in a
 permuted order and, of the last block, documents in a permuted order while they fit.
 
-Nothing is collected but the sums that a bisection step needs. A hot source is spread over 65,536 buckets of documents;
-only its table of buckets is ordered, and the rows of one bucket.
+Nothing is collected but the sums that a bisection step needs. A hot source is spread over 65,536 buckets of documents. The plan of a source
+is one row: its passes and the edge of its cut pass in the permuted order, found by sums over ranges of that order. Documents
+learn from it whether they are drawn; only those of the edge's bucket are ordered.
 
 Defined results: a null text has no tokens; documents without tokens go with their bucket; null sources form one source;
 repeated rows count and are drawn as often as they occur; an empty table gives an empty mix; further columns are kept
@@ -15,6 +16,7 @@ when asked for. Ties in the permuted order are broken by doc_id.
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,9 +25,12 @@ from pyspark.sql import functions as F
 from .common import WORD, packed, table, unpacked, written
 
 BUCKETS = 1 << 16
+#: Sources that are broadcast at most (about 100 bytes each), and the parts of a source where there are more.
+SOURCES, SALTS = 1 << 16, 64
 #: A source is not repeated more often than this in the query and the pipeline.
 REPETITION_LIMIT = 1.25
 SEED = 17
+_LOG = logging.getLogger(__name__)
 
 
 def n_tokens(text: Column) -> Column:
@@ -39,7 +44,8 @@ def _hash(*parts) -> Column:
 def exponent(sources: DataFrame, budget: float | None = None, entropy: float | None = None, repetition: float | None = None, wide: int = 32, rounds: int = 7) -> float:
     """The exponent a in [0, 1] for sources (tokens long): the largest a whose weights have at least the target entropy
     (nats), or the smallest a at which no source is repeated more than `repetition` times within the budget. Each round
-    is one aggregation that tries `wide` exponents between the bounds. 1 if no exponent fits.
+    is one aggregation that tries `wide` exponents between the bounds. If none fits, a warning is logged and the nearest bound is
+    taken: 0 for an entropy, 1 for a repetition.
     """
     if (entropy is None) == (repetition is None):
         raise ValueError("give either entropy or repetition")
@@ -65,13 +71,16 @@ def exponent(sources: DataFrame, budget: float | None = None, entropy: float | N
         if entropy is not None:
             last = max((i for i, x in enumerate(ok) if x), default=None)
             if last is None:
-                return 0.0 if low == 0.0 else round(low, 9)
+                if low == 0.0:
+                    _LOG.warning("no exponent has an entropy of %s", entropy)
+                return round(low, 9)
             if last == wide:
                 return round(high, 9)
             low, high = tried[last], tried[last + 1]
         else:
             first = next((i for i, x in enumerate(ok) if x), None)
             if first is None:
+                _LOG.warning("no exponent keeps repetitions within %s", repetition)
                 return 1.0
             if first == 0:
                 return round(low, 9)
@@ -79,15 +88,25 @@ def exponent(sources: DataFrame, budget: float | None = None, entropy: float | N
     return round(low if entropy is not None else high, 9)
 
 
-def plan(docs: DataFrame, budget: int | None = None, entropy: float | None = None, repetition: float | None = REPETITION_LIMIT, seed: int = SEED) -> DataFrame:
-    """(source, bucket, share, weight, quota, passes, cut, before, room) of every bucket of documents: `passes` whole
-    passes; in the cut pass the bucket is taken whole (cut = 2), while its documents fit in `room` (1), or not (0).
+def _with_source(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
+    """rows (source, bucket, ...) with the columns of sources, which has a row for each source (`of`). Sources that are too many to be
+    broadcast are joined by a shuffle, a source in SALTS parts."""
+    same = F.col("source").eqNullSafe(F.col("of"))
+    if small:
+        return rows.join(F.broadcast(sources), same).drop("of")
+    salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, same & (F.pmod("bucket", F.lit(SALTS)) == F.col("salt"))).drop("of", "salt")
+
 
-    docs has source, bucket and tokens.
+def plan(docs: DataFrame, budget: int | None = None, entropy: float | None = None, repetition: float | None = REPETITION_LIMIT, seed: int = SEED) -> tuple[DataFrame, bool]:
+    """((of, share, weight, quota, passes, edge_key, edge_bucket, room) of every source, whether they are few enough to be broadcast): `passes`
+    whole passes; in the cut pass buckets in the order of (key, number) before the edge are taken whole, documents of the edge while they
+    fit in `room`, and no others. Without an edge there is no cut pass. docs has source, bucket and tokens.
     """
     per_bucket = written(docs.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens")), "mix")
     per_source = per_bucket.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    total = per_source.agg(F.sum("tokens")).first()[0] or 0
+    total, count, size = per_source.agg(F.sum("tokens"), F.count("*"), F.sum(F.length("source"))).first()
+    total, small = total or 0, count <= SOURCES and (size or 0) <= 64 * SOURCES
     budget = total if budget is None else int(budget)
     a = exponent(per_source, budget, entropy, None if entropy is not None else repetition)
     z = per_source.where("tokens > 0").agg(F.sum(F.pow(F.col("tokens").cast("double") / F.lit(float(max(total, 1))), F.lit(a)))).first()[0] or 1.0
@@ -95,13 +114,25 @@ def plan(docs: DataFrame, budget: int | None = None, entropy: float | None = Non
     weights = per_source.withColumn("share", share).withColumn("weight", F.when(F.col("tokens") > 0, F.pow(share, F.lit(a)) / F.lit(z)).otherwise(0.0))
     quotas = weights.withColumn("quota", F.floor(F.col("weight") * F.lit(float(budget)) + F.lit(1e-6)))
     quotas = quotas.withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(1))
-    quotas = quotas.withColumn("rest", F.when(F.col("tokens") > 0, F.col("quota") - F.col("passes") * F.col("tokens")).otherwise(0)).withColumnRenamed("tokens", "source_tokens")
-    both = per_bucket.join(quotas.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    order = Window.partitionBy("source").orderBy(_hash(seed, F.col("passes"), F.col("bucket")), "bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn("before", F.sum("tokens").over(order) - F.col("tokens"))
-    room = F.col("rest") - F.col("before")
-    cut = F.when(room <= 0, 0).when(F.col("tokens") <= room, 2).otherwise(1)
-    return both.select("source", "bucket", "share", "weight", "quota", "passes", cut.alias("cut"), "before", F.greatest(room, F.lit(0)).alias("room"))
+    quotas = quotas.withColumn("rest", F.when(F.col("tokens") > 0, F.col("quota") - F.col("passes") * F.col("tokens")).otherwise(0))
+    quotas = written(quotas.select(F.col("source").alias("of"), "share", "weight", "quota", "passes", "rest"), "mix")
+    # the edge is looked for among ranges of keys first, then in one range, so no task orders all buckets of a source
+    keyed = _with_source(per_bucket, quotas.select("of", "passes", "rest"), small).withColumn("key", _key(seed)).withColumn("part", F.shiftright("key", 56))
+    so_far = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = keyed.groupBy("source", "part", "rest").agg(F.sum("tokens").alias("tokens")).withColumn("sum", F.sum("tokens").over(so_far))
+    first = parts.where("sum > rest").groupBy("source").agg(F.min_by(F.struct("part", (F.col("sum") - F.col("tokens")).alias("before")), "part").alias("edge"))
+    inside = _with_source(keyed, first.select(F.col("source").alias("of"), "edge"), small).where(F.col("part") == F.col("edge.part"))
+    within = Window.partitionBy("source").orderBy("key", "bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.withColumn("sum", F.col("edge.before") + F.sum("tokens").over(within)).where("sum > rest")
+    at = F.struct("key", "bucket", (F.col("rest") - F.col("sum") + F.col("tokens")).alias("room"))
+    edges = inside.groupBy(F.col("source").alias("s")).agg(F.min(at).alias("at"))
+    rows = quotas.join(edges, F.col("of").eqNullSafe(F.col("s")), "left")
+    return rows.select("of", "share", "weight", "quota", "passes", F.col("at.key").alias("edge_key"), F.col("at.bucket").alias("edge_bucket"), F.col("at.room").alias("room")), small
+
+
+def _key(seed: int) -> Column:
+    """The place of a bucket in the permuted order of its source's cut pass."""
+    return _hash(seed, F.col("passes"), F.col("bucket"))
 
 
 def mix(docs: DataFrame, budget: int | None = None, entropy: float | None = None, repetition: float | None = REPETITION_LIMIT, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -112,13 +143,15 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float | None = None
     kept = docs.select(*(F.col(f"`{c}`") for c in keep or ("doc_id", "source")))
     counted = packed(docs, "doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")).withColumn("row", F.struct(*(F.col(f"row.`{c}`").alias(c) for c in kept.columns)))
     counted = counted.withColumn("bucket", F.pmod(_hash(seed, F.col("doc_id")), F.lit(BUCKETS)).cast("int"))
-    planned = plan(counted.select("source", "bucket", F.col("n_tokens").alias("tokens")), budget, entropy, repetition, seed)
-    planned = planned.withColumnsRenamed({"source": "of", "bucket": "b"})
-    rows = counted.join(planned, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b"))).drop("of", "b", "share")
+    planned, small = plan(counted.select("source", "bucket", F.col("n_tokens").alias("tokens")), budget, entropy, repetition, seed)
+    # the plan comes to the documents, so that no text is shuffled but those of the edges
+    rows = _with_source(counted, written(planned.drop("share"), "mix"), small).withColumn("key", _key(seed))
+    on_edge = F.coalesce((F.col("key") == F.col("edge_key")) & (F.col("bucket") == F.col("edge_bucket")), F.lit(False))
+    before = F.coalesce((F.col("key") < F.col("edge_key")) | ((F.col("key") == F.col("edge_key")) & (F.col("bucket") < F.col("edge_bucket"))), F.lit(False))
     fine = _hash(seed + 1, F.col("passes"), F.col("doc_id"))
     within = Window.partitionBy("source", "bucket").orderBy(fine, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = rows.where("cut = 1").withColumn("fits", (F.sum("n_tokens").over(within) <= F.col("room")).cast("int"))
-    drawn = rows.where("cut <> 1").withColumn("fits", (F.col("cut") == 2).cast("int")).unionByName(edge)
+    edge = rows.where(on_edge).withColumn("fits", (F.sum("n_tokens").over(within) <= F.col("room")).cast("int"))
+    drawn = rows.where(~on_edge).withColumn("fits", before.cast("int")).unionByName(edge)
     drawn = drawn.withColumn("times", F.col("passes") + F.col("fits")).where("times > 0")
     drawn = drawn.withColumn("draw_pass", F.explode(F.sequence(F.lit(0), (F.col("times") - 1).cast("int"))))
     key = F.format_string("%016x", _hash(seed, F.col("draw_pass").cast("long"), F.col("bucket"))), F.format_string("%016x", _hash(seed + 1, F.col("draw_pass").cast("long"), F.col("doc_id")))
