@@ -99,6 +99,11 @@ def small_batches(spark: SparkSession, size: str = "8m"):
         spark.conf.set(key, before)
 
 
+def lean(spark: SparkSession, size: str = "8m") -> None:
+    """From now on the session sends Python that much at a time, for operators whose rows are large and whose action is the caller's."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -238,13 +243,23 @@ def salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread:
     return left, right
 
 
-def blocks(members: DataFrame, weight: Column, most: int, rows: int = 2048) -> DataFrame:
+#: Keys whose sums are broadcast at most (16 bytes each).
+BROADCAST_KEYS = 1 << 17
+
+
+def blocks(members: DataFrame, weight: Column, most: int, rows: int | None = None) -> DataFrame:
     """members (key, cls, ...) of keys with two rows or more, with own, lo and hi: each key's rows in blocks of about `most`
-    units of weight or `rows` rows, and each pair of blocks as (key, lo, hi). A hot key is spread before it is cut."""
+    units of weight or `rows` rows (by default a thousandth of all, but 256 at least and 2048 at most), and each pair of blocks as
+    (key, lo, hi). A hot key is spread before it is cut."""
     totals = kept(members.groupBy("key").agg(F.sum(weight).alias("total"), F.count("*").alias("rows")))
-    hot = hot_keys(totals, "key", totals.agg(F.sum("rows")).first()[0] or 0)
+    all_rows, keys = totals.agg(F.sum("rows"), F.count("*")).first()
+    rows = rows or max(256, min(2048, (all_rows or 0) // 1000))
     k = F.greatest(F.lit(1), F.ceil(F.col("total") / most), F.ceil(F.col("rows") / rows)).cast("int").alias("k")
-    left, right = salted(members, totals.where("rows > 1").select("key", k), "key", hot, F.col("cls"))
-    cut = left.join(right, ["key", "salt"]).drop("salt").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    sums = totals.where("rows > 1").select("key", k)
+    if keys <= BROADCAST_KEYS:
+        cut = members.join(F.broadcast(sums), "key")
+    else:
+        left, right = salted(members, sums, "key", hot_keys(totals, "key", all_rows), F.col("cls"))
+        cut = left.join(right, ["key", "salt"]).drop("salt")
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     return cut.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "k")
