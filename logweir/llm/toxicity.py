@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import packed, remainder, sampled, table, unpacked
+from .common import lean, packed, remainder, sampled, table, unpacked
 
-#: Labelled documents that lexicon and weights are fitted on, in expectation, chosen by a hash of their id.
-SAMPLE = 8000
+#: Labelled documents that lexicon and weights are fitted on, in expectation, chosen by a hash of their id; toxic ones at least.
+SAMPLE, TOXIC = 8000, 400
 #: Candidate stems that the fit looks at, at most, those in most toxic documents first.
 CANDIDATES = 20_000
 #: A toxic text asks for so many stems; a stem must serve so many toxic texts.
@@ -145,13 +145,13 @@ class Matcher:
         return out
 
     def counts(self, text: str | None) -> np.ndarray:
-        got, low, done = np.zeros(len(KINDS)), (text or "").lower(), -1
+        got, low, done = np.zeros(len(KINDS)), (text or "").lower(), 0
         for m in self.seed.finditer(low):
             if m.start() < done:
                 continue
-            end = _CUT.search(low, m.end())
+            end, last = _CUT.search(low, m.end()), done
             done = end.start() if end else len(low)
-            first = max((low.rfind(c, 0, m.start()) for c in ".!?;:\n"), default=-1) + 1
+            first = max(low.rfind(c, last, m.start()) for c in ".!?;:\n") + 1 or last  # each part of the text is looked at once
             for kind in self.clause(_WORD.findall(low, first, done)):
                 got[kind] += 1
         return got
@@ -171,9 +171,13 @@ def _stems(text: str | None) -> set[str]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
-    """Rows (text, toxic) of about SAMPLE labelled documents (of all, if there are no more); their ids are all that is broadcast."""
+    """Rows (text, toxic) of about SAMPLE labelled documents (of all, if there are no more), and of at least TOXIC toxic ones where these are
+    rare; their ids are all that is broadcast."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = known.where(sampled(F.col("doc_id"), SAMPLE, known.count(), seed))
+    n = {r[0]: r[1] for r in known.groupBy(F.col("toxic") > 0).count().collect()}
+    total = sum(n.values())
+    pick = lambda kind, least: sampled(F.col("doc_id"), max(least, SAMPLE * n.get(kind, 0) // max(1, total)) if total > SAMPLE else total, n.get(kind, 0), seed)
+    ids = known.where(F.when(F.col("toxic") > 0, pick(True, TOXIC)).otherwise(pick(False, 0)))
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
 
 
@@ -241,6 +245,7 @@ def _counted(docs: DataFrame, stems: tuple[str, ...], keep: list[str]) -> DataFr
             kinds = [matcher.counts(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(kinds, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "kinds"])
 
+    lean(docs.sparkSession)
     rows = docs.select(*keep, F.col("text").alias("_text"))
     schema = StructType([*rows.drop("_text").schema.fields, StructField("kinds", ArrayType(DoubleType()))])
     return rows.mapInArrow(of, schema)
