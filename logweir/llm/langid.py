@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import remainder, sampled, table
+from .common import lean, remainder, sampled, table
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -109,11 +109,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], labels: list[str], seed: int = 5) -> Model | None:
     """A model of the languages in labels, or None without any."""
+    return fitted([np.unique(subwords(t), return_counts=True) for t in texts], labels, seed)
+
+
+def fitted(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int) -> Model | None:
+    """The same from the subwords of each text and how often it has them."""
     langs = tuple(sorted(set(labels)))
     if not langs:
         return None
     rng = np.random.default_rng(seed)
-    bags = [np.unique(subwords(t), return_counts=True) for t in texts]
     y = np.array([langs.index(x) for x in labels])
     usable = np.array([i for i, b in enumerate(bags) if len(b[0])], np.int64)
     usable = usable[rng.permutation(len(usable))]
@@ -158,14 +162,25 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model | None:
 
 
 def _model(docs: DataFrame, seed: int) -> Model | None:
+    """The model of a sample, whose subwords are counted in the tasks: a document of any length sends BUCKETS counts at most."""
     known = docs.where("lang is not null and text is not null")
-    rows = known.where(sampled(F.col("doc_id"), SAMPLE, known.select("lang").count(), seed)).select("text", "lang").collect()
-    rows.sort()  # the fit does not depend on the order of partitions
-    return train([r[0] for r in rows], [r[1] for r in rows], seed)
+    rows = known.where(sampled(F.col("doc_id"), SAMPLE, known.select("lang").count(), seed)).select("text", "lang")
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                part = [np.unique(subwords(t.as_py()), return_counts=True) for t in batch.column(0)[a : a + 64]]
+                cols = (pa.array([i.astype(np.uint16).tobytes() for i, _ in part], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in part], pa.binary()))
+                yield pa.RecordBatch.from_arrays([batch.column(1)[a : a + 64], *cols], names=["lang", "ids", "counts"])
+
+    found = sorted((r["lang"], bytes(r["ids"]), bytes(r["counts"])) for r in rows.mapInArrow(bag, "lang string, ids binary, counts binary").collect())
+    # sorted, so that the fit does not depend on the order of partitions
+    return fitted([(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(c, np.uint32).astype(np.int64)) for _, i, c in found], [r[0] for r in found], seed)
 
 
 def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and rejected."""
+    lean(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
 
