@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logweir.llm import decontam, mixing, ngram_join, secrets, toxicity
-from logweir.llm.common import table, written
+from logweir.llm.common import forget, freed, table, written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +51,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+    for _, stage in STAGES[:-1]:
+        with freed() as stays:
+            before, docs = docs, written(stage(spark, docs, sf_dir), "stage")
+            stays(docs)
+        if hasattr(before, "_scratch_path"):  # a stage's table, not the input
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
