@@ -26,8 +26,10 @@ def totals(audit: DataFrame, since: str, until: str, user: str | None = None) ->
     )
 
 
-def by_type(audit: DataFrame, since: str, until: str, queries: bool = False) -> DataFrame:
+def by_type(audit: DataFrame, since: str, until: str, queries: bool = False, user: str | None = None) -> DataFrame:
     kind = F.col("aggregate_id").isNull() if queries else F.col("aggregate_id").isNotNull()
+    if user is not None:
+        kind &= F.col("user_id") == user
     return audit.where(between(since, until) & kind).groupBy("command_type").agg(F.count("*").alias("n"))
 
 
@@ -78,8 +80,10 @@ def causation_closure(events: DataFrame, root: str, most_hops: int | None = None
 
 
 def _checkpointed(spark) -> None:
-    """Sets a folder for checkpoints where the cluster names none, as in tests."""
+    """Sets a folder for checkpoints where none is named, as in tests; a cluster without one is an error."""
     import tempfile
 
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logweir-checkpoint-"))

@@ -53,27 +53,32 @@ TRANSITIONS = {
 
 
 def transition(outbox: DataFrame, asked: DataFrame, kind: str, claimer: str | None = None, as_of: str | None = None, backoff_s: float = 0) -> DataFrame:
-    """The outbox after a transition of the asked entries (seq); one applies only from its status and, in progress, by its claimer."""
+    """The outbox after a transition of the asked entries; one applies only from its status and, in progress, by its claimer.
+
+    asked has seq and, for fail and retry, the attempts made and the error; for skip by and reason. A delivery counts an attempt;
+    deliver and fail stamp processed_at and keep the claim's name; retry and release give the claim back, release without a trace of
+    an attempt; skip stamps its own columns only; reset starts anew. Columns that the outbox does not have are left out.
+    """
     source, target = TRANSITIONS[kind]
-    rows = outbox.join(asked.select("seq", F.lit(True).alias("_asked")).distinct(), "seq", "left")
+    given = {c: f"_{c}" for c in ("attempts", "error", "by", "reason") if c in asked.columns}
+    rows = outbox.join(asked.select("seq", *(F.col(c).alias(n) for c, n in given.items()), F.lit(True).alias("_asked")).dropDuplicates(["seq"]), "seq", "left")
     ok = F.coalesce(F.col("_asked"), F.lit(False)) & (F.col("status") == source)
     if source == "IN_PROGRESS":
         ok &= F.coalesce(F.col("claimed_by") == claimer, F.lit(False))
     rows = rows.withColumn("_ok", ok)
-    at = _now(as_of) + F.expr(f"make_dt_interval(0, 0, 0, {backoff_s:.3f})") if as_of else F.lit(None).cast("timestamp_ntz")
-    changes = {"status": F.lit(target), "claimed_by": F.lit(None).cast("string")}
-    if kind in ("retry", "reset"):
-        changes["next_retry_at"] = at if kind == "retry" else F.lit(None).cast("timestamp_ntz")
-    if kind == "retry":
-        changes["attempts"] = F.col("attempts") + 1
-    if kind == "reset":
-        changes["attempts"] = F.lit(0)
-    if kind in ("deliver", "fail", "skip") and as_of:
-        changes["processed_at"] = _now(as_of)
-    for name, value in changes.items():
-        if name in outbox.columns:
-            rows = rows.withColumn(name, F.when(F.col("_ok"), value.cast(outbox.schema[name].dataType)).otherwise(F.col(name)))
-    return rows.select(*outbox.columns)
+    of = lambda c, other=None: F.col(given[c]) if c in given else F.lit(other) if not isinstance(other, Column) else other
+    now, none = _now(as_of) if as_of else F.lit(None), F.lit(None)
+    unclaimed = {"claimed_by": none, "claimed_at": none}
+    changes = {"status": F.lit(target)} | {
+        "deliver": {"attempts": F.col("attempts") + 1, "processed_at": now},
+        "fail": {"attempts": of("attempts", F.col("attempts")), "last_error": of("error"), "processed_at": now},
+        "retry": unclaimed | {"attempts": of("attempts", F.col("attempts")), "last_error": of("error"), "next_retry_at": now + F.expr(f"make_dt_interval(0, 0, 0, {backoff_s:.3f})") if as_of else none},
+        "release": unclaimed,
+        "skip": {"skipped_at": now, "skipped_by": of("by"), "skip_reason": of("reason")},
+        "reset": unclaimed | {"attempts": F.lit(0), "last_error": none, "next_retry_at": none},
+    }[kind]
+    new = {c: F.when(F.col("_ok"), changes[c].cast(outbox.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in changes if c in outbox.columns}
+    return rows.select(*(new.get(c, F.col(c)) for c in outbox.columns))
 
 
 def insert(outbox: DataFrame, entries: DataFrame) -> DataFrame:
@@ -83,9 +88,10 @@ def insert(outbox: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def reclaimed(outbox: DataFrame, as_of: str, claimed_at: str, lease_s: float) -> DataFrame:
-    """Entries in progress whose claim is older than the lease are pending again."""
-    old = (F.col("status") == "IN_PROGRESS") & (F.col(claimed_at) <= _now(as_of) - F.expr(f"make_dt_interval(0, 0, 0, {lease_s:.3f})"))
-    return outbox.withColumn("claimed_by", F.when(old, None).otherwise(F.col("claimed_by"))).withColumn("status", F.when(old, "PENDING").otherwise(F.col("status")))
+    """Entries in progress whose claim is older than the lease are pending again, without a claim."""
+    old = F.coalesce((F.col("status") == "IN_PROGRESS") & (F.col(claimed_at) < _now(as_of) - F.expr(f"make_dt_interval(0, 0, 0, {lease_s:.3f})")), F.lit(False))
+    new = {"status": F.when(old, "PENDING").otherwise(F.col("status")), "claimed_by": F.when(~old, F.col("claimed_by")), claimed_at: F.when(~old, F.col(claimed_at))}
+    return outbox.select(*(new.get(c, F.col(c)).alias(c) for c in outbox.columns))
 
 
 def newest_letters(letters: DataFrame, most: int) -> DataFrame:
@@ -116,53 +122,105 @@ def retained(rows: DataFrame, old: Column, before: str, at: str) -> DataFrame:
     return rows.where(~F.coalesce(old & (F.col(at) < _now(before)), F.lit(False)))
 
 
-def timed_out(sagas: DataFrame, as_of: str, timeout_days: int, most: int) -> DataFrame:
-    """Forward sagas started, and compensating ones last changed, before the timeout, taken in turns, forward first."""
+def outbox_retained(outbox: DataFrame, before: str) -> DataFrame:
+    """What retention leaves of an outbox: delivered entries go by processed_at, skipped ones by skipped_at, failed ones never."""
+    old = ((F.col("status") == "DELIVERED") & (F.col("processed_at") < _now(before))) | ((F.col("status") == "SKIPPED") & (F.col("skipped_at") < _now(before)))
+    return outbox.where(~F.coalesce(old, F.lit(False)))
+
+
+def _of_type(sagas: DataFrame, kind: str | None) -> DataFrame:
+    return sagas if kind is None else sagas.where(F.col("saga_type") == kind)
+
+
+def timed_out(sagas: DataFrame, as_of: str, timeout_days: int, most: int, kind: str | None = None) -> DataFrame:
+    """Sagas of a type that are forward and were started, or are compensating and were last changed, before the timeout (not at it), taken
+    in turns, forward first. A population of fewer rows leaves its places to the other."""
     bound = _now(as_of) - F.expr(f"make_dt_interval({timeout_days})")
 
     def turn(rows: DataFrame, at: str, who: int) -> DataFrame:
-        rows = rows.where(F.col(at) <= bound).orderBy(at, "saga_id").limit(most)
-        return rows.withColumn("slot", F.row_number().over(Window.orderBy(at, "saga_id")).cast("long")).withColumn("population", F.lit(who))
+        rows = rows.where(F.col(at) < bound).orderBy(at, "saga_id").limit(most)
+        return rows.withColumn("slot", F.row_number().over(Window.orderBy(at, "saga_id")).cast("long")).withColumn("population", F.lit(who))  # over a page
 
-    forward = turn(sagas.where(F.col("status").isin("STARTED", "RUNNING")), "created_at", 0)
-    back = turn(sagas.where("status = 'COMPENSATING'"), "updated_at", 1)
+    forward = turn(_of_type(sagas, kind).where(F.col("status").isin("STARTED", "RUNNING")), "created_at", 0)
+    back = turn(_of_type(sagas, kind).where("status = 'COMPENSATING'"), "updated_at", 1)
     return forward.unionByName(back).orderBy("slot", "population").limit(most)
 
 
-def compensating(sagas: DataFrame, as_of: str, idle_days: int, most: int) -> DataFrame:
+def compensating(sagas: DataFrame, as_of: str, idle_days: int, most: int, kind: str | None = None) -> DataFrame:
+    """Compensating sagas of a type that were last changed before the bound, idle longest first."""
     bound = _now(as_of) - F.expr(f"make_dt_interval({idle_days})")
-    return sagas.where((F.col("status") == "COMPENSATING") & (F.col("updated_at") <= bound)).orderBy("updated_at", "saga_id").limit(most)
+    return _of_type(sagas, kind).where((F.col("status") == "COMPENSATING") & (F.col("updated_at") < bound)).orderBy("updated_at", "saga_id").limit(most)
+
+
+def sagas_by_status(sagas: DataFrame, kind: str, status: str, most: int) -> DataFrame:
+    """Sagas of a type in a status, those changed last first."""
+    return _of_type(sagas, kind).where(F.col("status") == status).orderBy(F.desc("updated_at"), "saga_id").limit(most)
+
+
+def _protected(letters: DataFrame, sagas: DataFrame) -> DataFrame:
+    """letters (saga_id, saga_type, target_saga_id, ...) with why retention spares them: `shielded`, the saga of that name and type is faulted
+    or has letters pending; `resolved`, a letter without a saga whose target is known; `rowless`, no saga of that name and type."""
+    owners = sagas.select(F.col("saga_id").alias("_s"), F.col("saga_type").alias("_t"), ((F.col("status") == "FAULTED") | F.col("dead_letter_pending")).alias("_held"))
+    rows = letters.join(owners, (letters["saga_id"] == owners["_s"]) & (letters["saga_type"] == owners["_t"]), "left")
+    return rows.select(
+        *letters.columns, F.coalesce("_held", F.lit(False)).alias("shielded"), (F.col("saga_id").isNull() & F.col("target_saga_id").isNotNull()).alias("resolved"),
+        (F.col("saga_id").isNotNull() & F.col("_s").isNull()).alias("rowless"),
+    )
 
 
 def saga_backlog(letters: DataFrame, sagas: DataFrame) -> DataFrame:
-    """Counts of pending letters: n_faulted of sagas that are faulted, n_orphans that belong to no saga row."""
-    pending = letters.where("state = 'PENDING'")
-    owners = sagas.select(F.col("saga_id").alias("_s"), F.col("status").alias("_status"))
-    rows = pending.join(owners, pending["saga_id"] == owners["_s"], "left")
-    return rows.agg(F.count_if(F.coalesce(F.col("_status") == "FAULTED", F.lit(False))).alias("n_faulted"), F.count_if(F.col("_s").isNull()).alias("n_orphans"))
+    """How many letters retention spares, of any age, and how many for each of the three reasons."""
+    rows = _protected(letters, sagas)
+    return rows.agg(F.count_if(F.expr("shielded or resolved or rowless")).alias("n"), *(F.count_if(c).alias(f"n_{c}") for c in ("shielded", "resolved", "rowless")))
 
 
 def saga_letters_retained(letters: DataFrame, sagas: DataFrame, before: str) -> DataFrame:
-    """What retention leaves of dead letters: those that are young, pending, or whose saga is not yet over."""
-    over = sagas.where(F.col("status").isin(*TERMINAL)).select("saga_id")
-    old = letters.where((F.col("state") == "RESOLVED") & (F.col("failed_at") < _now(before)))
-    named = old.where("saga_id is not null")
-    gone = named.join(over, "saga_id", "left_semi").select("global_offset").unionByName(old.where("saga_id is null").select("global_offset"))
-    return letters.join(gone, "global_offset", "left_anti")
+    """What retention leaves of saga dead letters: those that first faulted at the bound or later, and those that are protected."""
+    rows = _protected(letters, sagas).where((F.col("first_faulted_at") >= _now(before)) | F.expr("shielded or resolved or rowless"))
+    return rows.select(*letters.columns)
+
 
+def republished(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Saga dead letters after new ones for named sagas: a letter of the same saga and offset is refreshed, but the first fault, the first
+    replay and the target stay as they are."""
+    key, kept = ["saga_id", "global_offset"], ["first_faulted_at", "first_replay_started_at", "target_saga_id"]
+    old = stored.select(*key, F.lit(True).alias("_old"), *(F.col(c).alias(f"_{c}") for c in kept))
+    fresh = new.dropDuplicates(key).join(old, key, "left")
+    fresh = fresh.select(*(F.when(F.col("_old"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in kept else F.col(c) for c in stored.columns))
+    return stored.join(new.select(*key).distinct(), key, "left_anti").unionByName(fresh)
 
-def retryable(letters: DataFrame, as_of: str, most: int, attempts: int = 5, initial_s: float = 30, factor: float = 2.0) -> DataFrame:
-    """Dead letters due for a retry, those waiting longest first: keyed, not refused, with attempts left, and past their backoff."""
+
+def retryable(letters: DataFrame, as_of: str, most: int, attempts: int = 5, unkeyed: bool = False, received_since: str | None = None, initial_s: float = 30, factor: float = 2.0) -> DataFrame:
+    """Dead letters due for a retry, those without activity longest first: with attempts left, keyed ones unless unkeyed ones may be
+    replayed too, keyed ones only if their command was first received in the window in which its key is remembered, and past their
+    backoff."""
     since = F.coalesce("last_attempt_at", "published_at")
     wait = F.lit(initial_s) * F.pow(F.lit(factor), F.col("attempts").cast("double"))
     ready = since + F.make_dt_interval(secs=wait.cast("decimal(18,6)")) <= _now(as_of)
-    fit = F.col("idempotency_key").isNotNull() & F.coalesce(F.col("retryable"), F.lit(True)) & (F.col("attempts") < attempts)
+    key = F.col("idempotency_key")
+    fit = (F.col("attempts") < attempts) & (F.lit(unkeyed) | key.isNotNull())
+    if received_since is not None:
+        fit &= key.isNull() | (F.col("first_attempt_at") >= _now(received_since))
     return letters.where(fit & ready).orderBy(since, "n").limit(most)
 
 
-def awaiting_operator(letters: DataFrame, attempts: int = 5) -> DataFrame:
-    fit = F.col("idempotency_key").isNotNull() & F.coalesce(F.col("retryable"), F.lit(True)) & (F.col("attempts") < attempts)
-    return letters.where(~fit).agg(F.count("*").alias("n"))
+def awaiting_operator(letters: DataFrame, attempts: int = 5, unkeyed: bool = True, received_before: str | None = None) -> DataFrame:
+    """How many dead letters with attempts left no schedule replays: unkeyed ones, if they count, and keyed ones whose command was first
+    received before the window in which its key is remembered."""
+    key = F.col("idempotency_key")
+    waits = F.lit(unkeyed) & key.isNull()
+    if received_before is not None:
+        waits |= key.isNotNull() & (F.col("first_attempt_at") < _now(received_before))
+    return letters.where((F.col("attempts") < attempts) & waits).agg(F.count("*").alias("n"))
+
+
+def published(queue: DataFrame, new: DataFrame) -> DataFrame:
+    """Command dead letters after new ones: a keyed command that is stored under its key already, for its type and stream, stores nothing."""
+    key = ["idempotency_key", "command_type", "aggregate_type", "aggregate_id"]
+    there = queue.where("idempotency_key is not null").select(*(F.col(c).alias(f"_{c}") for c in key)).distinct()
+    keyed = new.where("idempotency_key is not null").dropDuplicates(key)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c.startswith("aggregate") else F.col(c) == F.col(f"_{c}") for c in key]
+    return queue.unionByName(new.where("idempotency_key is null")).unionByName(keyed.join(there, same, "left_anti"))
 
 
 def merge_dead_ranges(stored: DataFrame, new: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.crypto import decrypted, encrypted
+from ..functions.crypto import decrypted, encrypted, export, forgotten
 from ..functions.evolution import Chain, renamed
 from ..functions.text import backoff_ms, log_safe, scoped_key, subject_hash, time_code
 from ..operators import audit, fold, readmodel, saga, windows, workqueue
@@ -401,59 +401,198 @@ def outbox_by_status(spark, d):
     return workqueue.by_status(A.outbox(spark, d), "FAILED", 60).select("seq", "entry_id", "aggregate_id")
 
 
-@query("outbox_retention", f"select seq, status from {A.OUTBOX} where not (status in ('DELIVERED', 'SKIPPED') and processed_at < timestamp '{A.AS_OF}')")
+@query("outbox_retention", f"""select seq, status from {A.OUTBOX} where not coalesce(status = 'DELIVERED' and processed_at < timestamp '{A.MID}', false)
+    and not coalesce(status = 'SKIPPED' and skipped_at < timestamp '{A.MID}', false)""")
 def outbox_retention(spark, d):
-    return workqueue.retained(A.outbox(spark, d), F.col("status").isin("DELIVERED", "SKIPPED"), A.AS_OF, "processed_at").select("seq", "status")
+    return workqueue.outbox_retained(A.outbox(spark, d), A.MID).select("seq", "status")
 
 
-@query("outbox_transition", f"select seq, case when status = 'FAILED' and seq % 3 = 0 then 'PENDING' else status end as status, case when status = 'FAILED' and seq % 3 = 0 then 0 else attempts end as attempts from {A.OUTBOX}")
+_BOX = ("seq", "status", "attempts", "next_retry_at", "processed_at", "claimed_by", "claimed_at", "last_error", "skipped_at", "skipped_by", "skip_reason")
+
+
+def _transition_sql(where: str, **changes: str) -> str:
+    """Every entry; in those for which `where` holds and whose seq is a multiple of three the columns are as given."""
+    hit = f"seq % 3 = 0 and {where}"
+    return f"select {', '.join(f'case when {hit} then {changes[c]} else {c} end as {c}' if c in changes else c for c in _BOX)} from {A.OUTBOX}"
+
+
+def _transition(spark, d, kind, claimer="relay-0", **given):
+    box = A.outbox(spark, d)
+    asked = box.where("seq % 3 = 0").select("seq", *(F.lit(v).alias(k) for k, v in given.items()))
+    return workqueue.transition(box, asked, kind, claimer, A.AS_OF, 90).select(*_BOX)
+
+
+_CLAIMED, _AT = "status = 'IN_PROGRESS' and claimed_by = 'relay-0'", f"timestamp '{A.AS_OF}'"
+_FREE = {"claimed_by": "null", "claimed_at": "null"}
+
+
+@query("outbox_transition", _transition_sql("status = 'FAILED'", status="'PENDING'", attempts="0", last_error="null", next_retry_at="null", **_FREE))
 def outbox_transition(spark, d):
     """An operator resets every third entry; it counts for failed ones only."""
-    rows = A.outbox(spark, d).withColumn("claimed_by", F.lit(None).cast("string"))
-    return workqueue.transition(rows, rows.where("seq % 3 = 0").select("seq"), "reset").select("seq", "status", "attempts")
+    return _transition(spark, d, "reset")
+
+
+@query("outbox_deliver", _transition_sql(_CLAIMED, status="'DELIVERED'", attempts="attempts + 1", processed_at=_AT))
+def outbox_deliver(spark, d):
+    return _transition(spark, d, "deliver")
+
+
+@query("outbox_fail", _transition_sql(_CLAIMED, status="'FAILED'", attempts="9", last_error="'boom'", processed_at=_AT))
+def outbox_fail(spark, d):
+    return _transition(spark, d, "fail", attempts=9, error="boom")
+
+
+@query("outbox_retry", _transition_sql(_CLAIMED, status="'PENDING'", attempts="4", last_error="'slow'", next_retry_at=f"{_AT} + interval 90 second", **_FREE))
+def outbox_retry(spark, d):
+    return _transition(spark, d, "retry", attempts=4, error="slow")
+
+
+@query("outbox_release", _transition_sql(_CLAIMED, status="'PENDING'", **_FREE))
+def outbox_release(spark, d):
+    return _transition(spark, d, "release")
 
 
-@query("saga_timed_out", f"""with s as {A.SAGAS}, b as (select timestamp '{A.AS_OF}' - interval 30 day as t),
-    f as (select saga_id, status, row_number() over (order by created_at, saga_id) as slot, 0 as population from s, b where status in ('STARTED', 'RUNNING') and created_at <= t),
-    c as (select saga_id, status, row_number() over (order by updated_at, saga_id) as slot, 1 as population from s, b where status = 'COMPENSATING' and updated_at <= t)
-    select saga_id, status, slot, population from (select * from f union all select * from c) order by slot, population limit 75""")
+@query("outbox_skip", _transition_sql("status = 'FAILED'", status="'SKIPPED'", skipped_at=_AT, skipped_by="'ann'", skip_reason="'obsolete'"))
+def outbox_skip(spark, d):
+    return _transition(spark, d, "skip", claimer=None, by="ann", reason="obsolete")
+
+
+@query("outbox_reclaim", f"""select seq, case when old then 'PENDING' else status end as status, case when not old then claimed_by end as claimed_by, case when not old then claimed_at end as claimed_at
+    from (select *, coalesce(status = 'IN_PROGRESS' and claimed_at < timestamp '{A.MID}' - interval 240 second, false) as old from {A.OUTBOX})""")
+def outbox_reclaim(spark, d):
+    return workqueue.reclaimed(A.outbox(spark, d), A.MID, "claimed_at", 240).select("seq", "status", "claimed_by", "claimed_at")
+
+
+@query("saga_timed_out", f"""with s as (select * from {A.SAGAS} where saga_type = 'order'), b as (select timestamp '{A.MID}' - interval 30 day as t),
+    f as (select saga_id, created_at from s, b where status in ('STARTED', 'RUNNING') and created_at < t order by created_at, saga_id limit 75),
+    c as (select saga_id, updated_at from s, b where status = 'COMPENSATING' and updated_at < t order by updated_at, saga_id limit 75)
+    select saga_id, slot, population from (select saga_id, row_number() over (order by created_at, saga_id) as slot, 0 as population from f
+        union all select saga_id, row_number() over (order by updated_at, saga_id), 1 from c) order by slot, population limit 75""")
 def saga_timed_out(spark, d):
-    return workqueue.timed_out(A.saga_state(spark, d), A.AS_OF, 30, 75).select("saga_id", "status", "slot", "population")
+    return workqueue.timed_out(A.saga_state(spark, d), A.MID, 30, 75, "order").select("saga_id", "slot", "population")
 
 
-@query("saga_compensating", f"select saga_id, updated_at from {A.SAGAS} where status = 'COMPENSATING' and updated_at <= timestamp '{A.AS_OF}' - interval 5 day order by updated_at, saga_id limit 50")
+@query("saga_timed_out_bounds", f"""select saga_id from {A.SAGAS} where saga_type = 'order' and (status in ('STARTED', 'RUNNING') and created_at < timestamp '{A.MID}' - interval 30 day
+    or status = 'COMPENSATING' and updated_at < timestamp '{A.MID}' - interval 30 day)""")
+def saga_timed_out_bounds(spark, d):
+    """All of them, rows on the bound left out."""
+    return workqueue.timed_out(A.saga_state(spark, d), A.MID, 30, 10**6, "order").select("saga_id")
+
+
+@query("saga_compensating", f"""select saga_id, updated_at, episode_claimed_at from {A.SAGAS} where saga_type = 'order' and status = 'COMPENSATING' and updated_at < timestamp '{A.MID}' - interval 5 day
+    order by updated_at, saga_id limit 50""")
 def saga_compensating(spark, d):
-    return workqueue.compensating(A.saga_state(spark, d), A.AS_OF, 5, 50).select("saga_id", "updated_at")
+    return workqueue.compensating(A.saga_state(spark, d), A.MID, 5, 50, "order").select("saga_id", "updated_at", "episode_claimed_at")
+
+
+@query("saga_by_status", f"select saga_id, updated_at from {A.SAGAS} where saga_type = 'refund' and status = 'FAULTED' order by updated_at desc, saga_id limit 40")
+def saga_by_status(spark, d):
+    return workqueue.sagas_by_status(A.saga_state(spark, d), "refund", "FAULTED", 40).select("saga_id", "updated_at")
 
 
-@query("saga_counts", f"select status, count(*) as n from {A.SAGAS} group by status")
+@query("saga_counts", f"select status, count(*) as n from {A.SAGAS} where saga_type = 'order' group by status")
 def saga_counts(spark, d):
-    return workqueue.counts(A.saga_state(spark, d))
+    return workqueue.counts(A.saga_state(spark, d).where("saga_type = 'order'"))
 
 
-@query("saga_dlq_backlog", f"""select count(*) filter (s.status = 'FAULTED') as n_faulted, count(*) filter (s.saga_id is null) as n_orphans from {A.SAGA_DLQ} l left join {A.SAGAS} s on l.saga_id = s.saga_id where l.state = 'PENDING'""")
+_SHIELDED = f"exists (select 1 from {A.SAGAS} ss where ss.saga_id = l.saga_id and (ss.status = 'FAULTED' or ss.dead_letter_pending) and ss.saga_type = l.saga_type)"
+_RESOLVED = "(l.saga_id is null and l.target_saga_id is not null)"
+_ROWLESS = f"(l.saga_id is not null and not exists (select 1 from {A.SAGAS} ro where ro.saga_id = l.saga_id and ro.saga_type = l.saga_type))"
+
+
+@query("saga_dlq_backlog", f"""select count(*) filter (s or r or o) as n, count(*) filter (s) as n_shielded, count(*) filter (r) as n_resolved, count(*) filter (o) as n_rowless
+    from (select {_SHIELDED} as s, {_RESOLVED} as r, {_ROWLESS} as o from {A.SAGA_DLQ} l)""")
 def saga_dlq_backlog(spark, d):
     return workqueue.saga_backlog(A.saga_dead_letters(spark, d), A.saga_state(spark, d))
 
 
-@query("saga_dlq_retention", f"""select global_offset, saga_id, state from {A.SAGA_DLQ} l where not (state = 'RESOLVED' and failed_at < timestamp '{A.AS_OF}'
-    and (saga_id is null or exists (select 1 from {A.SAGAS} s where s.saga_id = l.saga_id and s.status in ('COMPLETED', 'COMPENSATED', 'FAILED'))))""")
+@query("saga_dlq_retention", f"""select global_offset, saga_id, saga_type, target_saga_id from {A.SAGA_DLQ} l
+    where not (first_faulted_at < timestamp '{A.MID}' and not {_SHIELDED} and not {_RESOLVED} and not {_ROWLESS})""")
 def saga_dlq_retention(spark, d):
-    return workqueue.saga_letters_retained(A.saga_dead_letters(spark, d), A.saga_state(spark, d), A.AS_OF).select("global_offset", "saga_id", "state")
+    return workqueue.saga_letters_retained(A.saga_dead_letters(spark, d), A.saga_state(spark, d), A.MID).select("global_offset", "saga_id", "saga_type", "target_saga_id")
+
+
+_STEPS = "(select n, saga_id, case when n % 17 = 0 then 'other' else saga_type end as st, case when n % 3 = 0 then version + 1 else version end as v, case when n % 2 = 0 then 'COMPENSATING' else 'RUNNING' end as s, n % 70 as o, n % 4 = 0 as st_, n % 5 = 0 as rp, 'e-' || n as ev from s)"
+_STEP_COLUMNS = ("saga_id", "status", "version", "pre_fault_status", "genesis_applied", "last_applied_offset", "last_replayed_offset", "episode_version", "episode_claimed_at", "episode_cause_event_id", "updated_at")
+_STEP_OK = "(s.status not in ('COMPLETED', 'COMPENSATED', 'FAILED') and s.version = t.v and s.saga_type = t.st)"
+
+
+@query("saga_apply_steps", f"""select * replace (coalesce(last_applied_offset, -1) as last_applied_offset, coalesce(last_replayed_offset, -1) as last_replayed_offset, coalesce(episode_version, -1) as episode_version) from (with s as (select * from {A.SAGAS}), t as {_STEPS} select s.saga_id, case when {_STEP_OK} then t.s else s.status end as status, case when {_STEP_OK} then s.version + 1 else s.version end as version,
+    case when not {_STEP_OK} then s.pre_fault_status end as pre_fault_status, s.genesis_applied or ({_STEP_OK} and t.st_) as genesis_applied,
+    case when {_STEP_OK} then greatest(coalesce(s.last_applied_offset, -1), t.o) else s.last_applied_offset end as last_applied_offset, case when {_STEP_OK} and t.rp then t.o else s.last_replayed_offset end as last_replayed_offset,
+    case when {_STEP_OK} and t.s = 'COMPENSATING' and s.episode_version is null then s.version + 1 else s.episode_version end as episode_version,
+    case when {_STEP_OK} and t.s = 'COMPENSATING' and s.episode_version is null then timestamp '{A.AS_OF}' else s.episode_claimed_at end as episode_claimed_at,
+    case when {_STEP_OK} and t.s = 'COMPENSATING' and s.episode_version is null then t.ev else s.episode_cause_event_id end as episode_cause_event_id,
+    case when {_STEP_OK} then timestamp '{A.AS_OF}' else s.updated_at end as updated_at from s join t on s.saga_id = t.saga_id)""")
+def saga_apply_steps(spark, d):
+    """A step for every saga; some are of another type, some of another version."""
+    rows, n = A.saga_state(spark, d), F.col("n")
+    steps = rows.select(
+        "saga_id", F.when(n % 17 == 0, "other").otherwise(F.col("saga_type")).alias("saga_type"), F.when(n % 3 == 0, F.col("version") + 1).otherwise(F.col("version")).alias("version"),
+        F.when(n % 2 == 0, "COMPENSATING").otherwise("RUNNING").alias("status"), (n % 70).alias("offset"), (n % 4 == 0).alias("start"), (n % 5 == 0).alias("replay"), F.concat(F.lit("e-"), n.cast("string")).alias("event_id"),
+    )
+    numbers = ("last_applied_offset", "last_replayed_offset", "episode_version")
+    return saga.apply_steps(rows, steps, A.AS_OF).select(*(F.coalesce(c, F.lit(-1)).alias(c) if c in numbers else c for c in _STEP_COLUMNS))
+
+
+_FAULT_OK = "(status not in ('COMPLETED', 'COMPENSATED', 'FAILED') and n % 3 <> 0 and n % 17 <> 0)"
+
+
+@query("saga_mark_faulted", f"""select saga_id, case when {_FAULT_OK} then 'FAULTED' else status end as status, case when {_FAULT_OK} then version + 1 else version end as version,
+    case when not {_FAULT_OK} or status = 'FAULTED' then pre_fault_status when not genesis_applied and status <> 'COMPENSATING' then null else status end as pre_fault_status,
+    case when {_FAULT_OK} then timestamp '{A.AS_OF}' else updated_at end as updated_at from {A.SAGAS}""")
+def saga_mark_faulted(spark, d):
+    """A fault for every saga; one in three has another version, one in seventeen another type."""
+    rows, n = A.saga_state(spark, d), F.col("n")
+    asked = rows.select("saga_id", F.when(n % 17 == 0, "other").otherwise(F.col("saga_type")).alias("saga_type"), F.when(n % 3 == 0, F.col("version") + 1).otherwise(F.col("version")).alias("version"))
+    return saga.mark_faulted(rows, asked, A.AS_OF).select("saga_id", "status", "version", "pre_fault_status", "updated_at")
 
 
-_FIT = "idempotency_key is not null and coalesce(retryable, true) and attempts < 5"
+_SINCE, _DLQ_FIT = "coalesce(last_attempt_at, published_at)", f"attempts < 5 and idempotency_key is not null and first_attempt_at >= timestamp '{A.MID}'"
 
 
-@query("dlq_retryable", f"""select n, idempotency_key, attempts from {A.DLQ} where {_FIT} and coalesce(last_attempt_at, published_at) + to_seconds(cast(30 * pow(2, attempts) as integer)) <= timestamp '{A.AS_OF}'
-    order by coalesce(last_attempt_at, published_at), n limit 80""")
+@query("dlq_retryable", f"""select n, idempotency_key, attempts from {A.DLQ} where {_DLQ_FIT} and {_SINCE} + to_seconds(cast(30 * pow(2, attempts) as integer)) <= timestamp '{A.AS_OF}' order by {_SINCE}, n limit 80""")
 def dlq_retryable(spark, d):
-    return workqueue.retryable(A.dead_letters(spark, d), A.AS_OF, 80).select("n", "idempotency_key", "attempts")
+    """Keyed letters whose command was received in the window, which begins at its bound."""
+    return workqueue.retryable(A.dead_letters(spark, d), A.AS_OF, 80, received_since=A.MID).select("n", "idempotency_key", "attempts")
 
 
-@query("dlq_awaiting_operator", f"select count(*) as n from {A.DLQ} where not ({_FIT})")
+@query("dlq_retryable_unkeyed", f"""select n, attempts from {A.DLQ} where attempts < 3 and {_SINCE} + to_seconds(cast(86400 * pow(2, attempts) as integer)) <= timestamp '{A.MID}' order by {_SINCE}, n limit 60""")
+def dlq_retryable_unkeyed(spark, d):
+    return workqueue.retryable(A.dead_letters(spark, d), A.MID, 60, attempts=3, unkeyed=True, initial_s=86400).select("n", "attempts")
+
+
+@query("dlq_awaiting_operator", f"select count(*) as n from {A.DLQ} where attempts < 5 and (idempotency_key is null or (idempotency_key is not null and first_attempt_at < timestamp '{A.MID}'))")
 def dlq_awaiting_operator(spark, d):
-    return workqueue.awaiting_operator(A.dead_letters(spark, d))
+    return workqueue.awaiting_operator(A.dead_letters(spark, d), received_before=A.MID)
+
+
+@query("dlq_newest", f"select n, published_at from {A.DLQ} order by published_at desc, n desc limit 45")
+def dlq_newest(spark, d):
+    return workqueue.newest_letters(A.dead_letters(spark, d), 45).select("n", "published_at")
+
+
+@query("dlq_by_key", f"select n, idempotency_key from {A.DLQ} where idempotency_key = (select min(idempotency_key) from {A.DLQ})")
+def dlq_by_key(spark, d):
+    rows = A.dead_letters(spark, d)
+    return workqueue.letters_of_key(rows, rows.agg(F.min("idempotency_key")).first()[0]).select("n", "idempotency_key")
+
+
+@query("dlq_publish", f"""select n, idempotency_key from {A.DLQ} union all select n + 10000000, case when n % 3 = 0 then 'new-' || n else idempotency_key end from {A.DLQ} where n % 2 = 1 and n % 3 = 0
+    union all select n + 20000000, null from {A.DLQ} where n % 4 = 0""")
+def dlq_publish(spark, d):
+    """Letters come again: those under their old key store nothing, those under a new one or without a key do."""
+    rows, n = A.dead_letters(spark, d), F.col("n")
+    again = rows.where(n % 2 == 1).withColumn("idempotency_key", F.when(n % 3 == 0, F.concat(F.lit("new-"), n.cast("string"))).otherwise(F.col("idempotency_key"))).withColumn("n", n + 10000000)
+    return workqueue.published(rows, again.unionByName(rows.where(n % 4 == 0).withColumn("n", n + 20000000))).select("n", "idempotency_key")
+
+
+@query("projection_dlq_upsert", f"""with o as (select global_offset as f, global_offset + 9 as t, 1 + global_offset % 4 as a from {A.LOG} where global_offset % 20 = 0), w as (select global_offset as f, global_offset + 9 as t, 2 as a from {A.LOG} where global_offset % 30 = 0)
+    select 'p' as projection, coalesce(w.f, o.f) as from_offset, coalesce(w.t, o.t) as to_offset, case when o.f is null then w.a when w.f is null then o.a else greatest(o.a + 1, w.a) end as attempts from o full join w on o.f = w.f and o.t = w.t""")
+def projection_dlq_upsert(spark, d):
+    at, rows = F.col("global_offset"), A.log_scan(spark, d)
+    part = lambda every, attempts: rows.where(at % every == 0).select(F.lit("p").alias("projection"), at.alias("from_offset"), (at + 9).alias("to_offset"), attempts.cast("long").alias("attempts"))
+    return workqueue.merge_dead_ranges(part(20, 1 + at % 4), part(30, F.lit(2)))
 
 
 @query("dlq_range", f"select global_offset, event_type from {A.LOG} where global_offset between 301 and 420")
@@ -503,24 +642,80 @@ def crypto_redaction(spark, d):
 @query("subject_export", f"""select 'events' as section, cast(global_offset as varchar) as item, event_type as detail from {A.LOG} where aggregate_id = '42'
     union all select 'audit', cast(n as varchar), outcome from {A.AUDIT} where user_id = '42' union all select 'outbox', cast(seq as varchar), status from {A.OUTBOX} where aggregate_id = '42'""")
 def subject_export(spark, d):
-    part = lambda name, rows, item, detail: rows.select(F.lit(name).alias("section"), F.col(item).cast("string").alias("item"), F.col(detail).alias("detail"))
-    mine = part("events", A.log_scan(spark, d).where("aggregate_id = '42'"), "global_offset", "event_type")
-    mine = mine.unionByName(part("audit", A.audit_log(spark, d).where("user_id = '42'"), "n", "outcome"))
-    return mine.unionByName(part("outbox", A.outbox(spark, d).where("aggregate_id = '42'"), "seq", "status"))
+    part = lambda rows, item, detail: rows.select(F.col(item).cast("string").alias("item"), F.col(detail).alias("detail"))
+    sections = {
+        "events": part(A.log_scan(spark, d).where("aggregate_id = '42'"), "global_offset", "event_type"), "audit": part(A.audit_log(spark, d).where("user_id = '42'"), "n", "outcome"),
+        "outbox": part(A.outbox(spark, d).where("aggregate_id = '42'"), "seq", "status"), "none": None,
+    }
+    return export("42", sections).select("section", F.get_json_object("row", "$.item").alias("item"), F.get_json_object("row", "$.detail").alias("detail"))
 
 
-@query("subject_forget", f"select global_offset, event_type from {A.LOG} where aggregate_id not in ('42', '7')")
+@query("subject_forget", "select event_id + 1 as global_offset, case when user_id in (42, 7) then '[REDACTED]' else event_type end as event_type from events where user_id < 60")
 def subject_forget(spark, d):
-    gone = spark.createDataFrame([("42",), ("7",)], "aggregate_id string")
-    return A.log_scan(spark, d).join(F.broadcast(gone), "aggregate_id", "left_anti").select("global_offset", "event_type")
+    """Two subjects are forgotten: their keys go, and what was encrypted under them reads as redacted."""
+    keys = _keys(spark, d)
+    rows = A.log_scan(spark, d).where("user_id < 60").select("global_offset", "event_type", F.col("user_id").cast("string").alias("subject"))
+    left = forgotten(keys, A.log_scan(spark, d).where("user_id in (42, 7)").select(F.col("user_id").cast("string").alias("subject")).distinct())
+    return decrypted(encrypted(rows, ["event_type"], "subject", keys), ["event_type"], "subject", left).select("global_offset", "event_type")
+
 
+def _saved(spark, d):
+    return _snapshots(spark, d).withColumn("state", F.concat(F.lit("v"), F.col("version").cast("string"))).withColumn("purge_generation", F.lit(0).cast("long"))
 
-@query("snapshot_purge", f"select aggregate_id, max(version) as version, max(case when aggregate_id in ('42', '7') then 1 else 0 end) as purge_generation from {A.LOG} where version % 20 = 0 group by aggregate_id having max(case when aggregate_id in ('42', '7') then 1 else 0 end) = 0")
+
+_SAVED = f"(select aggregate_id, max(version) as version from {A.LOG} where version % 20 = 0 group by aggregate_id)"
+
+
+@query("snapshot_purge", f"select aggregate_id, version, case when cast(aggregate_id as bigint) % 3 <> 0 then 'v' || version end as state, case when cast(aggregate_id as bigint) % 3 = 0 then 1 else 0 end as purge_generation from {_SAVED}")
 def snapshot_purge(spark, d):
-    """Distinct streams out of arrays lose their snapshots."""
-    asked = spark.createDataFrame([(["user", "user", "user"], ["42", "7", "42"])], "kinds array<string>, ids array<string>")
-    gone = asked.select(F.explode(F.arrays_zip("kinds", "ids")).alias("s")).select(F.col("s.kinds").alias("aggregate_type"), F.col("s.ids").alias("aggregate_id")).distinct()
-    return _snapshots(spark, d).join(F.broadcast(gone), list(fold.STREAM), "left_anti").select("aggregate_id", "version", F.lit(0).alias("purge_generation"))
+    """The snapshots of every third stream lose their state, and their generation goes up."""
+    rows = _saved(spark, d)
+    asked = rows.where(F.col("aggregate_id").cast("long") % 3 == 0)
+    return fold.purge_snapshots(rows, asked.unionByName(asked)).select("aggregate_id", "version", "state", "purge_generation")
+
+
+@query("snapshot_save", f"""select aggregate_id, case when cast(aggregate_id as bigint) % 3 = 0 then version else version + 5 end as version, case when cast(aggregate_id as bigint) % 3 = 0 then null else 'new' end as state,
+    case when cast(aggregate_id as bigint) % 3 = 0 then 1 else 0 end as purge_generation from {_SAVED}""")
+def snapshot_save(spark, d):
+    """Snapshots that were made before a purge are not saved after it."""
+    rows = _saved(spark, d)
+    purged = fold.purge_snapshots(rows, rows.where(F.col("aggregate_id").cast("long") % 3 == 0))
+    new = rows.withColumn("version", F.col("version") + 5).withColumn("state", F.lit("new"))
+    return fold.save_snapshots(purged, new).select("aggregate_id", "version", "state", "purge_generation")
+
+
+@query("stream_heads", f"select aggregate_type, aggregate_id, max(version) as version from {A.LOG} group by 1, 2")
+def stream_heads(spark, d):
+    return log.stream_heads(A.event_log(spark, d))
+
+
+@query("rm_compare_and_set", f"select id, case when cast(id as bigint) % 2 = 0 and cast(id as bigint) % 3 <> 0 then 'new' else customer end as customer, case when cast(id as bigint) % 2 = 0 and cast(id as bigint) % 3 <> 0 then version + 1 else version end as version from {A.VIEW}")
+def rm_compare_and_set(spark, d):
+    """Every second row is written again; for every third the writer has seen another version."""
+    view, n = A.order_view(spark, d).select("id", "customer", "version"), F.col("id").cast("long")
+    asked = view.where(n % 2 == 0).select("id", F.lit("new").alias("customer"), F.when(n % 3 == 0, F.col("version") + 7).otherwise(F.col("version")).alias("expected"))
+    return readmodel.compare_and_set(view, asked)[0].select("id", "customer", "version")
+
+
+@query("rm_delete", f"select id, customer from {A.VIEW} where cast(id as bigint) % 5 <> 0")
+def rm_delete(spark, d):
+    view = A.order_view(spark, d).select("id", "customer", "version")
+    return readmodel.deleted(view, view.where(F.col("id").cast("long") % 5 == 0).select("id")).select("id", "customer")
+
+
+@query("compliance_by_type_of_user", f"select command_type, count(*) as n from {A.AUDIT} where {_IN} and aggregate_id is not null and user_id = '42' group by 1")
+def compliance_by_type_of_user(spark, d):
+    return audit.by_type(A.audit_log(spark, d), *_RANGE, user="42")
+
+
+@query("event_audit_by_causation", f"select {', '.join(_EV)} from {A.EVENT_AUDIT} where causation_id = 'evt-3001'")
+def event_audit_by_causation(spark, d):
+    return _events(spark, d, F.col("causation_id") == "evt-3001")
+
+
+@query("event_audit_by_stream_range", f"select {', '.join(_EV)} from {A.EVENT_AUDIT} where aggregate_type = 'user' and aggregate_id = '9' and {_IN}")
+def event_audit_by_stream_range(spark, d):
+    return _events(spark, d, (F.col("aggregate_type") == "user") & (F.col("aggregate_id") == "9") & audit.between(*_RANGE))
 
 
 @query("saga_fold", f"""with l as {A.LOG}, s as (select aggregate_id, min(global_offset) as s from l where event_type = 'signup' group by 1),
@@ -533,12 +728,32 @@ def saga_fold(spark, d):
     return saga.saga_states(A.event_log(spark, d), "signup", "purchase", "error").drop("aggregate_type")
 
 
-@query("saga_interleave_dlq", f"""with l as (select * from {A.SAGA_DLQ} where state = 'PENDING') select global_offset, l.saga_id from l join {A.SAGAS} s on l.saga_id = s.saga_id where s.status <> 'FAULTED' union all select global_offset, saga_id from l where saga_id is null""")
+_PLAN = f"""(select saga, saga_type, global_offset, min(rank) = 1 as resolved, count(distinct rank) = 2 as shadows from (select saga_id as saga, saga_type, global_offset, 0 as rank from {A.SAGA_DLQ} where saga_id is not null
+    union all select target_saga_id, saga_type, global_offset, 1 from {A.SAGA_DLQ} where saga_id is null and target_saga_id is not null) group by 1, 2, 3)"""
+
+
+@query("saga_interleave_dlq", f"select *, row_number() over (partition by saga, saga_type order by global_offset) as place from {_PLAN}")
 def saga_interleave_dlq(spark, d):
-    """Dead letters that a drain may take now."""
-    letters = A.saga_dead_letters(spark, d).where("state = 'PENDING'").select("global_offset", "saga_id")
-    none = spark.createDataFrame([], "saga_id string")
-    return saga.drainable(letters, A.saga_state(spark, d), none)
+    """What drains feed, saga by saga in the order of offsets."""
+    return saga.drain_plan(A.saga_dead_letters(spark, d))
+
+
+@query("saga_drain", f"""with recursive p as (select p.*, row_number() over (partition by p.saga, p.saga_type order by global_offset) as place, coalesce(s.status in ('COMPLETED', 'COMPENSATED', 'FAILED'), false) as over_,
+        coalesce(s.genesis_applied or coalesce(s.pre_fault_status, s.status) = 'COMPENSATING', false) as begun, global_offset % 7 = 0 as bad, global_offset % 3 = 0 as start_
+        from {_PLAN} p left join {A.SAGAS} s on s.saga_id = p.saga and s.saga_type = p.saga_type),
+    one as (select saga, saga_type, cast(0 as bigint) as place, false as landed, false as stopped, cast('' as varchar) as outcome from (select distinct saga, saga_type from p)
+        union all select p.saga, p.saga_type, p.place, o.landed or (not o.stopped and start_ and not bad), o.stopped or (bad and not over_ and (begun or start_ or o.landed)),
+            case when o.stopped then 'NOT_TRIED' when over_ then 'REPLAYED' when not begun and not start_ and not o.landed then 'SAGA_ROW_PENDING' when bad then 'STILL_POISON' else 'REPLAYED' end
+        from one o join p on p.saga = o.saga and p.saga_type = o.saga_type and p.place = o.place + 1),
+    l as (select saga, saga_type, bool_or(landed) as landed, bool_or(stopped) as stopped from one group by 1, 2),
+    two as (select o.saga, o.saga_type, o.place, o.outcome, p.bad, o.outcome = 'SAGA_ROW_PENDING' and l.landed and not l.stopped as again from one o join p using (saga, saga_type, place) join l using (saga, saga_type))
+    select p.saga, p.saga_type, p.global_offset, case when again and exists (select 1 from two x where x.saga = t.saga and x.saga_type = t.saga_type and x.place < t.place and x.again and x.bad) then 'SAGA_ROW_PENDING'
+        when again and t.bad then 'STILL_POISON' when again then 'REPLAYED' else outcome end as outcome from two t join p using (saga, saga_type, place)""")
+def saga_drain(spark, d):
+    """Drains of all sagas, where every seventh event is poison and every third a start."""
+    letters = A.saga_dead_letters(spark, d)
+    at = letters.select("global_offset")
+    return saga.drained(letters, A.saga_state(spark, d), at.where("global_offset % 7 = 0"), at.where("global_offset % 3 = 0")).select("saga", "saga_type", "global_offset", "outcome")
 
 
 @query("id_functions", f"""select global_offset, 'user:' || aggregate_id as stream, aggregate_id as parsed, sha256(aggregate_id) as hash, 50.0 * pow(2, global_offset % 5) as backoff, case when length(event_type) > 5 then left(event_type, 5) || '...' else event_type end as safe from {A.LOG}""")

@@ -74,6 +74,10 @@ def fixture_text(rows: list[Row]) -> str:
     return json.dumps([one(r) for r in rows], sort_keys=True, indent=2, ensure_ascii=False)
 
 
+#: Where events carry the idempotency key and the type of their command.
+KEY, COMMAND = "idempotency-key", "command-type"
+
+
 class StaleVersion(Exception):
     """The stream is not at the expected version."""
 
@@ -86,7 +90,7 @@ class StoredLog:
     """A log under one folder: a commit appends one Parquet file of events whose offsets follow the last. One driver writes."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.lock = spark, path.rstrip("/"), threading.Lock()
+        self.spark, self.path, self.lock = spark, path.rstrip("/"), threading.RLock()
         #: Called with the events of each commit, after it; a failure is logged and has no effect on the commit.
         self.after_commit: list[Callable[[DataFrame], None]] = []
 
@@ -128,12 +132,19 @@ class StoredLog:
     def append_once(self, stream: str, events: list[dict], expected: int, key: str, command: str) -> tuple[list[int], int, bool]:
         """(offsets, final version, already applied): the first call with a key appends, a later one gets its result."""
         kind, ident = parse_stream(stream)
-        found = self.inbox().where(F.col("idempotency_key") == key).first()
-        if found:
-            if (found["command_type"], found["aggregate_type"], found["aggregate_id"]) != (command, kind, ident):
+        with self.lock:
+            found = self.inbox().where(F.col("idempotency_key") == key).first()
+            if found:
+                if (found["command_type"], found["aggregate_type"], found["aggregate_id"]) != (command, kind, ident):
+                    raise KeyBound(key)
+                return found["global_offsets"], found["final_version"], True
+            # events carry the key, so a call that was cut off before its inbox row is found by them, and gets that row now
+            own = F.col("metadata.baggage")
+            past = self.events().where(own[KEY] == key).select("global_offset", "aggregate_type", "aggregate_id", "version", own[COMMAND].alias("command")).orderBy("version").collect()
+            if past and (past[0]["command"], past[0]["aggregate_type"], past[0]["aggregate_id"]) != (command, kind, ident):
                 raise KeyBound(key)
-            return found["global_offsets"], found["final_version"], True
-        offsets = self.append(stream, events, expected)
-        final = expected + len(offsets)
-        self.spark.createDataFrame([(key, command, kind, ident, offsets, final)], INBOX).coalesce(1).write.mode("append").parquet(f"{self.path}/inbox")
-        return offsets, final, False
+            marked = [e | {"metadata": (m := e.get("metadata") or {}) | {"baggage": (m.get("baggage") or {}) | {KEY: key, COMMAND: command}}} for e in events]
+            offsets = [r["global_offset"] for r in past] or self.append(stream, marked, expected)
+            final = past[-1]["version"] if past else expected + len(offsets)
+            self.spark.createDataFrame([(key, command, kind, ident, offsets, final)], INBOX).coalesce(1).write.mode("append").parquet(f"{self.path}/inbox")
+            return offsets, final, bool(past)

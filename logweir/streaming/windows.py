@@ -1,7 +1,8 @@
 """The window operator over a stream: one micro-batch is one batch of the batch evaluator, and gives the same emissions.
 
 State is a folder of versions, each written before the pointer that names it moves, so a batch that fails half-way leaves
-the last version, and one that is delivered again is fenced off by its offsets. Windows are worked on in parallel; only the
+the last version. The pointer names the batch too: one that is delivered again, since its sink failed, gets the emissions that were
+written for it, never others and never none; other batches with events that were seen are fenced off by offsets. Windows are worked on in parallel; only the
 watermark and the fence are single values.
 """
 
@@ -35,6 +36,8 @@ class WindowOperator:
     def process(self, batch: DataFrame, batch_id: int | None = None) -> DataFrame:
         """Takes a batch in and gives its emissions: window_start, window_end, the folds, is_final and at_offset."""
         at = self.pointer()
+        if batch_id is not None and at.get("batch") == batch_id:
+            return self.store.table(at["version"], "emissions")
         fresh = batch.where(F.col(self.offset) > at["fence"]).dropDuplicates([self.offset]).withColumn(self.ts, F.col(self.ts).cast("timestamp"))
         top, fence = fresh.agg(F.max(self.ts).cast("double"), F.max(self.offset)).first()
         before, now = at["watermark"], max((x for x in (at["watermark"], top) if x is not None), default=None)
@@ -71,12 +74,14 @@ class WindowOperator:
         if self.policy == DROP:
             state = state.where(~F.col("closed"))
         out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        values = {"watermark": now, "fence": max(at["fence"], fence if fence is not None else -1)}
+        values = {"batch": batch_id, "watermark": now, "fence": max(at["fence"], fence if fence is not None else -1)}
         version = self.store.commit(at, values, {"emissions": out, "state": state})
         return self.store.table(version, "emissions")
 
     def emissions(self) -> DataFrame:
-        return self.store.spark.read.parquet(f"{self.store.path}/v*/emissions")
+        """The emissions of all batches that count."""
+        last = self.pointer()["version"]
+        return self.store.spark.read.parquet(*(f"{self.store.path}/v{v}/emissions" for v in range(last + 1)))
 
     def start(self, stream: DataFrame, checkpoint: str, sink=None, **trigger):
         """Runs the operator on a streaming DataFrame; sink(emissions, batch_id) gets what each batch emits."""

@@ -34,6 +34,10 @@ def test_append_checks_the_version_and_keeps_offsets_dense(spark, tmp_path):
     assert store.append_once("cart:3", [e(6)], 7, "k", "Add") == ([5], 1, True)
     with pytest.raises(log.KeyBound):
         store.append_once("cart:4", [e(6)], 0, "k", "Add")
+    import shutil
+
+    shutil.rmtree(f"{store.path}/inbox")  # as if cut off between the events and their inbox row
+    assert store.append_once("cart:3", [e(6)], 0, "k", "Add") == ([5], 1, True) and store.inbox().count() == 1
     with pytest.raises(ValueError):
         store.append("cart:9", [{"event_type": "x", "payload": "\0"}], 0)
 
@@ -169,13 +173,16 @@ def test_dead_ranges_merge(spark):
 
 
 def test_saga_rows(spark):
-    kind = "saga_id string, status string, version long, last_applied_offset long, prior_status string"
-    s = spark.createDataFrame([("a", "RUNNING", 3, None, None), ("b", "COMPLETED", 1, 4, None), ("c", "RUNNING", 2, 9, None)], kind)
+    kind = "saga_id string, status string, version long, last_applied_offset long, pre_fault_status string, saga_type string"
+    s = spark.createDataFrame([("a", "RUNNING", 3, None, None, "t"), ("b", "COMPLETED", 1, 4, None, "t"), ("c", "RUNNING", 2, 9, None, "t")], kind)
     steps = spark.createDataFrame([("a", 3, "COMPLETED", 7), ("b", 1, "RUNNING", 8), ("c", 1, "RUNNING", 10)], "saga_id string, version long, status string, offset long")
     got = {r["saga_id"]: (r["status"], r["version"], r["last_applied_offset"]) for r in saga.apply_steps(s, steps).collect()}
     assert got == {"a": ("COMPLETED", 4, 7), "b": ("COMPLETED", 1, 4), "c": ("RUNNING", 2, 9)}
-    f = {r["saga_id"]: (r["status"], r["prior_status"]) for r in saga.mark_faulted(s, s.select("saga_id")).collect()}
-    assert f == {"a": ("FAULTED", "RUNNING"), "b": ("COMPLETED", None), "c": ("FAULTED", "RUNNING")}
+    once = saga.mark_faulted(s, s.withColumn("version", F.when(F.col("saga_id") == "c", 9).otherwise(F.col("version"))))
+    f = {r["saga_id"]: (r["status"], r["pre_fault_status"], r["version"]) for r in once.collect()}
+    assert f == {"a": ("FAULTED", "RUNNING", 4), "b": ("COMPLETED", None, 1), "c": ("RUNNING", None, 2)}
+    again = {r["saga_id"]: (r["pre_fault_status"], r["version"]) for r in saga.mark_faulted(once, once).collect()}
+    assert again["a"] == ("RUNNING", 5)
 
 
 def test_upcasting(spark):
@@ -325,7 +332,8 @@ def test_outbox_inserts_and_leases(spark):
     full = workqueue.insert(box, more)
     assert sorted(r["seq"] for r in full.collect()) == [1, 2]
     late = full.withColumn("claimed_at", F.lit("2024-01-01").cast("timestamp_ntz"))
-    assert {r["status"] for r in workqueue.reclaimed(late, "2024-01-01 00:01:00", "claimed_at", 60).collect()} == {"PENDING"}
+    assert {r["seq"]: r["status"] for r in workqueue.reclaimed(late, "2024-01-01 00:01:00", "claimed_at", 60).collect()} == {1: "PENDING", 2: "IN_PROGRESS"}  # on the bound the claim holds
+    assert {(r["status"], r["claimed_at"]) for r in workqueue.reclaimed(late.where("seq = 2"), "2024-01-01 00:01:01", "claimed_at", 60).collect()} == {("PENDING", None)}
     letters = spark.createDataFrame([(1, "k", datetime(2024, 1, 1)), (2, "k", datetime(2024, 1, 2)), (3, "m", datetime(2024, 1, 2))], "n long, idempotency_key string, published_at timestamp")
     assert [r["n"] for r in workqueue.newest_letters(letters, 2).collect()] == [3, 2] and [r["n"] for r in workqueue.letters_of_key(letters, "k").collect()] == [1, 2]
 

@@ -109,6 +109,29 @@ def test_redelivered_events_count_once(spark, tmp_path):
     assert op.pointer()["fence"] == 3
 
 
+def test_a_failed_sink_gets_the_same_emissions_again(spark, tmp_path):
+    op = WindowOperator(spark, str(tmp_path / "w"), {"n": ("count", "*")}, 60, None, 0)
+    events = frame(spark, [[10, 20], [130], [300]])
+    assert op.process(events.where("batch = 0"), 0).count() == 0
+    first = op.process(events.where("batch = 1"), 1).collect()
+    assert [r["n"] for r in first] == [2] and op.process(events.where("batch = 1"), 1).collect() == first  # the sink failed in between
+    assert [r["n"] for r in op.process(events.where("batch = 2"), 2).collect()] == [1] and op.emissions().count() == 2
+    seen, fails = [], [True]
+
+    def sink(rows, batch_id):
+        if fails.pop() if fails else False:
+            raise OSError("no")
+        seen.extend(r["n"] for r in rows.collect())
+
+    frame(spark, [[30, 80, 300]]).drop("batch").coalesce(1).write.parquet(str(tmp_path / "in"))
+    op = WindowOperator(spark, str(tmp_path / "x"), {"n": ("count", "*")}, 60, None, 0)
+    stream = lambda: spark.readStream.schema("global_offset long, ts timestamp, value double").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="no"):
+        op.start(stream(), str(tmp_path / "ck"), sink).awaitTermination()
+    op.start(stream(), str(tmp_path / "ck"), sink).awaitTermination()
+    assert sorted(seen) == [1, 1]
+
+
 def test_streaming_query(spark, tmp_path):
     frame(spark, [[30, 80, 300]]).drop("batch").coalesce(1).write.parquet(str(tmp_path / "in"))
     op = WindowOperator(spark, str(tmp_path / "w"), {"n": ("count", "*")}, 60, None, 0)
