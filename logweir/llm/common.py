@@ -243,11 +243,11 @@ def salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread:
     return left, right
 
 
-#: Keys whose sums are broadcast at most (16 bytes each).
+#: Keys whose sums are broadcast at most (16 bytes each), where a caller's keys are few by design.
 BROADCAST_KEYS = 1 << 17
 
 
-def blocks(members: DataFrame, weight: Column, most: int, rows: int | None = None) -> DataFrame:
+def blocks(members: DataFrame, weight: Column, most: int, rows: int | None = None, few: bool = False) -> DataFrame:
     """members (key, cls, ...) of keys with two rows or more, with own, lo and hi: each key's rows in blocks of about `most`
     units of weight or `rows` rows (by default a thousandth of all, but 256 at least and 2048 at most), and each pair of blocks as
     (key, lo, hi). A hot key is spread before it is cut."""
@@ -256,10 +256,10 @@ def blocks(members: DataFrame, weight: Column, most: int, rows: int | None = Non
     rows = rows or max(256, min(2048, (all_rows or 0) // 1000))
     k = F.greatest(F.lit(1), F.ceil(F.col("total") / most), F.ceil(F.col("rows") / rows)).cast("int").alias("k")
     sums = totals.where("rows > 1").select("key", k)
-    if keys <= BROADCAST_KEYS:
+    if few and keys <= BROADCAST_KEYS:
         cut = members.join(F.broadcast(sums), "key")
     else:
-        left, right = salted(members, sums, "key", hot_keys(totals, "key", all_rows), F.col("cls"))
+        left, right = salted(members, sums, "key", hot_keys(totals, "key", all_rows or 0), F.col("cls"))
         cut = left.join(right, ["key", "salt"]).drop("salt")
     cut = cut.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     return cut.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "k")

@@ -178,7 +178,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = _celled(one.select("cls", "label", F.coalesce("rows", F.lit(1)).cast("long").alias("m"), "embedding"), level, parts)
     each = found.withColumn("cell", F.explode("cells")).withColumn("key", F.xxhash64("label", "dim", "cell"))
     with small_batches(vectors.sparkSession):
-        pairs = kept(_compared(blocks(each, F.lit(1), BLOCK, BLOCK), threshold))
+        pairs = kept(_compared(blocks(each, F.lit(1), BLOCK, BLOCK, few=True), threshold))
     linked = components(pairs.where("b is not null").select("a", "b"))
     counts = pairs.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     known = members.join(counts, "cls", "left").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))

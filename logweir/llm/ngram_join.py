@@ -44,8 +44,10 @@ SKETCH = 1024
 BLOCK = 1 << 19
 #: Added to the n-grams of a set when buckets are cut, so that a unit never has too many small sets.
 SHARE = 64
-#: Rows of units that are broadcast at most (about 60 bytes each, so 8 MB); more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 17
+#: Rows of units that are broadcast at most (100 bytes each at most, so 40 MB); more are joined by a shuffle, of the texts in it only.
+BROADCAST_ROWS = 400_000
+#: Bits, as a power of two, of the table that tells texts of units before that shuffle: a row for each 64 of them, a million at most.
+MARKS = 26
 
 
 def need(nx, ny, percent: int):
@@ -231,7 +233,14 @@ def _linked(docs: DataFrame, units: DataFrame, rank, k: int, percent: int) -> Da
 
     jobs = units.groupBy("rid").agg(F.collect_list(F.struct("key", "lo", "hi", "cls", "grp")).alias("jobs"))
     small = units.count() <= BROADCAST_ROWS
-    rows = docs.select("rid", "text").join(F.broadcast(jobs) if small else jobs, "rid").select("text", "jobs")
+    texts = docs.select("rid", "text")
+    if not small:
+        jobs = kept(jobs)
+        bit = F.pmod(F.xxhash64("rid"), F.lit(1 << MARKS))
+        mark = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+        words = jobs.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(mark).alias("marks"))
+        texts = texts.withColumn("word", F.shiftright(bit, 6)).join(F.broadcast(words), "word").where(F.col("marks").bitwiseAND(mark) != 0).select("rid", "text")
+    rows = texts.join(F.broadcast(jobs) if small else jobs, "rid").select("text", "jobs")
     sent = rows.mapInArrow(ship, "key long, lo int, hi int, cls long, grp long, grams binary")
     return sent.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(join, "a long, b long")
 
