@@ -5,7 +5,9 @@ named users; the mask holds the code points, end exclusive, of what the assistan
 
 A dialogue is rendered in parts of PART turn numbers, so that a conversation of any length never meets in one row: part k
 holds the turns numbered from k * PART on. Rows of one part beyond PART (repeated turn numbers) go on in sub-parts. Parts in
-the order of (part, sub_part) give the whole dialogue.
+the order of (part, sub_part) give the whole dialogue. Parts that hold more than their share of all rows (those of rows without a
+turn number, say) are ordered by ranges: equal rows become one with its count, a range is one task's, and the counts of
+the ranges before it say where its numbers begin. The parts of a long conversation meet its speakers in several tasks.
 
 Defined results: null texts are empty; a null speaker is `unknown`; a null turn comes first, in part -1; ties in turn go by
 speaker, then text; repeated rows stay; an empty text makes an empty message; a conversation with system turns only has
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hot_keys, salted, table, written
 
 # The marks of the rendered dialogue.
 SYSTEM = "<|system|>"
@@ -26,12 +28,55 @@ ASSISTANT = "<|assistant|>"
 USER = "<|user:%s|>"
 END = "<|end|>"
 PART = 512
+#: Sub-parts that one row is laid out to at a time, where it stands for many equal ones.
+RUN = 1 << 15
+#: Rows of a conversation or a part beyond which it is spread, if they are more than a ten-thousandth of all.
+HOT = 1024
 
 
 def _escaped(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("<\\|"))
 
 
+def _key(*columns: str) -> Column:
+    return F.xxhash64(*columns)
+
+
+def _placed(rows: DataFrame, part: int) -> DataFrame:
+    """Rows with their number n in their part, from 0 on, their sub_part, and times, 1."""
+    place = Window.partitionBy("conv_id", "part").orderBy(F.col("at").asc_nulls_first(), "who", "said")
+    return rows.withColumn("n", (F.row_number().over(place) - 1).cast("long")).withColumn("sub_part", F.floor(F.col("n") / part)).withColumn("times", F.lit(1).cast("long"))
+
+
+def _ranged(rows: DataFrame, part: int) -> DataFrame:
+    """The same for parts of any size, by ranges. A row stands for `times` equal ones, those of its sub_part."""
+    order = [F.col("at").asc_nulls_first(), F.col("who"), F.col("said")]
+    once = rows.groupBy("conv_id", "part", "at", "who", "is_system", "said").agg(F.count("*").alias("times"))
+    # written down, so that ranges stay what they are when a task runs again
+    ranges = written(once.repartitionByRange("conv_id", "part", *order).withColumn("range", F.spark_partition_id()), "turns")
+    sums = ranges.groupBy("conv_id", "part", "range").agg(F.sum("times").alias("n"))
+    upto = Window.partitionBy("of", "of_part").orderBy("of_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.select(F.col("conv_id").alias("of"), F.col("part").alias("of_part"), F.col("range").alias("of_range"), "n")
+    begins = begins.select("of", "of_part", "of_range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("conv_id", "part", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.withColumn("n", F.coalesce(F.sum("times").over(inside), F.lit(0)))
+    # a row for each range and each listed part at most
+    meet = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")) & (F.col("range") == F.col("of_range"))
+    placed = placed.join(F.broadcast(begins), meet).withColumn("n", F.col("n") + F.col("before"))
+    placed = placed.withColumn("lo", F.floor(F.col("n") / part)).withColumn("hi", F.floor((F.col("n") + F.col("times") - 1) / part))
+    placed = placed.withColumn("run", F.explode(F.sequence(F.floor(F.col("lo") / RUN), F.floor(F.col("hi") / RUN))))
+    placed = placed.withColumn("sub_part", F.explode(F.sequence(F.greatest("lo", F.col("run") * RUN), F.least("hi", F.col("run") * RUN + RUN - 1))))
+    first, end = F.greatest(F.col("n"), F.col("sub_part") * part), F.least(F.col("n") + F.col("times"), (F.col("sub_part") + 1) * part)
+    return placed.select("conv_id", "part", "sub_part", "who", "is_system", "said", first.alias("n"), (end - first).alias("times"))
+
+
+def _parts(placed: DataFrame) -> DataFrame:
+    """(conv_id, part, sub_part) with its turns in their order."""
+    listed = F.array_sort(F.collect_list(F.struct("n", "times", "who", "is_system", "said")))
+    again = lambda t: F.array_repeat(F.struct(t["who"].alias("who"), t["is_system"].alias("is_system"), t["said"].alias("said")), t["times"].cast("int"))
+    return placed.groupBy("conv_id", "part", "sub_part").agg(listed.alias("turns")).withColumn("turns", F.flatten(F.transform("turns", again)))
+
+
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", system: str = "system", part: int = PART) -> DataFrame:
     """conv_id, participant, part, sub_part, n_turns, n_masked, rendered and mask (start:end, comma-joined) per part."""
     who = F.coalesce(F.col(speaker), F.lit("unknown"))
@@ -39,12 +84,27 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
         F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("at"), _escaped(who).alias("who"), (who == system).alias("is_system"),
         _escaped(F.coalesce(F.col(text), F.lit(""))).alias("said"),
     ).withColumn("part", F.coalesce(F.floor(F.col("at") / part), F.lit(-1)))
-    place = Window.partitionBy("conv_id", "part").orderBy(F.col("at").asc_nulls_first(), "who", "said")
-    placed = base.withColumn("n", F.row_number().over(place) - 1).withColumn("sub_part", F.floor(F.col("n") / part))
-    parts = placed.groupBy("conv_id", "part", "sub_part").agg(F.array_sort(F.collect_list(F.struct("n", "who", "is_system", "said"))).alias("turns"))
+    sizes = base.groupBy("conv_id", "part").agg(F.count("*").alias("rows"))
+    each = sizes.groupBy("conv_id").agg(F.sum("rows").alias("rows"), F.max("rows").alias("most"))
+    total, longest, fullest = (x or 0 for x in each.agg(F.sum("rows"), F.max("rows"), F.max("most")).first())
+    is_hot = lambda rows: rows > max(HOT, total // 10_000)  # noqa: E731  # as in hot_keys
+    if is_hot(fullest):
+        hot = F.broadcast(hot_keys(sizes.withColumn("key", _key("conv_id", "part")), "key", total, HOT).select("key"))  # 10,000 rows at most
+        keyed = base.withColumn("key", _key("conv_id", "part"))
+        parts = _parts(_placed(keyed.join(hot, "key", "left_anti").drop("key"), part))
+        parts = parts.unionByName(_parts(_ranged(keyed.join(hot, "key").drop("key"), part)))
+    else:
+        parts = _parts(_placed(base, part))
     # each (conversation, participant) once, counted before it is dealt out
     speakers = base.where(~F.col("is_system")).select(F.col("conv_id").alias("of"), F.col("who").alias("participant")).distinct()
-    both = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    same = F.col("conv_id").eqNullSafe(F.col("of"))
+    if is_hot(longest):
+        long = hot_keys(each.select(_key("conv_id").alias("key"), "rows"), "key", total, HOT)
+        left, right = salted(parts.withColumn("key", _key("conv_id")), speakers.withColumn("key", _key("of")), "key", long.groupBy("key").agg(F.max("parts").alias("parts")), F.struct("part", "sub_part"))
+        right = right.select("of", "participant", F.col("key").alias("of_key"), F.col("salt").alias("of_salt"))
+        both = left.join(right, same & (F.col("key") == F.col("of_key")) & (F.col("salt") == F.col("of_salt"))).drop("of", "key", "of_key", "salt", "of_salt")
+    else:
+        both = parts.join(speakers, same).drop("of")
 
     def piece(t: Column) -> Column:
         own = ~t["is_system"] & (t["who"] == F.col("participant"))

@@ -310,6 +310,21 @@ def test_parts_of_a_long_dialogue(spark):
     assert "".join(r["rendered"] for r in parts) == whole and max(r["n_turns"] for r in parts) <= 4
 
 
+def test_rows_without_a_turn_number_are_ordered_by_ranges(spark, monkeypatch):
+    turns = [(None, None, "abc"[i % 3], f"t{i * 7919 % 1700}") for i in range(2600)] + [(None, None, "b", "same")] * 1300 + [(None, 5, "a", "last"), (2, 0, "a", "x"), (2, 1, "system", "y")]
+    turns += [(3, 4, "ab"[i % 2], "again") for i in range(1500)] + [(3, 9, "b", "end")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    columns = ["conv_id", "participant", "part", "sub_part", "n_turns", "n_masked", "rendered", "mask"]
+    rows = lambda: sorted(map(str, chat.rotate(df, part=64).select(*columns).collect()))
+    monkeypatch.setattr(chat, "RUN", 4)
+    spread = rows()
+    monkeypatch.setattr(chat, "HOT", 1 << 30)
+    assert spread == rows() and len(spread) == 3 * (61 + 1) + 1 + 2 * (24 + 0) and "same" in "".join(spread)
+    plain = sorted((t for t in turns if t[0] is None and t[1] is None), key=lambda t: (t[2], t[3]))
+    got = chat.rotate(df, part=64).where("conv_id is null and participant = 'a' and part = -1").orderBy("sub_part").collect()
+    assert "".join(r["rendered"] for r in got) == "".join(f"{'<|assistant|>' if t[2] == 'a' else '<|user:' + t[2] + '|>'}\n{t[3]}<|end|>\n" for t in plain)
+
+
 PAGES = {
     "<p>One<p>Two <b>b<br>next</b>": "One\n\nTwo b\nnext",
     "<ul><li>a<li>b<ol start=3><li>x</li><li>y</ol><li>c</ul>z": "- a\n- b\n  3. x\n  4. y\n- c\n\nz",
