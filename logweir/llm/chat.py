@@ -44,14 +44,14 @@ def _key(*columns: str) -> Column:
 
 def _placed(rows: DataFrame, part: int) -> DataFrame:
     """Rows with their number n in their part, from 0 on, their sub_part, and times, 1."""
-    place = Window.partitionBy("conv_id", "part").orderBy(F.col("at").asc_nulls_first(), "who", "said")
+    place = Window.partitionBy("key", "conv_id", "part").orderBy(F.col("at").asc_nulls_first(), "who", "said")
     return rows.withColumn("n", (F.row_number().over(place) - 1).cast("long")).withColumn("sub_part", F.floor(F.col("n") / part)).withColumn("times", F.lit(1).cast("long"))
 
 
 def _ranged(rows: DataFrame, part: int) -> DataFrame:
     """The same for parts of any size, by ranges. A row stands for `times` equal ones, those of its sub_part."""
     order = [F.col("at").asc_nulls_first(), F.col("who"), F.col("said")]
-    once = rows.groupBy("conv_id", "part", "at", "who", "is_system", "said").agg(F.count("*").alias("times"))
+    once = rows.groupBy("key", "conv_id", "part", "at", "who", "is_system", "said").agg(F.count("*").alias("times"))
     # written down, so that ranges stay what they are when a task runs again
     ranges = written(once.repartitionByRange("conv_id", "part", *order).withColumn("range", F.spark_partition_id()), "turns")
     sums = ranges.groupBy("conv_id", "part", "range").agg(F.sum("times").alias("n"))
@@ -67,14 +67,14 @@ def _ranged(rows: DataFrame, part: int) -> DataFrame:
     placed = placed.withColumn("run", F.explode(F.sequence(F.floor(F.col("lo") / RUN), F.floor(F.col("hi") / RUN))))
     placed = placed.withColumn("sub_part", F.explode(F.sequence(F.greatest("lo", F.col("run") * RUN), F.least("hi", F.col("run") * RUN + RUN - 1))))
     first, end = F.greatest(F.col("n"), F.col("sub_part") * part), F.least(F.col("n") + F.col("times"), (F.col("sub_part") + 1) * part)
-    return placed.select("conv_id", "part", "sub_part", "who", "is_system", "said", first.alias("n"), (end - first).alias("times"))
+    return placed.select("key", "conv_id", "part", "sub_part", "who", "is_system", "said", first.alias("n"), (end - first).alias("times"))
 
 
 def _parts(placed: DataFrame) -> DataFrame:
-    """(conv_id, part, sub_part) with its turns in their order."""
+    """(key, conv_id, part, sub_part) with its turns in their order."""
     listed = F.array_sort(F.collect_list(F.struct("n", "times", "who", "is_system", "said")))
     again = lambda t: F.array_repeat(F.struct(t["who"].alias("who"), t["is_system"].alias("is_system"), t["said"].alias("said")), t["times"].cast("int"))
-    return placed.groupBy("conv_id", "part", "sub_part").agg(listed.alias("turns")).withColumn("turns", F.flatten(F.transform("turns", again)))
+    return placed.groupBy("key", "conv_id", "part", "sub_part").agg(listed.alias("turns")).withColumn("turns", F.flatten(F.transform("turns", again)))
 
 
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", system: str = "system", part: int = PART) -> DataFrame:
@@ -85,26 +85,27 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
         _escaped(F.coalesce(F.col(text), F.lit(""))).alias("said"),
     ).withColumn("part", F.coalesce(F.floor(F.col("at") / part), F.lit(-1)))
     sizes = base.groupBy("conv_id", "part").agg(F.count("*").alias("rows"))
-    each = sizes.groupBy("conv_id").agg(F.sum("rows").alias("rows"), F.max("rows").alias("most"))
-    total, longest, fullest = (x or 0 for x in each.agg(F.sum("rows"), F.max("rows"), F.max("most")).first())
-    is_hot = lambda rows: rows > max(HOT, total // 10_000)  # noqa: E731  # as in hot_keys
-    if is_hot(fullest):
-        hot = F.broadcast(hot_keys(sizes.withColumn("key", _key("conv_id", "part")), "key", total, HOT).select("key"))  # 10,000 rows at most
-        keyed = base.withColumn("key", _key("conv_id", "part"))
-        parts = _parts(_placed(keyed.join(hot, "key", "left_anti").drop("key"), part))
-        parts = parts.unionByName(_parts(_ranged(keyed.join(hot, "key").drop("key"), part)))
+    each = sizes.groupBy("conv_id").agg(F.sum("rows").alias("rows"))
+    total, longest = (x or 0 for x in each.agg(F.sum("rows"), F.max("rows")).first())
+    speakers = base.where(~F.col("is_system")).select(F.col("conv_id").alias("of"), F.col("who").alias("participant")).distinct()  # counted before they are dealt out
+    speakers = speakers.withColumn("of_key", _key("of"))
+    # not a key of the join, so that what is dealt by the key alone stays where it is
+    same = F.coalesce(F.col("conv_id") == F.col("of"), F.col("conv_id").isNull() & F.col("of").isNull())
+    keyed = base.withColumn("key", _key("conv_id"))
+    met = lambda rows: _parts(_placed(rows.repartition("key"), part)).join(speakers, (F.col("key") == F.col("of_key")) & same)
+    columns = ["conv_id", "part", "sub_part", "turns", "participant"]
+    if longest <= max(HOT, total // 10_000):  # as in hot_keys
+        both = met(keyed).select(*columns)
     else:
-        parts = _parts(_placed(base, part))
-    # each (conversation, participant) once, counted before it is dealt out
-    speakers = base.where(~F.col("is_system")).select(F.col("conv_id").alias("of"), F.col("who").alias("participant")).distinct()
-    same = F.col("conv_id").eqNullSafe(F.col("of"))
-    if is_hot(longest):
-        long = hot_keys(each.select(_key("conv_id").alias("key"), "rows"), "key", total, HOT)
-        left, right = salted(parts.withColumn("key", _key("conv_id")), speakers.withColumn("key", _key("of")), "key", long.groupBy("key").agg(F.max("parts").alias("parts")), F.struct("part", "sub_part"))
+        hot = hot_keys(each.groupBy(_key("conv_id").alias("key")).agg(F.sum("rows").alias("rows")), "key", total, HOT)  # 10,000 rows at most, as the next
+        full = hot_keys(sizes.groupBy(_key("conv_id", "part").alias("part_key")).agg(F.sum("rows").alias("rows")), "part_key", total, HOT)
+        long = keyed.join(F.broadcast(hot.select("key")), "key").withColumn("part_key", _key("conv_id", "part"))
+        full = F.broadcast(full.select("part_key"))
+        parts = _parts(_placed(long.join(full, "part_key", "left_anti"), part)).unionByName(_parts(_ranged(long.join(full, "part_key"), part)))
+        left, right = salted(parts, speakers.withColumnRenamed("of_key", "key"), "key", hot, F.struct("part", "sub_part"))
         right = right.select("of", "participant", F.col("key").alias("of_key"), F.col("salt").alias("of_salt"))
-        both = left.join(right, same & (F.col("key") == F.col("of_key")) & (F.col("salt") == F.col("of_salt"))).drop("of", "key", "of_key", "salt", "of_salt")
-    else:
-        both = parts.join(speakers, same).drop("of")
+        both = left.join(right, (F.col("key") == F.col("of_key")) & (F.col("salt") == F.col("of_salt")) & same).select(*columns)
+        both = both.unionByName(met(keyed.join(F.broadcast(hot.select("key")), "key", "left_anti")).select(*columns))
 
     def piece(t: Column) -> Column:
         own = ~t["is_system"] & (t["who"] == F.col("participant"))
