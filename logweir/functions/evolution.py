@@ -64,3 +64,40 @@ def _map(payload: Column) -> Column:
 
 def _json(fields: Column) -> Column:
     return F.to_json(fields)
+
+
+class Migrations:
+    """Steps between schemas of snapshots; a step may skip versions. Only a chain that lands on the wanted version counts."""
+
+    def __init__(self) -> None:
+        self.steps: dict[int, tuple[int, Step]] = {}
+
+    def add(self, version: int, to: int, step: Step) -> Migrations:
+        if version < 1 or to <= version or version in self.steps:
+            raise ValueError(f"a step from {version} to {to} doesn't go up, or there is one from {version} already")
+        self.steps[version] = (to, step)
+        return self
+
+    def path(self, version: int, target: int) -> list[int] | None:
+        """The versions whose steps lead to the target, or None."""
+        found = []
+        while version < target and version in self.steps:
+            found.append(version)
+            version = self.steps[version][0]
+        return found if version == target else None
+
+    def reachable(self, target: int) -> tuple[int, ...]:
+        """The versions, the target aside, from which it can be reached: what load() takes."""
+        return tuple(sorted(v for v in self.steps if v < target and self.path(v, target) is not None))
+
+    def apply(self, snapshots: DataFrame, target: int, state: str = "state", version: str = "schema") -> DataFrame:
+        """Snapshots of the target version, lifted where a chain leads there; the others go, so that their streams are folded from the
+        start. A step that makes null of a state is an error."""
+        rows = snapshots.where(F.col(version).isin(target, *self.reachable(target)))
+        for v in (v for v in sorted(self.steps) if self.path(v, target)):
+            to, step = self.steps[v]
+            due, made = F.col(version) == v, step(F.col(state))
+            lost = F.raise_error(F.lit(f"the step from {v} to {to} gave no state")).cast(rows.schema[state].dataType)
+            lifted = F.when(F.col(state).isNull(), F.col(state)).otherwise(F.coalesce(made, lost))
+            rows = rows.withColumn(state, F.when(due, lifted).otherwise(F.col(state))).withColumn(version, F.when(due, F.lit(to).cast(rows.schema[version].dataType)).otherwise(F.col(version)))
+        return rows

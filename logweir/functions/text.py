@@ -83,13 +83,19 @@ def correlation_id() -> Column:
     return F.concat(F.lit("corr_"), F.uuid())
 
 
-def backoff_ms(attempt: Column, initial: float = 50, factor: float = 2.0) -> Column:
-    return F.lit(initial) * F.pow(F.lit(factor), attempt - 1)
-
-
-def poll_backoff_ms(failures: Column, initial: int = 1000, most: int = 60_000) -> Column:
-    """The base of a poll's backoff; half of it and up to half more is waited."""
-    return F.least(F.lit(initial) * F.pow(F.lit(2.0), F.least(failures - 1, F.lit(32))), F.lit(most)).cast("long")
+def backoff_ms(attempt: Column, initial: float = 50, factor: float = 2.0, jitter: Column | None = None) -> Column:
+    """The wait before an attempt, from 1 on. With jitter, numbers from 0 to 1 (F.rand()), it is half to one and a half times that."""
+    wait = F.lit(initial) * F.pow(F.lit(factor), attempt - 1)
+    return wait if jitter is None else wait * (F.lit(0.5) + jitter)
+
+
+def poll_backoff_ms(failures: Column, initial: int = 1000, most: int = 60_000, jitter: Column | None = None) -> Column:
+    """The wait of a poll after failures, from 1 on. With jitter, numbers from 0 to 1, half of it and up to half more is waited."""
+    wait = F.least(F.lit(initial) * F.pow(F.lit(2.0), F.least(failures - 1, F.lit(32))), F.lit(most)).cast("long")
+    if jitter is None:
+        return wait
+    half = F.floor(wait / 2)
+    return (half + F.least(F.floor(jitter * (wait - half + 1)), wait - half)).cast("long")
 
 
 def log_safe(text: Column, cap: int = LOG_CAP) -> Column:

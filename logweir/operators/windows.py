@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 DROP, REOPEN = "DROP", "REOPEN"
 GRACE_S = 300
+#: Numbers of batches that are ordered in one task.
+SPAN = 4096
 
 
 def checked(size_s: float, slide_s: float | None, grace_s: float) -> float:
@@ -33,11 +35,20 @@ def pairs(events: DataFrame, size_s: float, slide_s: float | None = None, ts: st
     return rows.withColumn("window_start", F.col("_w.start")).withColumn("window_end", F.col("_w.end")).drop("_w")
 
 
+def before(tops: DataFrame, batch: str, value: str, out: str) -> DataFrame:
+    """(_b, out) for each row of tops (batch, a whole number, and value): the largest value of all earlier batches. Spans of SPAN numbers are
+    ordered each on its own; only the table of spans, a row each, is ordered as a whole."""
+    rows = tops.select(F.col(batch).alias("_b"), F.col(value).alias("_v"), F.floor(F.col(batch) / SPAN).alias("_span"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy("_span").agg(F.max("_v").alias("_most"))
+    spans = spans.select("_span", F.max("_most").over(earlier(Window.orderBy("_span"))).alias("_past"))
+    inside = rows.withColumn("_in", F.max("_v").over(earlier(Window.partitionBy("_span").orderBy("_b"))))
+    return inside.join(spans, "_span").select("_b", F.greatest("_past", "_in").alias(out))
+
+
 def classified(events: DataFrame, size_s: float, slide_s: float | None, grace_s: float, ts: str = "ts", batch: str = "batch") -> DataFrame:
-    """pairs() with wm_prev and late. Only the table of batches, a row each, is ordered as a whole."""
-    each = events.groupBy(batch).agg(F.max(ts).alias("_max"))
-    before = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
-    marks = each.select(F.col(batch).alias("_b"), F.max("_max").over(before).alias("wm_prev"))
+    """pairs() with wm_prev and late."""
+    marks = before(events.groupBy(batch).agg(F.max(ts).alias("_max")), batch, "_max", "wm_prev")
     rows = pairs(events, size_s, slide_s, ts)
     rows = rows.join(marks, rows[batch] == marks["_b"]).drop("_b")
     return rows.withColumn("late", F.coalesce(F.col("wm_prev") >= F.col("window_end") + _seconds(grace_s), F.lit(False)))
@@ -45,9 +56,7 @@ def classified(events: DataFrame, size_s: float, slide_s: float | None, grace_s:
 
 def fenced(events: DataFrame, batch: str = "batch", offset: str = "global_offset") -> DataFrame:
     """Events without those at or below the highest offset of an earlier batch, and each offset once a batch."""
-    tops = events.groupBy(batch).agg(F.max(offset).alias("_top"))
-    before = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(F.col(batch).alias("_b"), F.max("_top").over(before).alias("_fence"))
+    tops = before(events.groupBy(batch).agg(F.max(offset).alias("_top")), batch, "_top", "_fence")
     return events.join(tops, events[batch] == tops["_b"]).where(F.col("_fence").isNull() | (F.col(offset) > F.col("_fence"))).drop("_b", "_fence").dropDuplicates([batch, offset])
 
 

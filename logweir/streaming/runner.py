@@ -33,6 +33,30 @@ def classify(error: BaseException) -> str:
     return TRANSIENT
 
 
+#: Errors of Spark that come from what is read and stay when it is read again, by the beginnings of their names.
+_UNREADABLE = ("MALFORMED_", "CANNOT_PARSE_", "CAST_INVALID_INPUT", "INVALID_JSON", "USER_RAISED_EXCEPTION", "FAILED_READ_FILE.PARQUET_COLUMN_DATA_TYPE_MISMATCH")
+#: Failures of reading in a row by what is read before a projection halts.
+MOST_POISONED_READS = 5
+
+
+class ReadPoison(RuntimeError):
+    """The log can't be read from the checkpoint on, and never will be."""
+
+
+def unreadable(error: BaseException) -> bool:
+    """Whether an error of reading comes from the data. A schema that is ahead does not: a later release reads it."""
+    seen: set[int] = set()
+    found = False
+    while error is not None and id(error) not in seen:
+        seen.add(id(error))
+        if "schema ahead" in str(error):
+            return False
+        condition = getattr(error, "getCondition", lambda: None)() or ""
+        found = found or condition.startswith(_UNREADABLE) or isinstance(error, _POISON)
+        error = error.__cause__ or error.__context__
+    return found
+
+
 @dataclass
 class Projection:
     name: str
@@ -49,6 +73,7 @@ class Runner:
     log: Callable[[], DataFrame]
     path: str
     most_failures: int = MOST_FAILURES
+    most_poisoned_reads: int = MOST_POISONED_READS
     wait: Callable[[float], None] = time.sleep
     dead: list[dict] = field(default_factory=list)
 
@@ -89,13 +114,25 @@ class Runner:
     def catch_up(self, projection: Projection, epoch: int = 0) -> int:
         """Delivers everything after the checkpoint, a batch at a time; the number of batches. At least once: a batch counts when its
         checkpoint is saved."""
-        done = failures = 0
+        done = failures = misread = poisoned = 0
         while True:
             after = self.position(projection.name)["offset"]
-            rows = self.log().where(F.col("global_offset") > after).orderBy("global_offset").limit(projection.batch)
-            first, last = rows.agg(F.min("global_offset"), F.max("global_offset")).first()
-            if last is None:
-                return done
+            try:
+                ahead = self.log().where(F.col("global_offset") > after).select("global_offset").orderBy("global_offset").limit(projection.batch)
+                first, last = ahead.agg(F.min("global_offset"), F.max("global_offset")).first()
+                if last is None:
+                    return done
+                # a range of offsets, which goes to the files; all columns are read, so that what can't be read is no error of the projection
+                rows = self.log().where(F.col("global_offset").between(first, last)).orderBy("global_offset")
+                rows.agg(F.max(F.length(F.to_json(F.struct(*rows.columns))))).first()
+            except Exception as error:
+                # other failures of reading pass, so they are waited for, however often they come
+                misread, poisoned = misread + 1, poisoned + 1 if unreadable(error) else 0
+                if poisoned >= self.most_poisoned_reads:
+                    raise ReadPoison(f"{projection.name}: unreadable after offset {after}, {poisoned} times") from error
+                self.wait(min(FIRST_WAIT_S * 2 ** min(misread - 1, 32), LONGEST_WAIT_S))
+                continue
+            misread = poisoned = 0
             try:
                 projection.update(rows)
                 failures = 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logweir.functions import crypto, evolution, text
 from logweir.operators import audit, fold, readmodel, saga, workqueue
+from logweir.plans import command
 from logweir.plans.query import CachePolicy, CachingBus, QueryBus
 from logweir.sources import event_log as log
 from logweir.sources import schema
@@ -247,6 +248,96 @@ def test_runner(spark, tmp_path):
     assert runner.classify(RuntimeError()) == runner.TRANSIENT and runner.classify(KeyError()) == runner.POISON
 
 
+def test_what_cannot_be_read_halts_and_an_outage_is_waited_for(spark, tmp_path):
+    events = spark.range(1, 6).select(F.col("id").alias("global_offset"), F.create_map(F.lit("a"), F.lit("b")).alias("m"))
+    bad = events.withColumn("payload", F.when(F.col("global_offset") == 4, F.raise_error(F.lit("no type of this name"))).otherwise(F.lit("x")))
+    waits, seen, outages = [], [], [OSError(), OSError(), OSError()]
+
+    def log():
+        if outages:
+            raise outages.pop()
+        return bad
+
+    r = runner.Runner(spark, log, str(tmp_path), most_poisoned_reads=2, wait=waits.append)
+    with pytest.raises(runner.ReadPoison, match="after offset 3"):
+        r.catch_up(runner.Projection("p", lambda rows: seen.extend(x[0] for x in rows.collect()), runner.SKIP, 3))
+    assert seen == [1, 2, 3] and waits == [1.0, 2.0, 4.0, 1.0] and r.position("p")["offset"] == 3 and r.position("p")["dead"] == []
+    assert runner.unreadable(ValueError()) and not runner.unreadable(OSError()) and not runner.unreadable(ValueError("schema ahead: A 4"))
+
+
+def test_commands_and_their_interceptors(spark):
+    class Open(str):
+        pass
+
+    class Close(str):
+        pass
+
+    calls = []
+
+    class Traced(command.Interceptor):
+        def __init__(self, name, stop=(), fail=()):
+            self.name, self.stop, self.fail = name, stop, fail
+
+        def before(self, context):
+            calls.append(f"{self.name}<")
+            if context.command_type in self.fail:
+                raise ValueError("before")
+            return context.command_type not in self.stop
+
+        def after(self, context):
+            calls.append(f"{self.name}>")
+            raise RuntimeError("logged only")
+
+        def on_error(self, context, error):
+            calls.append(f"{self.name}!")
+
+    second, rows = Traced("b", stop=("Close",)), command.Audit(lambda: "u")
+    bus = command.CommandBus([rows, Traced("a"), second])
+    bus.register(Open, "door", str, lambda c: (c + "ed",) if c != "bad" else 1 / 0)
+    bus.register(Close, "door", str, lambda c: ("never",))
+    with pytest.raises(ValueError, match="has a handler"):
+        bus.register(Open, "door", str, tuple)
+    assert bus.execute(Open("x")).events == ("xed",) and calls == ["a<", "b<", "b>", "a>"]
+    calls.clear()
+    assert bus.execute(Close("x")) == command.Result((), command.VETOED, "Traced") and calls == ["a<", "b<", "a>"]
+    calls.clear()
+    with pytest.raises(ZeroDivisionError):
+        bus.execute(Open("bad"))
+    assert calls == ["a<", "b<", "b!", "a!"]
+    calls.clear()
+    second.fail = ("Open",)
+    with pytest.raises(ValueError, match="before"):
+        bus.execute(Open("x"))
+    assert calls == ["a<", "b<", "a!"]
+    second.fail = ()
+    assert bus.execute(Open("k"), "key").reason is None and bus.execute(Open("k"), "key") == command.Result(("ked",), command.REPLAY)
+    with pytest.raises(ValueError, match="another command"):
+        bus.execute(Open("other"), "key")
+    with pytest.raises(ValueError, match="no handler"):
+        bus.execute("x")
+    got = audit.command_rows(spark.createDataFrame(rows.rows, command.Audit.OUTCOMES)).collect()
+    assert [(r["outcome"], r["event_count"]) for r in got] == [("SUCCESS", 1), ("VETOED", 0), ("FAILURE", 0), ("FAILURE", 0), ("SUCCESS", 1), ("SUCCESS", 1), ("FAILURE", 0)]
+
+
+def test_migrations_of_snapshots(spark):
+    chain = evolution.Migrations().add(1, 3, evolution.added("a", "1")).add(3, 4, evolution.added("b", "2")).add(2, 5, evolution.added("c", "3"))
+    assert chain.reachable(4) == (1, 3) and chain.reachable(5) == (2,) and chain.path(4, 4) == [] and chain.path(5, 4) is None
+    rows = spark.createDataFrame([(i, "{}" if i != 9 else None) for i in (1, 2, 3, 4, 5)] + [(1, None)], "schema int, state string")
+    got = sorted((r["schema"], str(r["state"] and json.loads(r["state"]))) for r in chain.apply(rows, 4).collect())
+    assert got == [(4, "None"), (4, "{'a': '1', 'b': '2'}"), (4, "{'b': '2'}"), (4, "{}")]
+    with pytest.raises(Exception, match="gave no state"):
+        evolution.Migrations().add(1, 2, lambda s: F.lit(None).cast("string")).apply(rows, 2).collect()
+    with pytest.raises(ValueError):
+        chain.add(6, 6, evolution.dropped("x"))
+
+
+def test_jitter_stays_in_its_bounds(spark):
+    waits = spark.range(1, 9).select(*(f(F.col("id"), jitter=F.lit(j)).alias(f"{f.__name__}{i}") for f in (text.backoff_ms, text.poll_backoff_ms) for i, j in enumerate((0.0, 0.5, 0.999999))))
+    first, last = waits.first(), waits.collect()[-1]
+    assert first["backoff_ms0"] == 25 and first["backoff_ms1"] == 50 and 74.9 < first["backoff_ms2"] < 75
+    assert (last["poll_backoff_ms0"], last["poll_backoff_ms2"]) == (30_000, 60_000) and 500 <= first["poll_backoff_ms1"] <= 1000
+
+
 def test_cache():
     class Q(tuple):
         pass

@@ -99,6 +99,13 @@ def test_random_batches(spark, tmp_path, seed):
     assert stream_result(spark, tmp_path / "w", batches, *args) == want
 
 
+def test_largest_value_of_earlier_batches(spark, monkeypatch):
+    monkeypatch.setattr(windows, "SPAN", 3)
+    rows = [(b, (b * 37) % 23) for b in range(-7, 40) if b % 5]
+    got = {r["_b"]: r["top"] for r in windows.before(spark.createDataFrame(rows, "batch int, v int"), "batch", "v", "top").collect()}
+    assert got == {b: max((v for a, v in rows if a < b), default=None) for b, _ in rows}
+
+
 def test_redelivered_events_count_once(spark, tmp_path):
     op = WindowOperator(spark, str(tmp_path / "w"), {"n": ("count", "*"), "total": ("sum", "value"), "top": ("max", "value")}, 60, None, 0)
     events = frame(spark, [[10, 20], [130]])
