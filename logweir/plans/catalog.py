@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.crypto import decrypted, encrypted, export, forgotten
-from ..functions.evolution import Chain, renamed
-from ..functions.text import backoff_ms, log_safe, scoped_key, subject_hash, time_code
+from ..functions.evolution import Chain, Migrations, renamed
+from ..functions.text import backoff_ms, log_safe, poll_backoff_ms, scoped_key, subject_hash, time_code
 from ..operators import audit, fold, readmodel, saga, windows, workqueue
 from ..sources import adapters as A
 from ..sources import event_log as log
@@ -684,6 +684,16 @@ def snapshot_save(spark, d):
     return fold.save_snapshots(purged, new).select("aggregate_id", "version", "state", "purge_generation")
 
 
+@query("snapshot_migration", f"""select aggregate_id, 4 as schema, case when cast(aggregate_id as bigint) % 5 = 0 then cast(version as varchar) end as m_value,
+    case when cast(aggregate_id as bigint) % 5 <> 0 then cast(version as varchar) end as v_value from {_SAVED} where cast(aggregate_id as bigint) % 5 in (0, 2, 3)""")
+def snapshot_migration(spark, d):
+    """Snapshots of schemas 1 to 5, of which 1 and 3 lead to schema 4; those of 2 and 5 go."""
+    rows = _saved(spark, d).withColumn("schema", (F.col("aggregate_id").cast("long") % 5 + 1).cast("int")).withColumn("state", F.to_json(F.create_map(F.lit("v"), F.col("version").cast("string"))))
+    chain = Migrations().add(1, 3, renamed("v", "n")).add(3, 4, renamed("n", "m")).add(2, 5, renamed("v", "w"))
+    lifted = chain.apply(rows, 4)
+    return lifted.select("aggregate_id", "schema", F.get_json_object("state", "$.m").alias("m_value"), F.get_json_object("state", "$.v").alias("v_value"))
+
+
 @query("stream_heads", f"select aggregate_type, aggregate_id, max(version) as version from {A.LOG} group by 1, 2")
 def stream_heads(spark, d):
     return log.stream_heads(A.event_log(spark, d))
@@ -765,6 +775,28 @@ def id_functions(spark, d):
     )
 
 
+@query("backoff_waits", f"""with w as (select global_offset, (global_offset % 10) / 10e0 as j, cast(least(1000 * pow(2, global_offset % 9), 60000) as bigint) as poll_ms, 50 * pow(2, global_offset % 9) as wait from {A.LOG})
+    select global_offset, poll_ms, poll_ms // 2 + least(cast(floor(j * (poll_ms - poll_ms // 2 + 1)) as bigint), poll_ms - poll_ms // 2) as poll_with_jitter, wait * (0.5e0 + j) as wait_with_jitter from w""")
+def backoff_waits(spark, d):
+    """Waits of polls and of retries for numbers that stand for random ones."""
+    rows, n = A.log_scan(spark, d), F.col("global_offset") % 9 + 1
+    jitter = (F.col("global_offset") % 10) / F.lit(10.0)
+    return rows.select("global_offset", poll_backoff_ms(n).alias("poll_ms"), poll_backoff_ms(n, jitter=jitter).alias("poll_with_jitter"), backoff_ms(n, jitter=jitter).alias("wait_with_jitter"))
+
+
+@query("command_outcomes", f"""with c as (select *, case when global_offset % 11 = 0 then 'FAILURE' when global_offset % 7 = 0 then 'VETOED' else 'SUCCESS' end as outcome from {A.LOG})
+    select cast(global_offset as varchar) as command_id, outcome, case when outcome = 'FAILURE' then 'failed' end as error_message,
+    case when outcome = 'SUCCESS' and global_offset % 5 <> 0 then cast(global_offset % 4 as int) else 0 end as event_count from c""")
+def command_outcomes(spark, d):
+    """Audit rows of commands: a failure counts before a veto, and only a success has events."""
+    at = F.col("global_offset")
+    rows = A.log_scan(spark, d).select(
+        at.cast("string").alias("command_id"), F.when(at % 7 == 0, True).when(at % 2 == 0, False).alias("vetoed"), F.when(at % 11 == 0, "failed").alias("error"),
+        F.when(at % 5 != 0, (at % 4).cast("int")).alias("n_events"),
+    )
+    return audit.command_rows(rows).select("command_id", "outcome", "error_message", "event_count")
+
+
 @query("event_ids", "select event_id + 1 as global_offset, 'evt_' || lower(to_base(epoch_us(ts) // 1000 - 1704067200000, 36, 9)) as code from events")
 def event_ids(spark, d):
     """Codes of event times in base 36, which sort by time."""
