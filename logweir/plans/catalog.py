@@ -476,7 +476,7 @@ def saga_timed_out(spark, d):
     or status = 'COMPENSATING' and updated_at < timestamp '{A.MID}' - interval 30 day)""")
 def saga_timed_out_bounds(spark, d):
     """All of them, rows on the bound left out."""
-    return workqueue.timed_out(A.saga_state(spark, d), A.MID, 30, 10**6, "order").select("saga_id")
+    return workqueue.overdue(A.saga_state(spark, d), A.MID, 30, "order").select("saga_id")
 
 
 @query("saga_compensating", f"""select saga_id, updated_at, episode_claimed_at from {A.SAGAS} where saga_type = 'order' and status = 'COMPENSATING' and updated_at < timestamp '{A.MID}' - interval 5 day

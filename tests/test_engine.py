@@ -167,6 +167,18 @@ def test_timeouts_take_turns(spark):
     assert [r["saga_id"] for r in workqueue.timed_out(s, "2024-01-01 00:00:00", 1, 3).collect()] == ["f0", "c0", "f1"]
 
 
+def test_overdue_sagas_are_all_given_and_not_by_one_task(spark):
+    """A limit on them left out rows beyond a million, and ordered all of them in one task."""
+    from logweir.plans import catalog
+
+    plan = catalog.QUERIES["saga_timed_out_bounds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Limit", "Sort", "Window"))
+    old, bound = datetime(2020, 1, 1), datetime(2023, 12, 31)
+    rows = [("f", "STARTED", old, bound), ("g", "RUNNING", bound, old), ("c", "COMPENSATING", bound, old), ("d", "COMPENSATING", old, bound), ("e", "COMPLETED", old, old), ("n", None, old, old)]
+    s = spark.createDataFrame(rows, "saga_id string, status string, created_at timestamp, updated_at timestamp").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})
+    assert sorted((r["saga_id"], r["population"]) for r in workqueue.overdue(s, "2024-01-01 00:00:00", 1).collect()) == [("c", 1), ("f", 0)]
+
+
 def test_dead_ranges_merge(spark):
     kind = "projection string, from_offset long, to_offset long, attempts int"
     old, new = spark.createDataFrame([("p", 1, 5, 3)], kind), spark.createDataFrame([("p", 1, 5, 1), ("p", 6, 9, 1)], kind)
