@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -78,6 +79,13 @@ def forget(df: DataFrame | None) -> None:
     where.getFileSystem(conf).delete(where, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Has the driver collect its garbage between the phases of a long operator: Spark frees shuffles and broadcasts that nothing reads any
+    more only then, and a heap that is half full of them is widened by each large allocation."""
+    gc.collect()  # Python's handles hold JVM objects
+    spark._jvm.System.gc()
+
+
 def packed(df: DataFrame, *columns) -> DataFrame:
     """`row`, all columns of df as one, beside the given columns: whatever df's columns are named, they meet no other."""
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *columns)
@@ -168,17 +176,24 @@ def _forest(edges: DataFrame, chunk: int = 2_000_000) -> DataFrame:
     return edges.mapInArrow(per_task, "a long, b long")
 
 
+#: Edges of forests that one task contracts at most (16 bytes each); more go through rounds.
+ONE_TASK = 1 << 18
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a long, b long): component is the smallest node reachable.
 
-    Tasks first contract their own edges to forests. Then large-star and small-star rounds, each written to the shared
-    folder, run until no edge changes. Self-loops and repeated edges do no harm; null ends are ignored. Nodes without
-    edges don't appear.
+    Tasks first contract their own edges to forests. If these have no more than ONE_TASK edges, a task contracts them too, since each round
+    costs the driver some thousand tasks. Else large-star and small-star rounds, each written to the shared folder, run until
+    no edge changes. Both give the same rows. Self-loops and repeated edges do no harm; null ends are ignored. Nodes
+    without edges don't appear.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
     now = written(_forest(edges).distinct(), "edges")  # few rows by now, which the shuffle brings into few files
     state = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     mark, last = state(now), None
+    if 0 < mark["n"] <= ONE_TASK:
+        last, now, mark = now, written(_forest(now.coalesce(1)), "edges"), {"n": 0}
     while mark["n"]:
         # large-star: what is larger than u goes to the smallest neighbour of u
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, components, forget, hot_keys, kept, packed, runs, salted, small_batches, table, unpacked, written
+from .common import blocks, components, forget, hot_keys, kept, packed, runs, salted, small_batches, swept, table, unpacked, written
 from .hashing import U, mix, shingles
 
 #: Slots that n-grams are counted in; the counts are all that the driver gets, 2 MB for any input.
@@ -345,8 +345,9 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     smallest = classes.select(F.posexplode("low").alias("i", "x"), "cls", "rid", "n").select(F.xxhash64("i", "x").alias("key"), "cls", "rid", "n")
     units = kept(blocks(smallest, spare, BLOCK).withColumn("grp", F.col("cls")))
     with small_batches(docs.sparkSession):
-        first = kept(_linked(docs, units, rank, k, percent))
+        first = written(_linked(docs, units, rank, k, percent), "ngram-links")  # few rows; what reads them goes without the plan behind them
     group = written(components(first), "ngram-groups")
+    swept(docs.sparkSession)
 
     # the second join: one bucket for each n-gram of a prefix; those of over-full slots may be hot, and go to blocks as they are
     heads = classes.select("cls", "n", F.posexplode("prefix").alias("at", "key"), (F.size("prefix") - F.col("warm")).alias("cool"))
@@ -357,13 +358,15 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # what may be similar to something of another group, in clusters
     cluster = components(_sketched(full.select("key", "lo", "hi", "cls", "n", "grp", "sketch"), percent)).select(F.col("node").alias("cls"), F.col("component").alias("key"))
     of = classes.select("cls", "rid", "n").join(group.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).drop("component")
+    swept(docs.sparkSession)
     pairs = kept(blocks(cluster.join(of, "cls"), spare, BLOCK))
     with small_batches(docs.sparkSession):
-        second = kept(_linked(docs, pairs, rank, k, percent))
+        second = written(_linked(docs, pairs, rank, k, percent), "ngram-links")
 
     linked = written(components(first.unionByName(second)), "ngram-groups")
     for scratch in (units, first, group, near, pairs, second):
         forget(scratch)
+    swept(docs.sparkSession)
     of_class = classes.select("cls", "h2", "n", "doc_id").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))
     least = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = of_class.join(least, "root").select("cls", "h2", "n", "component_id")
@@ -377,7 +380,7 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all their columns, without those that have a smaller doc_id in their component. Equal rows of one
     id are one document; rows without an id, which nothing can refer to, stay."""
-    found = kept(similar(docs, k, percent).where("doc_id is not null"))
+    found = written(similar(docs, k, percent).where("doc_id is not null").select("doc_id", "component_id"), "ngram-found")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

@@ -137,6 +137,32 @@ def test_components_of_a_long_chain(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_take_few_jobs_and_equal_those_of_rounds(spark, monkeypatch):
+    rng = random.Random(11)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1100)] + [(None, 3), (7, 7)]
+    rows, context = spark.createDataFrame(edges, "a long, b long").repartition(16), spark.sparkContext
+
+    def of(group):
+        context.setJobGroup(group, group)
+        out = common.components(rows)
+        jobs = len(context.statusTracker().getJobIdsForGroup(group))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return {r["node"]: r["component"] for r in out.collect()}, jobs
+
+    got, jobs = of("one task")
+    monkeypatch.setattr(common, "ONE_TASK", 0)
+    rounds, more = of("rounds")
+    nodes = sorted({x for e in edges if None not in e and e[0] != e[1] for x in e})
+    assert got == rounds == components(nodes, [e for e in edges if None not in e]) and jobs < 8 < more
+
+
+def test_links_and_copies_are_read_without_the_plan_behind_them(spark):
+    """These plans were of half a megabyte in the pipeline, and the driver holds each with all its updates."""
+    docs = documents(spark, [(i, f"{'same words in all of these texts ' * 3}{i // 2}", "s") for i in range(8)])
+    out = ngram_join.one_of_each(docs, k=2, percent=60)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 4000 and [r["doc_id"] for r in out.collect()] == [0]
+
+
 # embeddings
 
 
