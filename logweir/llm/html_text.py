@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +42,8 @@ ENDS = {
 BARRIERS = frozenset("table td th caption button".split())
 #: Columns of a table are aligned up to this width; longer cells push the rest of their line.
 WIDTH = 60
-#: Places (rows times columns) of a table that is aligned, at most.
-GRID = 1_000_000
+#: Characters of text after which a worker hands out what it has.
+PART = 1 << 24
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -232,41 +233,59 @@ class Flow:
 
 
 def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Lines of a table; a cell is (lines, columns, rows). Spans stay numbers: a column counts only where a cell with text begins in it. A
-    table of more than GRID places is given row by row, its cells parted but not aligned."""
+    """Lines of a table; a cell is (lines, columns, rows). Spans stay numbers: a column counts only where a cell with text begins in it. Every
+    table is aligned, so rows that spans push to the right have as many places as there are columns before them."""
     grid: list[list[tuple[int, list[str]]]] = []  # (column, lines) of the cells with text
-    below: list[tuple[int, int, int]] = []  # (first column, end, end of rows) of cells that reach into later rows
-    plain = len(rows) * sum(high > 1 for row in rows for *_, high in row) > GRID
+    below = np.empty((0, 3), np.int64)  # (first column, end, end of rows) of cells that reach into later rows, by first column
+    starts = ends = below[:, 0]  # what they take together, in parts that don't touch
+    change = 0  # the row in which the first of them ends
     for r, row in enumerate(rows):
-        out, c = [], 0
-        below = sorted(x for x in below if x[2] > r) if not plain else []
-        reach, k = [], 0
+        if len(below) and r >= change:
+            below, starts, ends, change = _open(below, r)
+        out, c, reach = [], 0, []
         for lines, wide, high in row:
-            while k < len(below) and below[k][0] <= c:
-                c = max(c, below[k][1])
-                k += 1
+            if len(starts) and (k := int(starts.searchsorted(c, "right"))):
+                c = max(c, int(ends[k - 1]))
             if lines:
                 out.append((c, lines))
             if high > 1:
                 reach.append((c, c + wide, r + high))
             c += wide
-        below += reach
+        if reach:
+            below, starts, ends, change = _open(np.concatenate([below, np.array(reach, np.int64)]), r + 1)
         grid.append(out)
     columns = {c: i for i, c in enumerate(sorted({c for row in grid for c, _ in row}))}
     wide = [0] * len(columns)
     for row in grid:
         for c, lines in row:
             wide[columns[c]] = max(wide[columns[c]], min(WIDTH, max(map(len, lines))))
-    if plain or len(rows) * len(columns) > GRID:
-        return [" | ".join(" ".join(x for x in lines if x) for _, lines in row) for row in grid if row]
+    blank, at = " | ".join(" " * w for w in wide), [0]  # a line without text, and where its columns begin
+    for w in wide:
+        at.append(at[-1] + w + 3)
     out = []
     for row in grid:
-        cells = {columns[c]: lines for c, lines in row}
-        for i in range(max(map(len, cells.values()), default=0)):
-            out.append(" | ".join((cells[c][i] if c in cells and i < len(cells[c]) else "").ljust(wide[c]) for c in range(max(cells) + 1)).rstrip())
+        cells = [(columns[c], lines) for c, lines in row]
+        for i in range(max((len(lines) for _, lines in cells), default=0)):
+            parts, done = [], 0
+            for c, lines in cells:
+                parts += blank[done : at[c]], (lines[i] if i < len(lines) else "").ljust(wide[c])
+                done = at[c] + wide[c]
+            out.append("".join(parts).rstrip())
     return out
 
 
+def _open(below: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of spans (first column, end, end of rows) those that reach row r, by first column; starts and ends of the parts that they take; and the
+    row in which the first of them ends."""
+    below = below[below[:, 2] > r]
+    below = below[np.argsort(below[:, 0], kind="stable")]
+    if not len(below):
+        return below, below[:, 0], below[:, 0], 0
+    far = np.maximum.accumulate(below[:, 1])
+    first = np.flatnonzero(np.concatenate([[True], below[1:, 0] > far[:-1]]))
+    return below, below[first, 0], far[np.append(first[1:], len(far)) - 1], int(below[:, 2].min())
+
+
 def _span(node: Node, name: str, most: int) -> int:
     value = node.get(name) or "1"
     return min(most, max(1, int(value))) if value.isascii() and value.isdigit() and len(value) < 9 else 1
@@ -366,9 +385,13 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([page_text(h.as_py()) for h in part.column(1)], pa.string())], names=["row", "text"])
+            texts, a, size = [], 0, 0
+            for i, h in enumerate(batch.column(1), 1):
+                texts.append(page_text(h.as_py()))
+                size += len(texts[-1])
+                if len(texts) == 256 or size > PART or i == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, i - a), pa.array(texts, pa.string())], names=["row", "text"])
+                    texts, a, size = [], i, 0
 
     lean(pages.sparkSession)
     out = rows.mapInArrow(of, StructType([rows.schema["row"], StructField("text", StringType())]))

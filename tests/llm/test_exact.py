@@ -501,6 +501,49 @@ def test_spans_of_cells_are_numbers():
     assert html_text.page_text("<table><tr><td colspan=2>a<td>b<tr><td>c<td>d<td>e</table>") == "a |   | b\nc | d | e"
 
 
+def test_tables_of_any_size_are_aligned(spark):
+    """Tables of more than a million places, and rows times spanning cells of as many, were given without alignment."""
+    row = "<tr><td>long<td><td>b<td rowspan=2>s<tr><td>a<td>y<td>z"
+    aligned = "long |   | b | s\na    | y | z"
+    few, many = (html_text.page_text(f"<table>{row * n}</table>") for n in (3, 1500))
+    assert few == "\n".join([aligned] * 3) and many == "\n".join([aligned] * 1500)
+    wide = html_text.page_text("<table><tr>" + "<td>ab" * 1001 + "<tr><td>c<td>d" + "<tr><td>e" * 999 + "</table>").split("\n")
+    assert wide[:3] == [" | ".join(["ab"] * 1001), "c  | d", "e"] and len(wide) == 1001
+    pushed = html_text.page_text("<table><tr>" + "<td>a" * 1100 + "<tr><td colspan=1000 rowspan=65534>" + "<tr><td>b" * 1100 + "</table>").split("\n")
+    assert pushed[1:] == ["  | " * 1000 + "b"] * 1100
+
+
+def test_open_spans_against_a_grid():
+    rng = random.Random(12)
+    for _ in range(300):
+        rows = [[([rng.choice("abc") * rng.randrange(1, 4)] * rng.choice((0, 1, 1, 2)), rng.choice((1, 1, 2, 3)), rng.choice((1, 1, 2, 5))) for _ in range(rng.randrange(5))] for _ in range(rng.randrange(9))]
+        taken, at = set(), []
+        for r, row in enumerate(rows):
+            c, new = 0, set()
+            for lines, wide, high in row:
+                while (r, c) in taken:
+                    c += 1
+                if lines:
+                    at.append((r, c, lines))
+                new |= {(r + i, c + j) for i in range(1, high) for j in range(wide)}
+                c += wide
+            taken |= new
+        columns = sorted({c for _, c, _ in at})
+        width = {c: max(len(x[0]) for _, d, x in at if d == c) for c in columns}
+        want = []
+        for r in range(len(rows)):
+            cells = {c: x for q, c, x in at if q == r}
+            for i in range(max(map(len, cells.values()), default=0)):
+                want.append(" | ".join((cells[c][i] if i < len(cells.get(c, ())) else "").ljust(width[c]) for c in columns if c <= max(cells)).rstrip())
+        assert html_text._aligned(rows) == want
+
+
+def test_large_texts_are_handed_out_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "PART", 5)
+    rows = spark.range(700).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>"), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int"))).alias("html"))
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(rows).collect()) == [(i, "x" * (i % 7), i % 7) for i in range(700)]
+
+
 def test_tiles_of_repetitive_texts():
     import time
 
